@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Removed suffixes (every occurrence, case-sensitive) and the time pattern.
-REMOVED_SUFFIXES = r"\.wav|\.mp3"
+# Removed suffixes (every occurrence, case-sensitive, in this order) and the time pattern.
+REMOVED_SUFFIXES = (".wav", ".mp3")
 TIME_PATTERN = "yyyyMMddHHmmss"
 BLANKS = r"[ \t\n\r\f\x0B]"
 
@@ -24,7 +24,9 @@ def parse_call_name(name: Column) -> Column:
     remainder (re-joined with ``_``) split on ``,``: the first piece is the phone, the
     others are codes with ``_`` then blanks stripped, empties dropped.
     """
-    stem = F.regexp_replace(name, REMOVED_SUFFIXES, "")
+    stem = name
+    for suffix in REMOVED_SUFFIXES:
+        stem = F.replace(stem, F.lit(suffix), F.lit(""))
     parts = F.split(stem, "_", -1)
     n = F.size(parts)
     rest = F.array_join(F.slice(parts, 3, F.greatest(n - 2, F.lit(1))), "_")
