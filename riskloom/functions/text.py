@@ -36,11 +36,15 @@ def has_special(c: Column) -> Column:
     return c.rlike(SPECIAL_PATTERN).cast("int")
 
 
+# Fixed value: the whitespace set of Python's str.isspace / re ``\s``.
+WHITESPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def clean_explanation(c: Column, limit: int = 500) -> Column:
     """Trim, newline runs and blank runs to one blank, cut to ``limit-3`` + '...'."""
-    s = F.regexp_replace(c, r"^\s+|\s+$", "")
+    s = F.regexp_replace(c, f"^[{WHITESPACE}]+|[{WHITESPACE}]+$", "")
     s = F.regexp_replace(s, r"\n+", " ")
-    s = F.regexp_replace(s, r"\s+", " ")
+    s = F.regexp_replace(s, f"[{WHITESPACE}]+", " ")
     return F.when(F.length(s) > limit, F.concat(F.substring(s, 1, limit - 3), F.lit("..."))).otherwise(s)
 
 
