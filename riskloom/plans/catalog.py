@@ -39,4 +39,4 @@ def r6(expr: str, alias: str) -> str:
 
 # load every query module so that it registers itself
 def load_all() -> None:
-    from riskloom.plans import q_apps, q_assemble, q_calls, q_events, q_metrics, q_ml, q_quality, q_scores, q_signals  # noqa: F401
+    from riskloom.plans import q_apps, q_assemble, q_calls, q_events, q_metrics, q_ml, q_quality, q_scores, q_signals, q_sources  # noqa: F401
