@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from riskloom import schema as S
 from riskloom.functions.stats import epoch_micros, quantile, sample_kurt, sample_skew
-from riskloom.operators.ordered import DEFAULT_BUCKET_US, with_previous, with_session_number
+from riskloom.operators import ordered as O
+from riskloom.operators.ordered import DEFAULT_BUCKET_US
 
 KEY = S.CANONICAL_KEY
 US = 1_000_000
@@ -85,15 +86,15 @@ def event_intervals(df: DataFrame, key: str | None = None, prefix: str = "amplit
     frames = []
     for t in roles["time"]:
         x = rows.select(KEY, epoch_micros(t, types[t]).alias("_us"), *tiebreak)
-        g = with_previous(x, KEY, "_us", (), list(tiebreak), bucket_us)
-        d = F.col("gap_us").cast("double") / US
-        n = F.count("_us")
-        agg = g.groupBy(KEY).agg(
-            F.when(n > 1, (F.max("_us") - F.min("_us")).cast("double") / US).alias(f"{prefix}_{t}_span_seconds"),
-            F.when(n > 1, F.avg(d)).alias(f"{prefix}_{t}_avg_interval"),
-            F.when(n > 1, F.stddev_samp(d)).alias(f"{prefix}_{t}_std_interval"),
-        )
-        frames.append(agg)
+        m = O.gap_moments(x, KEY, "_us", list(tiebreak), bucket_us)
+        k = F.col("gaps").cast("double")
+        mean = F.col("gap_sum") / k
+        var = (F.col("gap_sumsq") - F.col("gap_sum") * mean) / (k - 1)
+        frames.append(m.select(
+            KEY,
+            F.when(F.col("n") > 1, (F.col("max_us") - F.col("min_us")).cast("double") / US).alias(f"{prefix}_{t}_span_seconds"),
+            F.when(F.col("n") > 1, mean).alias(f"{prefix}_{t}_avg_interval"),
+            F.when(F.col("n") > 2, F.sqrt(F.greatest(var, F.lit(0.0)))).alias(f"{prefix}_{t}_std_interval")))
     keys = rows.select(KEY).distinct()
     return _join_all([keys, *frames]) if frames else keys
 
@@ -188,18 +189,17 @@ def session_features(df: DataFrame, key: str | None = None, ts: str | None = Non
     ts = ts or first_time_column(df, key)
     rows, _, types = keyed(df, key)
     x = rows.select(KEY, F.col(ts).alias("_ts"), epoch_micros(ts, types[ts]).alias("_us"), *tiebreak)
-    s = with_session_number(x, KEY, "_us", gap_minutes * 60 * US, list(tiebreak), bucket_us)
     _, night, _ = _hour_flags(F.col("_ts"))
     weekend = (F.weekday("_ts") >= WEEKEND_FROM).cast("double")
-    per_session = s.groupBy(KEY, "session_no").agg(
-        ((F.max("_us") - F.min("_us")).cast("double") / US).alias("_len"),
-        F.count(F.lit(1)).alias("_n"), F.sum(night).alias("_night"), F.sum(weekend).alias("_weekend"))
-    return per_session.groupBy(KEY).agg(
+    s = O.session_pieces(x, KEY, "_us", gap_minutes * 60 * US, list(tiebreak),
+                         {"_night": night, "_weekend": weekend}, bucket_us)
+    length = (F.col("end_us") - F.col("start_us")).cast("double") / US
+    return s.groupBy(KEY).agg(
         F.count(F.lit(1)).alias(f"{prefix}_session_count"),
-        F.avg("_len").alias(f"{prefix}_avg_session_duration"),
-        F.stddev_samp("_len").alias(f"{prefix}_std_session_duration"),
-        (F.sum("_night") / F.sum("_n")).alias(f"{prefix}_night_activity_ratio"),
-        (F.sum("_weekend") / F.sum("_n")).alias(f"{prefix}_weekend_ratio"),
+        F.avg(length).alias(f"{prefix}_avg_session_duration"),
+        F.stddev_samp(length).alias(f"{prefix}_std_session_duration"),
+        (F.sum("_night") / F.sum("n")).alias(f"{prefix}_night_activity_ratio"),
+        (F.sum("_weekend") / F.sum("n")).alias(f"{prefix}_weekend_ratio"),
     )
 
 
@@ -237,9 +237,5 @@ def change_counts(df: DataFrame, cols: list[str], key: str | None = None, ts: st
     ts = ts or first_time_column(df, key)
     rows, _, types = keyed(df, key)
     x = rows.select(KEY, epoch_micros(ts, types[ts]).alias("_us"), *cols, *[t for t in tiebreak if t not in cols])
-    g = with_previous(x, KEY, "_us", list(cols), list(tiebreak), bucket_us)
-    has_prev = F.col("gap_us").isNotNull()
-    return g.groupBy(KEY).agg(*[
-        F.count(F.when(has_prev & ~F.col(c).eqNullSafe(F.col(f"prev_{c}")), 1)).alias(f"{prefix}_{c}_changes")
-        for c in cols
-    ])
+    out = O.change_counts(x, KEY, "_us", list(cols), list(tiebreak), bucket_us)
+    return out.select(KEY, *[F.col(c).alias(f"{prefix}_{c}_changes") for c in cols])

@@ -1,10 +1,10 @@
-"""Exact per-key ordered quantities (previous row's time and values, running session
-number) that stay parallel when one key holds a large share of all rows.
+"""Exact per-key ordered quantities (gaps between consecutive events, value changes, gap
+sessions) that stay parallel when one key holds a large share of all rows.
 
-Rows are ordered inside (key, time bucket) partitions; the first row of each bucket takes its
-previous row from the last row of the previous non-empty bucket, found by a window over the
-small per-bucket table (one row per key and bucket).  The result equals a per-key ``lag`` over
-the whole key, without sending a hot key to one task.
+Rows are shuffled once, by (key, time bucket), and ordered inside each bucket by one window
+pass.  Everything that crosses a bucket edge is settled on small tables of one row per
+(key, bucket) or per session piece, using the first and last row of each bucket.  No step
+sends all rows of a key to one task and no row-level join follows the window.
 """
 
 from __future__ import annotations
@@ -13,43 +13,75 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BUCKET_US = 3600 * 1_000_000
+US = 1_000_000
 
 
-def with_previous(df: DataFrame, key: str, us: str, cols: list[str] = (), tiebreak: list[str] = (),
-                  bucket_us: int = DEFAULT_BUCKET_US, gap: str = "gap_us") -> DataFrame:
-    """Adds ``gap`` (us minus the previous row's us) and ``prev_<c>`` for each ``c`` in ``cols``.
-
-    Order within a key is (us, *tiebreak).  The key's first row gets NULLs.  Rows with a NULL
-    ``us`` are dropped.  Keeps the helper column ``_bucket``.
-    """
+def bucketed(df: DataFrame, key: str, us: str, tiebreak: list[str] = (), cols: list[str] = (),
+             bucket_us: int = DEFAULT_BUCKET_US) -> tuple[DataFrame, list[str]]:
+    """Rows with ``_bucket``, the in-bucket previous time ``_lag_us`` and previous values
+    ``_lag_<c>`` (NULL on a bucket's first row).  Rows with NULL ``us`` are dropped."""
     order = [us, *tiebreak]
     rows = df.where(F.col(us).isNotNull()).withColumn("_bucket", F.floor(F.col(us) / F.lit(bucket_us)))
-    last = F.max(F.struct(*[F.col(c) for c in order], *[F.col(c).alias(f"v_{c}") for c in cols]))
-    edges = rows.groupBy(key, "_bucket").agg(last.alias("_last"))
-    wb = Window.partitionBy(key).orderBy("_bucket")
-    edges = edges.select(key, "_bucket", F.lag("_last").over(wb).alias("_prev_last"))
     w = Window.partitionBy(key, "_bucket").orderBy(*order)
-    within = rows.select("*", F.lag(us).over(w).alias("_lag_us"),
-                         F.lag(F.lit(1)).over(w).alias("_has_lag"),
-                         *[F.lag(c).over(w).alias(f"_lag_{c}") for c in cols])
-    j = within.join(edges, [key, "_bucket"], "left")
-    first_in_bucket = F.col("_has_lag").isNull()
-    out = j.withColumn(gap, F.col(us) - F.when(first_in_bucket, F.col("_prev_last")[us]).otherwise(F.col("_lag_us")))
-    for c in cols:
-        out = out.withColumn(f"prev_{c}", F.when(first_in_bucket, F.col("_prev_last")[f"v_{c}"])
-                             .otherwise(F.col(f"_lag_{c}")))
-    return out.drop("_lag_us", "_has_lag", "_prev_last", *[f"_lag_{c}" for c in cols])
-
-
-def with_session_number(df: DataFrame, key: str, us: str, gap_limit_us: int, tiebreak: list[str] = (),
-                        bucket_us: int = DEFAULT_BUCKET_US, session: str = "session_no") -> DataFrame:
-    """Adds ``gap_us`` and a per-key 0-based session number; a new session starts after a gap
-    strictly longer than ``gap_limit_us``."""
-    g = with_previous(df, key, us, (), tiebreak, bucket_us)
-    g = g.withColumn("_start", F.coalesce((F.col("gap_us") > gap_limit_us).cast("int"), F.lit(0)))
-    per_bucket = g.groupBy(key, "_bucket").agg(F.sum("_start").alias("_bstarts"))
-    before = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    per_bucket = per_bucket.select(key, "_bucket", F.coalesce(F.sum("_bstarts").over(before), F.lit(0)).alias("_offset"))
-    w = Window.partitionBy(key, "_bucket").orderBy(us, *tiebreak).rowsBetween(Window.unboundedPreceding, 0)
-    g = g.withColumn("_within", F.sum("_start").over(w)).join(per_bucket, [key, "_bucket"], "left")
-    return g.withColumn(session, (F.col("_offset") + F.col("_within")).cast("bigint")).drop("_start", "_within", "_offset")
+    return rows.select("*", F.lag(us).over(w).alias("_lag_us"),
+                       *[F.lag(c).over(w).alias(f"_lag_{c}") for c in cols]), order
+
+
+def gap_moments(df: DataFrame, key: str, us: str, tiebreak: list[str] = (),
+                bucket_us: int = DEFAULT_BUCKET_US) -> DataFrame:
+    """Per key: n, min/max time, and count / sum / sum of squares of the gaps (seconds)
+    between consecutive times."""
+    rows, _ = bucketed(df, key, us, tiebreak, (), bucket_us)
+    g = (F.col(us) - F.col("_lag_us")).cast("double") / US
+    per_bucket = rows.groupBy(key, "_bucket").agg(
+        F.count(F.lit(1)).alias("_n"), F.min(us).alias("_min"), F.max(us).alias("_max"),
+        F.count(g).alias("_m"), F.sum(g).alias("_s1"), F.sum(g * g).alias("_s2"))
+    wb = Window.partitionBy(key).orderBy("_bucket")
+    edge = (F.col("_min") - F.lag("_max").over(wb)).cast("double") / US
+    per_bucket = per_bucket.withColumn("_edge", edge)
+    return per_bucket.groupBy(key).agg(
+        F.sum("_n").alias("n"), F.min("_min").alias("min_us"), F.max("_max").alias("max_us"),
+        (F.sum("_m") + F.count("_edge")).alias("gaps"),
+        (F.coalesce(F.sum("_s1"), F.lit(0.0)) + F.coalesce(F.sum("_edge"), F.lit(0.0))).alias("gap_sum"),
+        (F.coalesce(F.sum("_s2"), F.lit(0.0)) + F.coalesce(F.sum(F.col("_edge") * F.col("_edge")), F.lit(0.0))).alias("gap_sumsq"))
+
+
+def change_counts(df: DataFrame, key: str, us: str, cols: list[str], tiebreak: list[str] = (),
+                  bucket_us: int = DEFAULT_BUCKET_US) -> DataFrame:
+    """Per key and column: number of rows whose value differs (NULL-safe) from the previous
+    row's value in time order."""
+    rows, order = bucketed(df, key, us, tiebreak, cols, bucket_us)
+    inner = [F.count(F.when(F.col("_lag_us").isNotNull() & ~F.col(c).eqNullSafe(F.col(f"_lag_{c}")), 1)).alias(f"_in_{c}")
+             for c in cols]
+    first = F.min(F.struct(*[F.col(o) for o in order], *[F.col(c).alias(f"v_{c}") for c in cols]))
+    last = F.max(F.struct(*[F.col(o) for o in order], *[F.col(c).alias(f"v_{c}") for c in cols]))
+    per_bucket = rows.groupBy(key, "_bucket").agg(*inner, first.alias("_first"), last.alias("_last"))
+    prev = F.lag("_last").over(Window.partitionBy(key).orderBy("_bucket"))
+    per_bucket = per_bucket.select(key, *[F.col(f"_in_{c}") for c in cols], "_first", prev.alias("_prev"))
+    edge = [F.count(F.when(F.col("_prev").isNotNull() & ~F.col("_first")[f"v_{c}"].eqNullSafe(F.col("_prev")[f"v_{c}"]), 1))
+            for c in cols]
+    return per_bucket.groupBy(key).agg(*[(F.sum(f"_in_{c}") + e).alias(c) for c, e in zip(cols, edge)])
+
+
+def session_pieces(df: DataFrame, key: str, us: str, gap_limit_us: int, tiebreak: list[str] = (),
+                   extra_sums: dict | None = None, bucket_us: int = DEFAULT_BUCKET_US) -> DataFrame:
+    """Gap sessions (a gap longer than ``gap_limit_us`` starts a new one) per key, one row per
+    session: start, end, rows, and the sums of ``extra_sums`` {name: column expression}.
+
+    Inside a bucket, runs split at long gaps (one window pass); runs are merged across bucket
+    edges by a window over the run table (one row per session piece, far fewer than rows)."""
+    extra_sums = extra_sums or {}
+    rows, order = bucketed(df, key, us, tiebreak, (), bucket_us)
+    w = Window.partitionBy(key, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    start = F.coalesce(((F.col(us) - F.col("_lag_us")) > gap_limit_us).cast("int"), F.lit(0))
+    rows = rows.withColumn("_run", F.sum(start).over(w))
+    pieces = rows.groupBy(key, "_bucket", "_run").agg(
+        F.min(us).alias("_s"), F.max(us).alias("_e"), F.count(F.lit(1)).alias("_n"),
+        *[F.sum(c).alias(f"_x_{k}") for k, c in extra_sums.items()])
+    wk = Window.partitionBy(key).orderBy("_bucket", "_run")
+    new = F.coalesce(((F.col("_s") - F.lag("_e").over(wk)) > gap_limit_us).cast("int"), F.lit(1))
+    pieces = pieces.withColumn("_new", new)
+    pieces = pieces.withColumn("_sid", F.sum("_new").over(wk.rowsBetween(Window.unboundedPreceding, 0)))
+    return pieces.groupBy(key, "_sid").agg(
+        F.min("_s").alias("start_us"), F.max("_e").alias("end_us"), F.sum("_n").alias("n"),
+        *[F.sum(f"_x_{k}").alias(k) for k in extra_sums])

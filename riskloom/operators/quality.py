@@ -124,18 +124,26 @@ def column_profile(df: DataFrame) -> DataFrame:
     return a.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
-def describe(df: DataFrame, cols: list[str] | None = None, approx: bool = False) -> DataFrame:
-    """Per numeric column: count, mean, std, min, q25, median, q75, max (exact percentiles by
-    default).  Unpivot -> one ``groupBy(column)``."""
+def describe(df: DataFrame, cols: list[str] | None = None, approx: bool = False, accuracy: int = 10000) -> DataFrame:
+    """Per numeric column: count, mean, std, min, q25, median, q75, max.
+
+    One global aggregate with partial aggregation per input partition (no shuffle of rows);
+    the three quartiles share one percentile buffer per column.  Exact by default;
+    ``approx=True`` uses a bounded sketch for very large inputs."""
     cols = cols or [f.name for f in df.schema.fields if S.is_numeric(f.dataType)]
-    long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), q(c).cast("double").alias("v")) for c in cols])).alias("kv")
-    ).select("kv.*")
-    v = F.col("v")
-    return long.groupBy("column_name").agg(
-        F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"),
-        quantile(v, 0.25, approx).alias("q25"), quantile(v, 0.5, approx).alias("median"),
-        quantile(v, 0.75, approx).alias("q75"), F.max(v).alias("max"))
+    qs = [0.25, 0.5, 0.75]
+    aggs = []
+    for i, c in enumerate(cols):
+        v = q(c).cast("double")
+        pct = F.percentile_approx(v, qs, accuracy) if approx else F.percentile(v, F.array(*[F.lit(x) for x in qs]))
+        aggs += [F.count(v).alias(f"n{i}"), F.avg(v).alias(f"m{i}"), F.stddev_samp(v).alias(f"s{i}"),
+                 F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"), pct.alias(f"p{i}")]
+    one = df.agg(*aggs)
+    rows = [F.struct(F.lit(c).alias("column_name"), F.col(f"n{i}").alias("count"), F.col(f"m{i}").alias("mean"),
+                     F.col(f"s{i}").alias("std"), F.col(f"lo{i}").alias("min"), F.col(f"p{i}")[0].cast("double").alias("q25"),
+                     F.col(f"p{i}")[1].cast("double").alias("median"), F.col(f"p{i}")[2].cast("double").alias("q75"),
+                     F.col(f"hi{i}").alias("max")) for i, c in enumerate(cols)]
+    return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 def datetime_to_epoch(df: DataFrame) -> DataFrame:
