@@ -2,8 +2,8 @@
 categorical statistics, temporal hour profile, sessions, activity and value changes.
 
 Every operator is one lazy plan built from ``df.schema``; nothing is collected.  Aggregates are
-algebraic (partial aggregation before the shuffle) except exact percentiles, whose per-group
-value histogram can be swapped for a bounded sketch with ``approx=True``.
+algebraic (partial aggregation before the shuffle); exact percentiles use the distributed
+order-statistic plan of ``quantiles`` (``approx=True`` swaps in a bounded sketch).
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from riskloom import schema as S
 from riskloom.functions.stats import epoch_micros, quantile, sample_kurt, sample_skew
 from riskloom.operators import ordered as O
+from riskloom.operators import quantiles as Q
 from riskloom.operators.ordered import DEFAULT_BUCKET_US
 
 KEY = S.CANONICAL_KEY
@@ -44,32 +45,57 @@ def _join_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.join(b, KEY, "left"), frames)
 
 
+QUANTILE_STATS = {"median": 0.5, "q25": 0.25, "q75": 0.75}
+
+
 def numeric_stat_exprs(cols: list[str], prefix: str, approx: bool = False,
                        stats: tuple[str, ...] = ("mean", "std", "min", "max", "median", "q25", "q75")) -> list[Column]:
+    """Aggregate expressions for ``stats``; exact quantiles are left out (see ``numeric_stats``)."""
     makers = {
         "mean": lambda c: F.avg(c),
         "std": lambda c: F.stddev_samp(c),
         "min": lambda c: F.min(c).cast("double"),
         "max": lambda c: F.max(c).cast("double"),
-        "median": lambda c: quantile(c, 0.5, approx),
-        "q25": lambda c: quantile(c, 0.25, approx),
-        "q75": lambda c: quantile(c, 0.75, approx),
         "skew": lambda c: sample_skew(c),
         "kurt": lambda c: sample_kurt(c),
     }
     out = []
     for name in cols:
         c = F.col(name).cast("double")
-        out += [makers[s](c).alias(f"{prefix}_{name}_{s}") for s in stats]
+        for s in stats:
+            if s in QUANTILE_STATS:
+                if approx:
+                    out.append(quantile(c, QUANTILE_STATS[s], True).alias(f"{prefix}_{name}_{s}"))
+            else:
+                out.append(makers[s](c).alias(f"{prefix}_{name}_{s}"))
     return out
 
 
+def numeric_stats(rows: DataFrame, cols: list[str], prefix: str, approx: bool = False,
+                  stats: tuple[str, ...] = ("mean", "std", "min", "max", "median", "q25", "q75"),
+                  head: list[Column] = ()) -> DataFrame:
+    """Per key: ``head`` aggregates, then ``stats`` of every column in ``cols``.
+
+    Algebraic statistics come from one grouped aggregate; exact quantiles from the
+    distributed order-statistic plan of ``quantiles.exact_quantiles`` joined on the key (one
+    row per key on both sides), so no task holds all values of a hot key."""
+    base = rows.groupBy(KEY).agg(*head, *numeric_stat_exprs(cols, prefix, approx, stats))
+    wanted = [s for s in stats if s in QUANTILE_STATS]
+    if approx or not wanted or not cols:
+        return base
+    qs = sorted({QUANTILE_STATS[s] for s in wanted})
+    names = {q: s for s, q in QUANTILE_STATS.items()}
+    qdf = Q.exact_quantiles(rows, [KEY], cols, qs, name=lambda c, q: f"{prefix}_{c}_{names[q]}")
+    order = [KEY, *[f"{prefix}_{c}_{s}" for c in cols for s in stats]]
+    head_names = [n for n in base.columns if n not in order]
+    return base.join(qdf, KEY, "left").select(KEY, *head_names, *order[1:])
+
+
 def event_numeric_stats(df: DataFrame, key: str | None = None, prefix: str = "amplitude",
                         approx: bool = False) -> DataFrame:
     """Row count and mean/std/min/max/median/q25/q75 of every numeric column per key."""
     rows, roles, _ = keyed(df, key)
-    aggs = [F.count(F.lit(1)).alias(f"{prefix}_records_count")] + numeric_stat_exprs(roles["numeric"], prefix, approx)
-    return rows.groupBy(KEY).agg(*aggs)
+    return numeric_stats(rows, roles["numeric"], prefix, approx, head=[F.count(F.lit(1)).alias(f"{prefix}_records_count")])
 
 
 def event_moments(df: DataFrame, key: str | None = None, prefix: str = "amplitude") -> DataFrame:
@@ -132,10 +158,9 @@ def event_features(df: DataFrame, key: str | None = None, prefix: str = "amplitu
                    approx: bool = False, tiebreak: list[str] = ()) -> DataFrame:
     """The full per-key event table: counts, numeric stats + moments, intervals, categories."""
     rows, roles, _ = keyed(df, key)
-    numeric = rows.groupBy(KEY).agg(
-        F.count(F.lit(1)).alias(f"{prefix}_records_count"),
-        *numeric_stat_exprs(roles["numeric"], prefix, approx,
-                            stats=("mean", "std", "min", "max", "median", "q25", "q75", "skew", "kurt")))
+    numeric = numeric_stats(rows, roles["numeric"], prefix, approx,
+                            stats=("mean", "std", "min", "max", "median", "q25", "q75", "skew", "kurt"),
+                            head=[F.count(F.lit(1)).alias(f"{prefix}_records_count")])
     frames = [numeric]
     if roles["time"]:
         frames.append(event_intervals(df, key, prefix, tiebreak).withColumnRenamed(KEY, KEY))

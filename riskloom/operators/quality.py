@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from riskloom import schema as S
 from riskloom.functions.stats import epoch_seconds, quantile
+from riskloom.operators import quantiles as QT
 
 # Warning rules (name, profile field, comparison, threshold).
 WARNING_RULES = [
@@ -127,23 +128,28 @@ def column_profile(df: DataFrame) -> DataFrame:
 def describe(df: DataFrame, cols: list[str] | None = None, approx: bool = False, accuracy: int = 10000) -> DataFrame:
     """Per numeric column: count, mean, std, min, q25, median, q75, max.
 
-    One global aggregate with partial aggregation per input partition (no shuffle of rows);
-    the three quartiles share one percentile buffer per column.  Exact by default;
-    ``approx=True`` uses a bounded sketch for very large inputs."""
+    Algebraic statistics: one global aggregate with partial aggregation per input partition.
+    Exact quartiles: the distributed order-statistic plan of ``quantiles`` (no task holds a
+    whole column), joined on the column index; ``approx=True`` uses a bounded sketch."""
     cols = cols or [f.name for f in df.schema.fields if S.is_numeric(f.dataType)]
     qs = [0.25, 0.5, 0.75]
     aggs = []
     for i, c in enumerate(cols):
         v = q(c).cast("double")
-        pct = F.percentile_approx(v, qs, accuracy) if approx else F.percentile(v, F.array(*[F.lit(x) for x in qs]))
         aggs += [F.count(v).alias(f"n{i}"), F.avg(v).alias(f"m{i}"), F.stddev_samp(v).alias(f"s{i}"),
-                 F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"), pct.alias(f"p{i}")]
+                 F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
+        if approx:
+            aggs.append(F.percentile_approx(v, qs, accuracy).alias(f"p{i}"))
     one = df.agg(*aggs)
-    rows = [F.struct(F.lit(c).alias("column_name"), F.col(f"n{i}").alias("count"), F.col(f"m{i}").alias("mean"),
-                     F.col(f"s{i}").alias("std"), F.col(f"lo{i}").alias("min"), F.col(f"p{i}")[0].cast("double").alias("q25"),
-                     F.col(f"p{i}")[1].cast("double").alias("median"), F.col(f"p{i}")[2].cast("double").alias("q75"),
+    rows = [F.struct(F.lit(i).alias("_c"), F.lit(c).alias("column_name"), F.col(f"n{i}").alias("count"),
+                     F.col(f"m{i}").alias("mean"), F.col(f"s{i}").alias("std"), F.col(f"lo{i}").alias("min"),
+                     *([F.col(f"p{i}")[j].cast("double").alias(f"_q{j}") for j in range(3)] if approx else []),
                      F.col(f"hi{i}").alias("max")) for i, c in enumerate(cols)]
-    return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    base = one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    if not approx:
+        base = base.join(QT.quantiles_long(df, [], cols, qs), "_c", "left")
+    return base.select("column_name", "count", "mean", "std", "min", F.col("_q0").alias("q25"),
+                       F.col("_q1").alias("median"), F.col("_q2").alias("q75"), "max")
 
 
 def datetime_to_epoch(df: DataFrame) -> DataFrame:
@@ -242,7 +248,10 @@ def clean_features(df: DataFrame, keep: tuple[str, ...] = ()) -> tuple[DataFrame
 def impute_median(df: DataFrame, cols: list[str] | None = None, approx: bool = False) -> DataFrame:
     """NULL -> column median (exact by default; ``approx`` uses a bounded sketch)."""
     cols = cols or [f.name for f in df.schema.fields if S.is_numeric(f.dataType)]
-    med = df.agg(*[quantile(q(c).cast("double"), 0.5, approx).alias(c) for c in cols]).first()
+    if approx:
+        med = df.agg(*[quantile(q(c).cast("double"), 0.5, True).alias(c) for c in cols]).first()
+    else:  # one row read on the driver; the medians themselves are computed distributed
+        med = QT.exact_quantiles(df, [], cols, [0.5], name=lambda c, _: c).first()
     return df.select(*[F.coalesce(q(f.name).cast("double"), F.lit(med[f.name])).alias(f.name) if f.name in cols
                        else q(f.name) for f in df.schema.fields])
 

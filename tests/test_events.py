@@ -98,3 +98,29 @@ def test_partition_count_does_not_change_result(spark):
     ra = sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in a.select(*sort).collect())
     rb = sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in b.select(*sort).collect())
     assert ra == rb
+
+
+def test_exact_quantiles_hot_group_against_numpy(spark):
+    import numpy as np
+
+    from riskloom.operators import quantiles as QT
+    rng = np.random.default_rng(3)
+    hot = np.concatenate([rng.normal(0, 1e3, 20000), rng.integers(-5, 5, 5000).astype(float), [0.0] * 100])
+    data = [("hot", float(v)) for v in hot] + [("cold", 1.5), ("cold", -2.0)]
+    df = spark.createDataFrame(data, "k string, v double").repartition(6)
+    qs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
+    out = {r["k"]: r for r in QT.exact_quantiles(df, ["k"], ["v"], qs).collect()}
+    for q in qs:
+        assert out["hot"][f"v_q{q}"] == pytest.approx(float(np.quantile(hot, q)), rel=1e-12, abs=1e-9)
+        assert out["cold"][f"v_q{q}"] == pytest.approx(float(np.quantile([1.5, -2.0], q)))
+    plan = QT.exact_quantiles(df, ["k"], ["v"], qs)._jdf.queryExecution().executedPlan().toString()
+    assert "percentile" not in plan.lower()
+
+
+def test_order_bucket_is_monotone(spark):
+    from riskloom.operators import quantiles as QT
+    vals = sorted([float("-inf"), -1e308, -3.5, -1.0, -1e-300, -5e-324, 0.0, 5e-324, 1e-300, 0.999999, 1.0, 1.0000001,
+                   2.0, 7.9999999, 8.0, 1e308, float("inf")])
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "i int, v double")
+    b = [r[0] for r in df.orderBy("i").select(QT.order_bucket(F.col("v"))).collect()]
+    assert b == sorted(b)
