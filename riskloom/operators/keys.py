@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.keys import normalize_key
+from riskloom.session import cut_lineage
 
 
 def normalize_keys(df: DataFrame, col: str, out: str = "key") -> DataFrame:
@@ -26,3 +27,76 @@ def key_overlap(sources: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     per_mask = masks.groupBy("mask").agg(F.count(F.lit(1)).alias("n_keys"))
     in_src = [F.when((F.col("mask").bitwiseAND(1 << i)) > 0, F.lit(n)) for i, n in enumerate(names)]
     return per_mask.select("mask", F.concat_ws("+", *in_src).alias("sources"), "n_keys")
+
+
+def _ratio(threshold: float) -> tuple[int, int]:
+    """threshold as p/q, so that "similarity >= threshold" is the integer test ed*q <= (q-p)*m."""
+    from fractions import Fraction
+    f = Fraction(threshold).limit_denominator(1000)
+    return f.numerator, f.denominator
+
+
+def _variants(keys: DataFrame, budget: Column, levels: int) -> DataFrame:
+    """Distinct (key, v, k): v = key minus k characters (k = fewest deletions giving v), up to
+    each key's budget.  Each level deletes one more character from the previous level's new
+    variants (explode over positions, then distinct); the result is checkpointed."""
+    cur = keys.select("key", F.col("key").alias("v"), budget.alias("_budget"))
+    parts = [cur.select("key", "v", F.lit(0).alias("k"))]
+    for d in range(1, levels + 1):
+        cur = cut_lineage(
+            cur.where((F.col("_budget") >= d) & (F.length("v") > 0))
+            .select("key", "v", "_budget", F.explode(F.sequence(F.lit(1), F.length("v"))).alias("_i"))
+            .select("key", F.expr("concat(substring(v, 1, _i - 1), substring(v, _i + 1))").alias("v"), "_budget")
+            .distinct())
+        parts.append(cur.select("key", "v", F.lit(d).alias("k")))
+    return cut_lineage(reduce(DataFrame.unionByName, parts).groupBy("key", "v").agg(F.min("k").alias("k")))
+
+
+def fuzzy_key_map(left_keys: DataFrame, right_keys: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """Best right key per left key: (key, match_key, distance, similarity).
+
+    similarity = 1 - levenshtein / longer length; a pair qualifies when it reaches
+    ``threshold`` (tested in integers).  Best = smallest distance, then highest
+    similarity, then smallest right key.
+
+    Exact without comparing all pairs: a qualifying pair has distance
+    <= (1-t)·max(len) <= (1-t)·len/t for either key, and two keys within distance d share a
+    variant obtained by deleting at most d characters from each (symmetric deletion).
+    Distances are searched level by level (0, 1, ..., the largest budget); a left key leaves
+    the search at the first level where it has a qualifying pair, since every pair of that
+    distance or less has been seen by then.  Candidate groups (keys sharing one variant) are
+    bounded by the key alphabet and length, not by the number of keys.  Variant tables and
+    each level's result are checkpointed, so levels do not recompute each other."""
+    p, q = _ratio(threshold)
+    lk = left_keys.select(F.col(left_keys.columns[0]).cast("string").alias("key")).where(F.col("key").isNotNull()).distinct()
+    rk = right_keys.select(F.col(right_keys.columns[0]).cast("string").alias("key")).where(F.col("key").isNotNull()).distinct()
+    budget = F.floor(F.length("key") * F.lit(q - p) / F.lit(p)).cast("int") if p > 0 else F.length("key")
+    top = lk.unionByName(rk).agg(F.max(F.length("key"))).first()[0] or 0  # one row on the driver
+    levels = int(top * (q - p) // p) if p > 0 else int(top)
+    lv, rv = _variants(lk, budget, levels), _variants(rk, budget, levels).withColumnRenamed("key", "match_key")
+    found, open_keys = [], cut_lineage(lk)
+    for d in range(levels + 1):
+        cand = lv.where(F.col("k") <= d).join(open_keys, "key", "left_semi") \
+            .join(rv.where(F.col("k") <= d).drop("k"), "v").select("key", "match_key").distinct()
+        m = F.greatest(F.length("key"), F.length("match_key"))
+        ok = cand.select("key", "match_key", F.levenshtein("key", "match_key", d).alias("distance"), m.alias("_m")) \
+            .where((F.col("distance") >= 0) & (F.col("distance") * F.lit(q) <= F.lit(q - p) * F.col("_m")))
+        best = cut_lineage(
+            ok.groupBy("key").agg(F.min(F.struct("distance", (-F.col("_m")).alias("_negm"), "match_key")).alias("b"))
+            .select("key", F.col("b.match_key").alias("match_key"), F.col("b.distance").alias("distance"),
+                    (F.lit(1.0) - F.col("b.distance") / (-F.col("b._negm"))).alias("similarity")))
+        found.append(best)
+        if d < levels:
+            open_keys = cut_lineage(open_keys.join(best.select("key"), "key", "left_anti"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def fuzzy_key_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
+                   threshold: float = 0.8) -> DataFrame:
+    """Rows of ``left`` joined (inner) with the rows of ``right`` whose key is the best
+    fuzzy match of the left key; adds ``key_similarity``."""
+    mapping = fuzzy_key_map(left.select(F.col(f"`{left_key}`")), right.select(F.col(f"`{right_key}`")), threshold)
+    lm = left.join(mapping.select(F.col("key").alias("_lk"), F.col("match_key").alias("_rk"),
+                                  F.col("similarity").alias("key_similarity")),
+                   F.col(f"`{left_key}`").cast("string") == F.col("_lk"))
+    return lm.join(right, F.col("_rk") == F.col(f"`{right_key}`").cast("string")).drop("_lk", "_rk")

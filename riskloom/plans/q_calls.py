@@ -156,3 +156,28 @@ def q_key_overlap(spark, sf):
     return K.key_overlap({"events": (table(spark, sf, "events"), "user_id"),
                           "orders": (table(spark, sf, "orders"), "o_custkey"),
                           "customer": (table(spark, sf, "customer"), "c_custkey")})
+
+
+# Fixed value: the client-key format of the right side of the fuzzy join.
+CLIENT_KEY_PREFIX = "Д286-"
+
+
+@register("fuzzy_key_join", X.with_ctes(r"""
+, cu AS (SELECT c_custkey, c_name, c_mktsegment, 'Д286-' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS client_key
+         FROM customer),
+lk AS (SELECT DISTINCT "APPLICATIONID" AS k FROM link WHERE "APPLICATIONID" IS NOT NULL),
+rk AS (SELECT DISTINCT client_key AS k FROM cu),
+pairs AS (SELECT lk.k AS a, rk.k AS b, levenshtein(lk.k, rk.k) AS ed, greatest(length(lk.k), length(rk.k)) AS m
+          FROM lk, rk),
+best AS (SELECT a, b, ed, m FROM (
+           SELECT *, row_number() OVER (PARTITION BY a ORDER BY ed, m DESC, b) AS rn FROM pairs WHERE ed * 5 <= m)
+         WHERE rn = 1)
+SELECT link."Файлы", link."APPLICATIONID", link."Абонент 2 прив2", link."Дата и время звонка", link.link_row,
+       ROUND(1 - best.ed / best.m, 6) AS key_similarity, cu.c_custkey, cu.c_name, cu.c_mktsegment, cu.client_key
+FROM link JOIN best ON link."APPLICATIONID" = best.a JOIN cu ON cu.client_key = best.b""", calls=False).replace(
+    "\n, cu AS", ",\ncu AS"))
+def q_fuzzy_key_join(spark, sf):
+    cu = table(spark, sf, "customer").select(
+        "c_custkey", "c_name", "c_mktsegment",
+        F.concat(F.lit(CLIENT_KEY_PREFIX), F.lpad(F.col("c_custkey").cast("string"), 9, "0")).alias("client_key"))
+    return K.fuzzy_key_join(_link(spark, sf), cu, X.APP_COL, "client_key", 0.8)

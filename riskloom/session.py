@@ -54,6 +54,8 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | No
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
-    if not df.sparkSession.sparkContext.getCheckpointDir():
-        checkpoint_dir(df.sparkSession)
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir() and not checkpoint_dir(spark):
+        import tempfile  # local runs only: the session names no shared folder
+        checkpoint_dir(spark, fallback=tempfile.mkdtemp(prefix="riskloom-ckpt-"))
     return df.checkpoint(eager=True)
