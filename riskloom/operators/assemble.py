@@ -93,22 +93,31 @@ def prediction_matrix(applications: DataFrame, app_key: str, features: list[str]
     return cleaned
 
 
+# Broadcast the per-day table only when the events' date range bounds it below this many rows.
+MAX_BROADCAST_DAYS = 100_000
+
+
 def temporal_join(apps: DataFrame, app_id: str, app_time: str, events: DataFrame, event_time: str,
                   order: list[str], window_days: int = 1) -> DataFrame:
     """Each application takes the earliest event (by ``order``) dated within +-``window_days``
     of its own date; applications without one are dropped.
 
-    Plan: earliest event per calendar day (one small row per day), every application exploded
-    to its 2w+1 candidate days, equi-join on the day, earliest kept per application."""
+    Plan: earliest event per calendar day (partial aggregation), spread to the 2w+1 days it
+    can serve and reduced again, so the lookup table has one row per day of the events' date
+    range (+2w).  That range, read as one aggregate row, bounds the table: up to
+    ``MAX_BROADCAST_DAYS`` rows it is broadcast and applications are never shuffled (no
+    hot-day skew); beyond it the same equi-join on the day runs as a shuffle join."""
     ev_cols = list(events.columns)
     first = F.min(F.struct(*[F.col(c).alias(f"o_{i}") for i, c in enumerate(order)],
                            *[F.col(c).alias(f"e_{c}") for c in ev_cols]))
-    per_day = events.where(F.col(event_time).isNotNull()).groupBy(F.to_date(event_time).alias("_day")).agg(first.alias("_e"))
-    day = F.to_date(app_time)
-    cand = apps.where(F.col(app_time).isNotNull()).withColumn(
-        "_day", F.explode(F.sequence(F.date_sub(day, window_days), F.date_add(day, window_days))))
-    j = cand.join(per_day, "_day", "inner")
+    dated = events.where(F.col(event_time).isNotNull())
+    per_day = dated.groupBy(F.to_date(event_time).alias("_day")).agg(first.alias("_e"))
+    reach = per_day.select(F.explode(F.sequence(F.date_sub("_day", window_days), F.date_add("_day", window_days))).alias("_day"),
+                           "_e").groupBy("_day").agg(F.min("_e").alias("_e"))
+    rng = dated.agg(F.min(F.to_date(event_time)).alias("lo"), F.max(F.to_date(event_time)).alias("hi")).first()
+    n_days = (rng["hi"] - rng["lo"]).days + 1 + 2 * window_days if rng["lo"] is not None else 0
+    side = F.broadcast(reach) if n_days <= MAX_BROADCAST_DAYS else reach
+    j = apps.where(F.col(app_time).isNotNull()).join(side, F.to_date(app_time) == F.col("_day"), "inner")
     others = [c for c in apps.columns if c != app_id]
-    out = j.groupBy(app_id).agg(*[F.any_value(c).alias(c) for c in others], F.min("_e").alias("_e"))
-    return out.select(app_id, *others, *[F.col("_e")[f"e_{c}"].alias(c if c not in apps.columns else f"{c}_event")
-                                         for c in ev_cols])
+    return j.select(app_id, *others, *[F.col("_e")[f"e_{c}"].alias(c if c not in apps.columns else f"{c}_event")
+                                       for c in ev_cols])

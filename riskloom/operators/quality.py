@@ -95,6 +95,12 @@ def quality_warnings(profile: DataFrame) -> DataFrame:
     return profile.select(F.explode(F.array(*rows)).alias("w")).select("w.*")
 
 
+# A value that, after leading blanks/control characters, starts with a letter other than the
+# first letters of Infinity / NaN can never cast to a number; testing that first avoids a
+# failed parse (an exception inside the JVM) for every text value.
+NEVER_NUMERIC = r"^[\x00-\x20]*[a-hj-mo-zA-HJ-MO-Z]"
+
+
 def column_profile(df: DataFrame) -> DataFrame:
     """Rows (column, kind, non_null, is_constant, is_numeric_like) from one aggregate pass.
 
@@ -105,7 +111,7 @@ def column_profile(df: DataFrame) -> DataFrame:
     for i, f in enumerate(fields):
         aggs += [F.count(q(f.name)).alias(f"_c{i}"), F.min(q(f.name)).alias(f"_lo{i}"), F.max(q(f.name)).alias(f"_hi{i}")]
         if S.is_string(f.dataType):
-            bad = q(f.name).isNotNull() & q(f.name).try_cast("double").isNull()
+            bad = q(f.name).isNotNull() & (q(f.name).rlike(NEVER_NUMERIC) | q(f.name).try_cast("double").isNull())
             aggs.append(F.max(bad.cast("int")).alias(f"_bad{i}"))
     a = df.agg(*aggs)
     rows = []
