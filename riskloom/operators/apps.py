@@ -86,18 +86,25 @@ def row_text_features(df: DataFrame, row_key: str, prefix: str = "app") -> DataF
     return df.select(*cols)
 
 
+# Code tables up to this many distinct values are broadcast (checked by counting them first).
+MAX_BROADCAST_CODES = 100_000
+
+
 def encode_categories(df: DataFrame, cols: list[str], key: str | None = None,
                       ratio: tuple[str, str] | None = None, prefix: str = "app") -> DataFrame:
     """Dense integer codes (1-based, by sorted value) for low-cardinality string columns, plus
     an optional numerator/denominator ratio (NULL when the denominator is 0 or NULL).
 
     The code tables hold one row per distinct value: a ``dense_rank`` over the de-duplicated
-    values (one small task each), joined back by value."""
+    values, joined back by value.  A join on a low-cardinality column must not shuffle the
+    rows (each value would be one task), so the table is broadcast once its counted size is
+    within ``MAX_BROADCAST_CODES``; larger tables fall back to a shuffle join."""
     out = df
     for c in cols:
-        codes = df.select(c).where(F.col(c).isNotNull()).distinct().withColumn(
-            f"{prefix}_{c}_code", F.dense_rank().over(Window.orderBy(c)))
-        out = out.join(codes, c, "left")
+        values = df.select(c).where(F.col(c).isNotNull()).distinct()
+        codes = values.withColumn(f"{prefix}_{c}_code", F.dense_rank().over(Window.orderBy(c)))
+        small = values.count() <= MAX_BROADCAST_CODES  # one aggregate row on the driver
+        out = out.join(F.broadcast(codes) if small else codes, c, "left")
     if ratio:
         num, den = ratio
         out = out.withColumn(f"{prefix}_{num}_to_{den}_ratio",
