@@ -16,21 +16,24 @@ def basename(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/\\]*)$", 1)
 
 
-def parse_call_name(name: Column) -> Column:
-    """Struct of call_id, call_time, phone, codes (array<string>) and user_stem.
-
-    Fewer than three ``_`` parts: call_id is the stem, the rest NULL and codes empty.
-    Otherwise part 0 is the time (NULL when it does not parse), part 1 the call id, and the
-    remainder (re-joined with ``_``) split on ``,``: the first piece is the phone, the
-    others are codes with ``_`` then blanks stripped, empties dropped.
-    """
+def call_stem(name: Column) -> Column:
     stem = name
     for suffix in REMOVED_SUFFIXES:
         stem = F.replace(stem, F.lit(suffix), F.lit(""))
-    parts = F.split(stem, "_", -1)
-    n = F.size(parts)
-    rest = F.array_join(F.slice(parts, 3, F.greatest(n - 2, F.lit(1))), "_")
-    pieces = F.split(rest, ",", -1)
+    return stem
+
+
+def call_parts(stem: Column) -> Column:
+    return F.split(stem, "_", -1)
+
+
+def call_pieces(parts: Column) -> Column:
+    """The remainder after time and id, re-joined with ``_`` and split on ``,``."""
+    return F.split(F.array_join(F.slice(parts, 3, F.greatest(F.size(parts) - 2, F.lit(1))), "_"), ",", -1)
+
+
+def call_fields(stem: Column, parts: Column, pieces: Column) -> list[Column]:
+    """call_id, call_time, phone, codes, user_stem from the three intermediate columns."""
     codes_raw = F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(1)))
     codes = F.filter(
         F.transform(
@@ -39,13 +42,27 @@ def parse_call_name(name: Column) -> Column:
         ),
         lambda x: x != "",
     )
-    well_formed = n >= 3
-    ts = F.try_to_timestamp(F.get(parts, 0), F.lit(TIME_PATTERN)).cast("timestamp_ntz")
-    ts = F.when(F.get(parts, 0).rlike(r"^[0-9]{14}$"), ts)
-    return F.struct(
+    well_formed = F.size(parts) >= 3
+    first = F.get(parts, 0)
+    ts = F.when(first.rlike(r"^[0-9]{14}$"), F.try_to_timestamp(first, F.lit(TIME_PATTERN)).cast("timestamp_ntz"))
+    return [
         F.when(well_formed, F.get(parts, 1)).otherwise(stem).alias("call_id"),
         F.when(well_formed, ts).alias("call_time"),
         F.when(well_formed, F.get(pieces, 0)).alias("phone"),
         F.when(well_formed, codes).otherwise(F.array().cast("array<string>")).alias("codes"),
-        F.get(parts, 0).alias("user_stem"),
-    )
+        first.alias("user_stem"),
+    ]
+
+
+def parse_call_name(name: Column) -> Column:
+    """Struct of call_id, call_time, phone, codes (array<string>) and user_stem.
+
+    Fewer than three ``_`` parts: call_id is the stem, the rest NULL and codes empty.
+    Otherwise part 0 is the time (NULL when it does not parse), part 1 the call id, and the
+    remainder (re-joined with ``_``) split on ``,``: the first piece is the phone, the
+    others are codes with ``_`` then blanks stripped, empties dropped.  (Table form with
+    each intermediate computed once: ``operators.calls.parse_calls``.)
+    """
+    stem = call_stem(name)
+    parts = call_parts(stem)
+    return F.struct(*call_fields(stem, parts, call_pieces(parts)))

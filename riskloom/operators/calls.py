@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom import schema as S
-from riskloom.functions.calls import basename, parse_call_name
+from riskloom.functions import calls as FC
+from riskloom.functions.calls import basename
 from riskloom.operators.events import BUSINESS_FROM, BUSINESS_TO, NIGHT_FROM, NIGHT_TO, WEEKEND_FROM
 
 KEY = S.CANONICAL_KEY
@@ -16,10 +17,15 @@ MAX_CODE_COLUMNS = 3
 
 
 def parse_calls(listing: DataFrame, name_col: str = "file_name") -> DataFrame:
-    """file listing (path, file_name, file_size) -> parsed call rows."""
-    p = parse_call_name(F.col(name_col))
-    return listing.select("*", p.alias("_p")).select(
-        *listing.columns, "_p.call_id", "_p.call_time", "_p.phone", "_p.codes", F.col("_p.user_stem").alias("file_user"))
+    """file listing (path, file_name, file_size) -> parsed call rows.
+
+    Stem, parts and pieces are separate projections, so each is computed once per row
+    (Catalyst keeps a projection apart when merging it would repeat a costly expression)."""
+    x = listing.select("*", FC.call_stem(F.col(name_col)).alias("_stem"))
+    x = x.select("*", FC.call_parts(F.col("_stem")).alias("_parts"))
+    x = x.select("*", FC.call_pieces(F.col("_parts")).alias("_pieces"))
+    f = FC.call_fields(F.col("_stem"), F.col("_parts"), F.col("_pieces"))
+    return x.select(*listing.columns, *f[:4], f[4].alias("file_user"))
 
 
 def call_features(calls: DataFrame, app_col: str | None = None) -> DataFrame:
