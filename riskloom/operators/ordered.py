@@ -2,7 +2,8 @@
 sessions) that stay parallel when one key holds a large share of all rows.
 
 Rows are shuffled once, by (key, time bucket), and ordered inside each bucket by one window
-pass.  Everything that crosses a bucket edge is settled on small tables of one row per
+pass; a (key, bucket) with more than ``HOT_ROWS`` rows is cut into finer time slices (the
+list of such pairs is provably short and broadcast).  Everything that crosses a bucket edge is settled on small tables of one row per
 (key, bucket) or per session piece, using the first and last row of each bucket.  No step
 sends all rows of a key to one task and no row-level join follows the window.
 """
@@ -16,22 +17,47 @@ DEFAULT_BUCKET_US = 3600 * 1_000_000
 US = 1_000_000
 
 
+# A (key, bucket) with more rows than this is split into finer time sub-buckets.
+HOT_ROWS = 4_000_000
+# Bound on the list of hot (key, bucket) pairs that is broadcast: the threshold is raised to
+# total / MAX_HOT when needed, and at most total / threshold pairs can exceed it.
+MAX_HOT = 10_000
+SUB_BITS = 20
+
+
+def _bucket_ids(rows: DataFrame, key: str, us: str, bucket_us: int, hot_rows: int) -> DataFrame:
+    """``_bucket``: a per-key, time-monotone BIGINT.  Normal pairs use the coarse time bucket;
+    a pair holding more than the threshold is cut into ceil(rows / hot_rows) equal time
+    slices (rows of one timestamp never straddle a cut, so the (time, tiebreak) order across
+    slices is kept and all edge logic stays exact)."""
+    rows = rows.withColumn("_coarse", F.floor(F.col(us) / F.lit(bucket_us)))
+    counts = rows.groupBy(key, "_coarse").agg(F.count(F.lit(1)).alias("_c"))
+    total = counts.agg(F.sum("_c")).first()[0] or 0  # one number on the driver
+    limit = max(hot_rows, -(-total // MAX_HOT))
+    parts = F.least(F.ceil(F.col("_c") / F.lit(hot_rows)), F.lit((1 << SUB_BITS) - 1)).cast("bigint")
+    hot = counts.where(F.col("_c") > limit).select(key, "_coarse", parts.alias("_parts"))  # <= MAX_HOT rows
+    offset = F.col(us) - F.col("_coarse") * F.lit(bucket_us)
+    sub = F.floor(offset.cast("double") * F.col("_parts") / F.lit(float(bucket_us))).cast("bigint")
+    return rows.join(F.broadcast(hot), [key, "_coarse"], "left").withColumn(
+        "_bucket", F.col("_coarse") * F.lit(1 << SUB_BITS) + F.coalesce(sub, F.lit(0))).drop("_coarse", "_parts")
+
+
 def bucketed(df: DataFrame, key: str, us: str, tiebreak: list[str] = (), cols: list[str] = (),
-             bucket_us: int = DEFAULT_BUCKET_US) -> tuple[DataFrame, list[str]]:
+             bucket_us: int = DEFAULT_BUCKET_US, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, list[str]]:
     """Rows with ``_bucket``, the in-bucket previous time ``_lag_us`` and previous values
     ``_lag_<c>`` (NULL on a bucket's first row).  Rows with NULL ``us`` are dropped."""
     order = [us, *tiebreak]
-    rows = df.where(F.col(us).isNotNull()).withColumn("_bucket", F.floor(F.col(us) / F.lit(bucket_us)))
+    rows = _bucket_ids(df.where(F.col(us).isNotNull()), key, us, bucket_us, hot_rows)
     w = Window.partitionBy(key, "_bucket").orderBy(*order)
     return rows.select("*", F.lag(us).over(w).alias("_lag_us"),
                        *[F.lag(c).over(w).alias(f"_lag_{c}") for c in cols]), order
 
 
 def gap_moments(df: DataFrame, key: str, us: str, tiebreak: list[str] = (),
-                bucket_us: int = DEFAULT_BUCKET_US) -> DataFrame:
+                bucket_us: int = DEFAULT_BUCKET_US, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Per key: n, min/max time, and count / sum / sum of squares of the gaps (seconds)
     between consecutive times."""
-    rows, _ = bucketed(df, key, us, tiebreak, (), bucket_us)
+    rows, _ = bucketed(df, key, us, tiebreak, (), bucket_us, hot_rows)
     g = (F.col(us) - F.col("_lag_us")).cast("double") / US
     per_bucket = rows.groupBy(key, "_bucket").agg(
         F.count(F.lit(1)).alias("_n"), F.min(us).alias("_min"), F.max(us).alias("_max"),
@@ -47,10 +73,10 @@ def gap_moments(df: DataFrame, key: str, us: str, tiebreak: list[str] = (),
 
 
 def change_counts(df: DataFrame, key: str, us: str, cols: list[str], tiebreak: list[str] = (),
-                  bucket_us: int = DEFAULT_BUCKET_US) -> DataFrame:
+                  bucket_us: int = DEFAULT_BUCKET_US, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Per key and column: number of rows whose value differs (NULL-safe) from the previous
     row's value in time order."""
-    rows, order = bucketed(df, key, us, tiebreak, cols, bucket_us)
+    rows, order = bucketed(df, key, us, tiebreak, cols, bucket_us, hot_rows)
     inner = [F.count(F.when(F.col("_lag_us").isNotNull() & ~F.col(c).eqNullSafe(F.col(f"_lag_{c}")), 1)).alias(f"_in_{c}")
              for c in cols]
     first = F.min(F.struct(*[F.col(o) for o in order], *[F.col(c).alias(f"v_{c}") for c in cols]))
@@ -64,14 +90,15 @@ def change_counts(df: DataFrame, key: str, us: str, cols: list[str], tiebreak: l
 
 
 def session_pieces(df: DataFrame, key: str, us: str, gap_limit_us: int, tiebreak: list[str] = (),
-                   extra_sums: dict | None = None, bucket_us: int = DEFAULT_BUCKET_US) -> DataFrame:
+                   extra_sums: dict | None = None, bucket_us: int = DEFAULT_BUCKET_US,
+                   hot_rows: int = HOT_ROWS) -> DataFrame:
     """Gap sessions (a gap longer than ``gap_limit_us`` starts a new one) per key, one row per
     session: start, end, rows, and the sums of ``extra_sums`` {name: column expression}.
 
     Inside a bucket, runs split at long gaps (one window pass); runs are merged across bucket
     edges by a window over the run table (one row per session piece, far fewer than rows)."""
     extra_sums = extra_sums or {}
-    rows, order = bucketed(df, key, us, tiebreak, (), bucket_us)
+    rows, order = bucketed(df, key, us, tiebreak, (), bucket_us, hot_rows)
     w = Window.partitionBy(key, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     start = F.coalesce(((F.col(us) - F.col("_lag_us")) > gap_limit_us).cast("int"), F.lit(0))
     rows = rows.withColumn("_run", F.sum(start).over(w))

@@ -124,3 +124,23 @@ def test_order_bucket_is_monotone(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "i int, v double")
     b = [r[0] for r in df.orderBy("i").select(QT.order_bucket(F.col("v"))).collect()]
     assert b == sorted(b)
+
+
+def test_hot_bucket_split_is_exact(spark):
+    from riskloom.operators import ordered as O
+    rng = __import__("random").Random(5)
+    base = 1_704_067_200_000_000
+    rows = [("hot", base + rng.randrange(0, 3600 * 10**6), rng.choice("xyz")) for _ in range(3000)]
+    rows += [("hot", base + 5, "x"), ("hot", base + 5, "y")]  # equal times stay in one slice
+    rows += [("cold", base + i * 7 * 10**8, "x") for i in range(50)]
+    df = spark.createDataFrame([(k, u, v, i) for i, (k, u, v) in enumerate(rows)], "k string, us long, v string, i int")
+
+    def run(hot_rows):
+        g = {r["k"]: tuple(round(x, 6) if isinstance(x, float) else x for x in r)
+             for r in O.gap_moments(df, "k", "us", ["i"], hot_rows=hot_rows).collect()}
+        c = {r["k"]: r["v"] for r in O.change_counts(df, "k", "us", ["v"], ["i"], hot_rows=hot_rows).collect()}
+        s = sorted(tuple(r) for r in O.session_pieces(df, "k", "us", 60 * 10**6, ["i"], hot_rows=hot_rows)
+                   .select("k", "start_us", "end_us", "n").collect())
+        return g, c, s
+
+    assert run(7) == run(10**9)
