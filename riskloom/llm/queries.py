@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import bpe
+from riskloom.llm import bpe, exact, mixing
 from riskloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,3 +27,15 @@ def register(name: str, sql: str | None = None):
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@register("op9_exact_dedup", exact.SQL)
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group, keeper and digest of every document."""
+    return exact.exact_dedup(table(spark, sf_dir, "documents"))
+
+
+@register("op10_mixing", mixing.SQL)
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
