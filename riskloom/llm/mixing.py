@@ -84,8 +84,11 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget=BUDGET, repeats=REPEATS, seed:
             if last is None:
                 ok = finish < F.lit(edge["b"]) / ranges
             else:
-                mine = F.struct(finish, F.col("rn"), F.col("r"), F.coalesce("doc_id", F.lit(-2**63)), F.col("size"), F.lit(p))
-                ok = mine <= F.struct(*(F.lit(x) for x in (last["finish"], last["rn"], last["r"], -2**63 if last["doc_id"] is None else last["doc_id"], last["size"], last["pass"])))
+                kinds = ["double", "int", "string", "long", "long", "int"]
+                mine = [finish, F.col("rn"), F.col("r"), F.coalesce("doc_id", F.lit(-2**63)), F.col("size"), F.lit(p)]
+                edges = [*last[:3], -2**63 if last["doc_id"] is None else last["doc_id"], *last[4:6]]
+                ok = F.struct(*(c.cast(k).alias(f"c{i}") for i, (c, k) in enumerate(zip(mine, kinds, strict=True)))) <= F.struct(
+                    *(F.lit(x).cast(k).alias(f"c{i}") for i, (x, k) in enumerate(zip(edges, kinds, strict=True))))
             copies = copies + F.when((F.col("size") > 0) & (F.col("target") > 0) & ok, 1).otherwise(0)
     out = rows.withColumn("copies", copies.cast("int"))
     finish = F.when((F.col("size") > 0) & (F.col("target") > 0), F.col("end") / F.col("target"))
