@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import bpe, exact, langid, mixing, quality
+from riskloom.llm import bpe, exact, langid, mixing, quality, simhash
 from riskloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,9 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document."""
     return langid.identify(table(spark, sf_dir, "documents"))
+
+
+@register("op7_simhash")
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
