@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import bpe, exact, langid, mixing, quality, simhash
+from riskloom.llm import bpe, exact, langid, mixing, quality, simhash, topk, warc
 from riskloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,15 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register("op2_topk", topk.SQL)
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best inner products of every fiftieth vector."""
+    return topk.search_table(table(spark, sf_dir, "embeddings"))
+
+
+@register("op4_warc", warc.SQL)
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Record type and digest of every page, read back from its archive."""
+    return warc.archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
