@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +34,7 @@ SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECES = f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
 SHORT = 96
-CACHED = 900_000
+CACHED = 300_000
 NONE = np.int32(2**31 - 1)
 _loaded: dict[str, Codec] = {}
 
@@ -74,6 +75,7 @@ class Codec:
         self.split = re.compile(PIECES)
         self.marks = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left.astype(np.int64) << 32 | right
@@ -167,11 +169,12 @@ class Codec:
             spans = [t or ""] if self.marks is None or not any(m in (t or "") for m in self.special) else self.marks.split(t)
             docs.append([s if s in self.special else self.split.findall(s) for s in spans if s])
         spans = [s for d in docs for s in d if isinstance(s, list)]
+        if len(self.cache) > CACHED:  # two generations: what is still in use moves on to the younger
+            self.older, self.cache = self.cache, {}
         missing = {p for s in spans for p in s if p not in self.cache}
-        if len(self.cache) + len(missing) > CACHED:
-            self.cache = {}
-            missing = {p for s in spans for p in s}
-        parts = {p: self.words_of(p) for p in missing}
+        kept = {p: self.older[p] for p in missing if p in self.older}
+        self.cache.update(kept)
+        parts = {p: self.words_of(p) for p in missing if p not in kept}
         known = self.encode_words(list({w for ws in parts.values() for w in ws}))
         fresh = {p: known[ws[0]] if len(ws) == 1 else b"".join(map(known.__getitem__, ws)) for p, ws in parts.items()}
         self.cache.update(fresh)
@@ -188,10 +191,10 @@ def codec(path: str) -> Codec:
     return _loaded[path]
 
 
-def _slices(col: pa.Array, most: int = 8_000_000) -> Iterator[tuple[int, int]]:
+def _slices(col: pa.Array, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Row ranges with about ``most`` bytes or ids, so that one batch of long texts stays small."""
     lo, held = 0, 0
-    for i, n in enumerate(pa.compute.fill_null(pa.compute.binary_length(col) if not pa.types.is_list(col.type) else pa.compute.list_value_length(col), 0).to_pylist()):
+    for i, n in enumerate(pc.fill_null(pc.binary_length(col) if not pa.types.is_list(col.type) else pc.list_value_length(col), 0).to_pylist()):
         held += n
         if held >= most:
             yield lo, i + 1
@@ -200,8 +203,8 @@ def _slices(col: pa.Array, most: int = 8_000_000) -> Iterator[tuple[int, int]]:
         yield lo, len(col)
 
 
-def _replaced(batch: pa.RecordBatch, names: list[str], name: str, values: pa.Array) -> pa.RecordBatch:
-    cols = {c: batch.column(c) for c in batch.schema.names} | {name: values}
+def _replaced(batch: pa.RecordBatch, names: list[str], values: dict[str, pa.Array]) -> pa.RecordBatch:
+    cols = {c: batch.column(c) for c in batch.schema.names} | values
     return pa.RecordBatch.from_arrays([cols[c] for c in names], names=names)
 
 
@@ -209,6 +212,17 @@ def _schema(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
     return T.StructType([f for f in df.schema.fields if f.name != name] + [T.StructField(name, kind)])
 
 
+def _batches(column: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for lo, hi in _slices(whole.column(column)):
+            yield whole.slice(lo, hi - lo)
+
+
+def _ids(got: list[bytes]) -> pa.Array:
+    ends = np.cumsum([0, *(len(x) // 4 for x in got)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(got), np.int32)))
+
+
 def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
     """Adds ``out``, the array of token ids of ``text``. ``path``: the vocabulary file on every host.
 
@@ -216,17 +230,11 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> Da
     it adds none itself.
     """
     schema = _schema(df, out, T.ArrayType(T.IntegerType()))
-    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        for whole in batches:
-            for lo, hi in _slices(whole.column(text)):
-                b = whole.slice(lo, hi - lo)
-                got = own.encode_batch(b.column(text).to_pylist())
-                ends = np.cumsum([0, *(len(x) // 4 for x in got)]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(got), np.int32)))
-                yield _replaced(b, names, out, ids)
+        for b in _batches(text, batches):
+            yield _replaced(b, schema.names, {out: _ids(own.encode_batch(b.column(text).to_pylist()))})
 
     return df.mapInArrow(run, schema)
 
@@ -235,15 +243,26 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
     """Adds ``out``, the text of the token ids; special tokens stay, bytes that are no UTF-8 become
     U+FFFD, null ids count as none."""
     schema = _schema(df, out, T.StringType())
-    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        for whole in batches:
-            for lo, hi in _slices(whole.column(ids)):
-                b = whole.slice(lo, hi - lo)
-                texts = [own.decode(x) if x else "" for x in b.column(ids).to_pylist()]
-                yield _replaced(b, names, out, pa.array(texts, pa.string()))
+        for b in _batches(ids, batches):
+            texts = [own.decode(x) if x else "" for x in b.column(ids).to_pylist()]
+            yield _replaced(b, schema.names, {out: pa.array(texts, pa.string())})
+
+    return df.mapInArrow(run, schema)
+
+
+def encode_decode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """Adds both columns in one pass, so that the ids cross to Python once only."""
+    schema = _schema(df.drop(out), ids, T.ArrayType(T.IntegerType())).add(out, T.StringType())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(path)
+        for b in _batches(text, batches):
+            got = own.encode_batch(b.column(text).to_pylist())
+            texts = [own.decode(np.frombuffer(x, np.int32).tolist()) for x in got]
+            yield _replaced(b, schema.names, {ids: _ids(got), out: pa.array(texts, pa.string())})
 
     return df.mapInArrow(run, schema)
 
@@ -254,6 +273,5 @@ def ids_digest(ids: Column) -> Column:
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
-    coded = decode(encode(docs.select("doc_id", "text"), path).select("doc_id", "ids"), path)
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids_digest(F.col("ids")).alias("ids_sha256"),
+    return encode_decode(docs.select("doc_id", "text"), path).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids_digest(F.col("ids")).alias("ids_sha256"),
                         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
