@@ -41,8 +41,9 @@ def targets(sizes: DataFrame, weights=WEIGHTS, budget=BUDGET, repeats=REPEATS) -
     s = s.withColumns({"_t": F.sum("source_size").over(everything) * F.lit(float(budget)), "_w": F.sum("weight").over(everything),
                        "_full": F.coalesce(F.sum(most).over(before), F.lit(0)), "_fw": F.coalesce(F.sum("weight").over(before), F.lit(0))})
     s = s.withColumn("_level", (F.col("_t") - F.col("_full")) / (F.col("_w") - F.col("_fw")))
-    # the level of the first source that it does not fill; beyond all of them every source is full
-    level = F.min(F.when(F.col("_level") <= most / F.col("weight"), F.col("_level"))).over(everything)
+    # the level at the first source that it does not fill; counting more sources as full only lowers it, and
+    # beyond all of them every source is full
+    level = F.max(F.when(F.col("_level") <= most / F.col("weight"), F.col("_level"))).over(everything)
     target = F.coalesce(F.least(most.cast("double"), level * F.col("weight")), most.cast("double"))
     return s.select("rn", "source", "source_size", "weight", target.alias("target"))
 
@@ -105,7 +106,7 @@ f AS (SELECT *, CAST(source_size * 2 AS DOUBLE) / weight AS ratio,
 g AS (SELECT *, coalesce(sum(source_size * 2) OVER b, 0) AS full_words, coalesce(sum(weight) OVER b, 0) AS full_weight FROM f
       WINDOW b AS (ORDER BY ratio, rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 l AS (SELECT *, (t - CAST(full_words AS DOUBLE)) / CAST(ws - full_weight AS DOUBLE) AS lvl FROM g),
-p AS (SELECT rn, source, source_size, coalesce(least(CAST(source_size * 2 AS DOUBLE), min(CASE WHEN lvl <= ratio THEN lvl END) OVER () * weight),
+p AS (SELECT rn, source, source_size, coalesce(least(CAST(source_size * 2 AS DOUBLE), max(CASE WHEN lvl <= ratio THEN lvl END) OVER () * weight),
              CAST(source_size * 2 AS DOUBLE)) AS target FROM l),
 e AS (SELECT d.*, p.rn, p.source_size, p.target,
              sum(size) OVER (PARTITION BY rn ORDER BY r, doc_id, size ROWS UNBOUNDED PRECEDING) AS fin
