@@ -1,22 +1,55 @@
-"""A training-data pipeline over ``documents``: five stages, each one operator of ``riskloom.llm``."""
+"""A training-data pipeline over ``documents``: five stages, each one operator of ``riskloom.llm``.
+
+Stages that decide by id (near duplicates, mix) give all rows of one id the same decision, null ids
+among them; extra columns pass through. Empty tables pass through as such.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from riskloom.llm import bpe
+from riskloom.llm import bpe, exact, mixing, quality, simhash
 from riskloom.llm.common import table, written
 
 
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document of the mix."""
-    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"))
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops what the classifier, fitted on this input and the labels, predicts to be bad."""
+    model = quality.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).where("predicted = 1").select(*docs.columns)
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the row of the largest id stays."""
+    return exact.kept_rows(docs)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every SimHash component, the document of the smallest id stays."""
+    found = simhash.near_duplicates(docs)
+    stays = found.groupBy("doc_id").agg(F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"))
+    gone = written(stays.where(~F.col("stays")).select(F.col("doc_id").alias("_gone")), "near-copies")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: a row for every time it takes a document."""
+    found = mixing.mix(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
+    taken = written(found.where("_copies > 0"), "taken")
+    rows = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_id"]))
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Adds the token ids of every document of the mix, and how many."""
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json")).withColumn("n_tokens", F.size("ids").cast("long"))
 
 
-STAGES = [("bpe", encode)]
+STAGES = [("quality classifier", good_quality), ("exact dedup", without_copies), ("SimHash near-dedup", without_near_copies),
+          ("mixing sources to target weights", mixed), ("BPE encoding and decoding", encoded)]
 
-#: SQL has no BPE encoder; the stages are tested against brute force.
+#: SQL has neither the classifier nor the encoder; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
@@ -24,5 +57,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)

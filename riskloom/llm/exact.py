@@ -76,6 +76,16 @@ def exact_dedup(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
+def kept_rows(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """The input's rows and columns, without those whose text a row of larger doc_id has."""
+    repeated = build_index(docs, capacity, max_depth).where("group_size > 1").select(
+        F.col("h").alias("_h"), F.col("sha").alias("_sha"), F.col("keep_id").alias("_keep"), F.lit(True).alias("_again"))
+    norm = ascii_lower(F.coalesce(F.col("text"), F.lit("")))
+    rows = docs.withColumn("_norm", norm).withColumns({"_h": F.xxhash64("_norm"), "_sha": F.sha2(F.col("_norm").cast("binary"), 256)}).drop("_norm")
+    rows = rows.join(repeated, ["_h", "_sha"], "left")
+    return rows.where(F.col("_again").isNull() | F.col("doc_id").eqNullSafe(F.col("_keep"))).select(*docs.columns)
+
+
 SQL = """
 WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
