@@ -23,7 +23,7 @@ from riskloom.llm.common import WORD, written
 
 WEIGHTS, BUDGET, REPEATS = (5, 2, 1), 1.5, 2
 #: Documents of a range, on average.
-RANGE = 4096
+RANGE = 1024
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, budget=BUDGET, repeats=REPEATS) -> DataFrame:
