@@ -22,16 +22,21 @@ DRIVER_PATTERNS = [
 ]
 
 
-@register("scan_link_csv")
+@register("scan_link_csv", r"""
+WITH b AS (""" + X.LINK_BASE_SQL + "), link AS (" + X.LINK_SQL + r""")
+SELECT "Файлы", "APPLICATIONID", "Абонент 2 прив2", "Дата и время звонка" FROM link""")
 def q_scan_link_csv(spark, sf):
-    if spark.conf.get(FS.LEGACY_CHARSETS, "false") != "true":
-        spark.conf.set(FS.LEGACY_CHARSETS, "true")  # query-level setting, as in tests
+    """The derived link rows, written as UTF-8 and as cp1251 files, then read back."""
     base = shared_dir(spark, f"link-csv/{uuid.uuid4().hex}")
     link = X.link_rows(table(spark, sf, "events"))
     even = (F.col("link_row") % 4) < 2
-    link.where(even).drop("link_row").write.option("header", True).csv(f"{base}/utf8")
-    link.where(~even).drop("link_row").write.option("header", True).option("encoding", "windows-1251").csv(f"{base}/cp1251")
-    return FS.read_link_csv(spark, f"{base}/*", "*.csv")
+    options = {"header": True, "escape": '"'}
+    link.where(even).drop("link_row").write.options(**options).csv(f"{base}/utf8")
+    cp1251 = [F.translate(f"`{c}`", FS.CP1251_UPPER, FS.LATIN1_UPPER).alias(c.translate(str.maketrans(FS.CP1251_UPPER, FS.LATIN1_UPPER)))
+              for c in link.columns if c != "link_row"]
+    link.where(~even).select(*cp1251).write.options(**options).option("encoding", "ISO-8859-1").csv(f"{base}/cp1251")
+    read = FS.read_link_csv(spark, f"{base}/*")
+    return read.select(*[F.col(f"`{c}`") for c in link.columns if c != "link_row"])
 
 
 @register("list_call_files")

@@ -7,6 +7,8 @@ tests, the bench and local runs) does.  On a cluster the caller brings its own s
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,7 +48,9 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | No
             sc.setCheckpointDir(current)
         return current
     if fallback is None:
-        return None
+        if not sc.master.startswith("local[") and sc.master != "local":
+            return None
+        fallback = tempfile.mkdtemp(prefix="riskloom-ckpt-")  # one machine: driver and executor are one process
     os.makedirs(fallback, exist_ok=True)
     sc.setCheckpointDir(fallback)
     return fallback
@@ -55,7 +59,17 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | No
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
     spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir() and not checkpoint_dir(spark):
-        import tempfile  # local runs only: the session names no shared folder
-        checkpoint_dir(spark, fallback=tempfile.mkdtemp(prefix="riskloom-ckpt-"))
+    if checkpoint_dir(spark) is None:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a Parquet table in the shared folder: survives executor loss, and Spark knows its size
+    when it plans a join, so it broadcasts the table exactly while that is small."""
+    base = checkpoint_dir(df.sparkSession)
+    if base is None:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -3,10 +3,12 @@ per-source summary / presence checks of a data folder."""
 
 from __future__ import annotations
 
+import csv
+from functools import reduce
 
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskloom.functions.calls import basename
 
@@ -19,44 +21,52 @@ SOURCE_PATTERNS = [
     ("audio", r"\.(wav|mp3|flac)$", False),
 ]
 CALL_GLOB = "*.{wav,mp3,flac}"
-LEGACY_CHARSETS = "spark.sql.legacy.javaCharsets"
-
-
-def read_link_csv(spark: SparkSession, path: str, glob: str = "*.csv", max_columns: int = 64) -> DataFrame:
-    """All link CSV files of a folder, union by header name, tagged with ``source_file`` and
-    the row order ``link_row`` (file, line).  Each file is decoded as UTF-8 when its bytes are
-    valid UTF-8, else as cp1251 (needs ``spark.sql.legacy.javaCharsets``).  Headers are read
-    once per file (one small row each)."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
-    legacy = (spark.conf.get(LEGACY_CHARSETS, "false") or "false").lower() == "true"
-    utf8 = F.decode("content", "UTF-8")
-    text = F.when(F.is_valid_utf8(F.col("content").cast("string")), utf8)
-    text = text.otherwise(F.decode("content", "windows-1251")) if legacy else text.otherwise(F.raise_error(
-        F.concat(F.lit("file is not UTF-8 and legacy charsets are off: "), F.col("path"))))
-    lines = files.select(F.col("path").alias("source_file"), F.posexplode(F.split(text, r"\r?\n")).alias("ln", "line")) \
-        .where(F.col("line") != "")
-    schema = ", ".join(f"c{i} string" for i in range(max_columns))
-    parsed = lines.select("source_file", "ln", F.from_csv("line", schema).alias("v"))
-    headers = parsed.where(F.col("ln") == 0).select("source_file", *[F.col(f"v.c{i}").alias(f"h{i}") for i in range(max_columns)])
-    names: list[str] = []
-    per_file = {}
-    for r in headers.collect():  # one row per link file
-        cols = [r[f"h{i}"] for i in range(max_columns) if r[f"h{i}"] is not None]
-        per_file[r["source_file"]] = cols
-        names += [c for c in cols if c not in names]
-    body = parsed.where(F.col("ln") > 0)
-    out_cols = []
-    for name in names:
-        expr = None
-        for f, cols in per_file.items():
-            if name in cols:
-                hit = F.col(f"v.c{cols.index(name)}")
-                cond = F.col("source_file") == f
-                expr = F.when(cond, hit) if expr is None else expr.when(cond, hit)
-        out_cols.append(expr.alias(name))
-    w_files = sorted(per_file)
-    file_no = F.array_position(F.array(*[F.lit(f) for f in w_files]), F.col("source_file")).cast("bigint")
-    return body.select(*out_cols, F.col("source_file"), (file_no * F.lit(1 << 32) + F.col("ln")).alias("link_row"))
+# The upper half of cp1251, by its Latin-1 code; 0x98 has no character there.
+LATIN1_UPPER = bytes(range(0x80, 0x100)).decode("latin-1")
+CP1251_UPPER = bytes(range(0x80, 0x100)).decode("cp1251", "replace")
+REJECT = "link_reject"
+
+
+def read_link_csv(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
+    """All link CSV files of a folder, union by header name, tagged with ``source_file`` and the row order
+    ``link_row`` (file, block, line).  ``link_reject`` holds the text of a row that does not fit its header.
+
+    One pass over the lines finds each file's header, its charset (UTF-8 if all lines are valid, else
+    cp1251) and whether a quoted value spans lines; one row per file comes to the driver, which lists the
+    files anyway.  Files alike in these are read together by Spark's CSV reader, split unless a value
+    spans lines.  Columns keep their place under a blank or repeated header cell, which has no name and
+    is left out.  Files without a line give no rows."""
+    lines = spark.read.option("pathGlobFilter", glob).text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"))
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    first = F.min_by(F.when(F.col("block") == 0, F.col("value").cast("binary")), F.when(F.col("block") == 0, F.col("line")))
+    facts = lines.groupBy("file").agg(first.alias("header"), F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
+                                      F.bool_or(quotes % 2 != 0).alias("spans"))
+    groups: dict[tuple, list[str]] = {}
+    for r in facts.orderBy("file").collect():
+        if r["header"] is not None:
+            groups.setdefault((bytes(r["header"]), r["utf8"], r["spans"]), []).append(r["file"])
+    parts = [_read_alike(spark, files, *kind) for kind, files in groups.items()]
+    if not parts:
+        return spark.createDataFrame([], f"source_file string, link_row struct<file: string, block: long, line: long>, {REJECT} string")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def _read_alike(spark: SparkSession, files: list[str], header: bytes, utf8: bool, spans: bool) -> DataFrame:
+    cells = next(csv.reader([header.decode("utf-8-sig" if utf8 else "cp1251", "replace").rstrip("\r")]))
+    names = [c if c.strip() and c not in cells[:i] else None for i, c in enumerate(cells)]
+    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(cells))] + [T.StructField("_bad", T.StringType())])
+    rows = spark.read.schema(schema).csv(
+        files, header=True, enforceSchema=True, multiLine=spans, encoding="UTF-8" if utf8 else "ISO-8859-1",
+        columnNameOfCorruptRecord="_bad", escape='"')
+
+    def text(c: str) -> Column:
+        return F.col(c) if utf8 else F.translate(F.col(c), LATIN1_UPPER, CP1251_UPPER)
+
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    return rows.select(*[text(f"_c{i}").alias(n) for i, n in enumerate(names) if n is not None],
+                       F.col("_metadata.file_path").alias("source_file"), place.alias("link_row"), text("_bad").alias(REJECT))
 
 
 def list_call_files(spark: SparkSession, path: str) -> DataFrame:
@@ -87,5 +97,3 @@ def source_presence(summary: DataFrame) -> DataFrame:
     """Checks: a missing required source fails, a missing optional one warns."""
     return summary.select("kind", "required", "present", F.when(F.col("present") == 1, "ok")
                           .when(F.col("required") == 1, "error").otherwise("warning").alias("status"))
-
-
