@@ -2,7 +2,9 @@
 
 Every right-hand side is reduced to one row per application before it is joined (application
 features, call aggregates, labels), so the wide left joins never multiply rows and a hot key
-is never paired with itself.  Right-hand name collisions get a suffix per source.
+is never paired with itself.  The per-application tables are joined with each other first and
+written; the rows meet them in one join, of which both sides are shuffled, so that adaptive
+execution can split a hot key.  Right-hand name collisions get a suffix per source.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 from riskloom import schema as S
 from riskloom.operators import apps as A
 from riskloom.operators import quality as Q
+from riskloom.session import cut_lineage, stored
 
 KEY = S.CANONICAL_KEY
 # Suffixes for colliding right-hand columns, per source.
@@ -35,27 +38,56 @@ def join_left(left: DataFrame, right: DataFrame, source: str, key: str = KEY) ->
 
 def merge_all_left(events: DataFrame, app_features: DataFrame | None = None,
                    call_aggregates: DataFrame | None = None) -> DataFrame:
-    out = events.where(F.col(KEY).isNotNull())
-    if app_features is not None:
-        out = join_left(out, app_features, "applications")
-    if call_aggregates is not None:
-        out = join_left(out, call_aggregates, "calls")
-    return out
+    """Events with the per-application tables; a key without a row there gets NULLs."""
+    return _with_sides(events, [("applications", app_features), ("calls", call_aggregates)])
+
+
+def _with_sides(events: DataFrame, sides: list[tuple[str, DataFrame | None]], labels: DataFrame | None = None) -> DataFrame:
+    """``labels`` (one row per key) may ride along: their rows are the only keys that stay then."""
+    rows, names, per_key = events.where(F.col(KEY).isNotNull()), events, labels
+    for source, side in sides:
+        if side is not None:
+            side = _suffix_collisions(names, side, SUFFIXES.get(source, f"_{source}"))
+            per_key = side if per_key is None else per_key.join(side, KEY, "full" if labels is None else "left")
+            names = names.limit(0).join(side.limit(0), KEY, "left")  # for its columns
+    return rows if per_key is None else rows.join(cut_lineage(per_key), KEY, "left" if labels is None else "inner")
+
+
+def one_label_per_key(labels: DataFrame, label: str | None = None) -> DataFrame:
+    """Rows without a key dropped, the label named ``label``; of several rows of a key the one
+    with the largest label stays (then the largest of the other columns, in their order)."""
+    label = label or S.label_column(labels.drop(KEY))
+    rows = labels.where(F.col(KEY).isNotNull()).withColumnRenamed(label, "label")
+    others = [c for c in rows.columns if c not in (KEY, "label")]
+    best = F.max(F.struct("label", *others)).alias("_best")
+    return rows.groupBy(KEY).agg(best).select(KEY, *[F.col("_best")[c].alias(c) for c in rows.columns if c != KEY])
 
 
 def merge_with_labels(merged: DataFrame, labels: DataFrame, label: str | None = None,
                       drop_collisions: bool = True) -> DataFrame:
     """Inner join with the label table (one row per key); the label stays a column named
-    ``label``; colliding label-table columns get ``_target`` and are dropped by default."""
-    label = label or S.label_column(labels.drop(KEY))
-    lab = labels.where(F.col(KEY).isNotNull()).withColumnRenamed(label, "label")
-    lab = _suffix_collisions(merged, lab, SUFFIXES["labels"])
-    out = merged.join(lab, KEY, "inner")
+    ``label``; colliding label-table columns get ``_target`` and are dropped by default.
+
+    For rows that still have to meet the per-application tables, ``merge_all`` joins once."""
+    lab = _suffix_collisions(merged, one_label_per_key(labels, label), SUFFIXES["labels"])
+    out = merged.join(cut_lineage(lab), KEY, "inner")
     if drop_collisions:
         out = out.drop(*[c for c in out.columns if c.endswith(SUFFIXES["labels"])])
     return out
 
 
+def merge_all(events: DataFrame, app_features: DataFrame | None, call_aggregates: DataFrame | None,
+              labels: DataFrame, label: str | None = None) -> DataFrame:
+    """``merge_with_labels(merge_all_left(...))`` with one join of the event rows."""
+    lab = one_label_per_key(labels, label)
+    sides = [("applications", app_features), ("calls", call_aggregates)]
+    names = set(events.columns).union(*(d.columns for _, d in sides if d is not None)) - {KEY}
+    lab = lab.select(KEY, *[c for c in lab.columns if c != KEY and c not in names])
+    out = _with_sides(events, sides, lab)
+    own = [c for c in lab.columns if c != KEY]
+    return out.select(*[c for c in out.columns if c not in own], *own)
+
+
 def feature_columns(df: DataFrame, label: str = "label", extra_drop: tuple[str, ...] = ()) -> list[str]:
     """Ids, ``*_y`` collision columns, the label and non-numeric columns left out."""
     out = []
@@ -88,15 +120,11 @@ def prediction_matrix(applications: DataFrame, app_key: str, features: list[str]
     feats = A.app_features(applications, app_key)
     x = feats.select(KEY, *feature_columns(feats))
     if features is not None:
-        return Q.align_features(Q.clean_numeric(Q.datetime_to_epoch(x), keep=(KEY,)), features, keep=(KEY,))
+        return Q.align_features(Q.finite(Q.datetime_to_epoch(x), keep=(KEY,)), features, keep=(KEY,))
     cleaned, _ = Q.clean_features(x, keep=(KEY,))
     return cleaned
 
 
-# Broadcast the per-day table only when the events' date range bounds it below this many rows.
-MAX_BROADCAST_DAYS = 100_000
-
-
 def temporal_join(apps: DataFrame, app_id: str, app_time: str, events: DataFrame, event_time: str,
                   order: list[str], window_days: int = 1) -> DataFrame:
     """Each application takes the earliest event (by ``order``) dated within +-``window_days``
@@ -104,9 +132,8 @@ def temporal_join(apps: DataFrame, app_id: str, app_time: str, events: DataFrame
 
     Plan: earliest event per calendar day (partial aggregation), spread to the 2w+1 days it
     can serve and reduced again, so the lookup table has one row per day of the events' date
-    range (+2w).  That range, read as one aggregate row, bounds the table: up to
-    ``MAX_BROADCAST_DAYS`` rows it is broadcast and applications are never shuffled (no
-    hot-day skew); beyond it the same equi-join on the day runs as a shuffle join."""
+    range (+2w).  It is stored, so that Spark broadcasts it while it is small; otherwise both
+    sides of the equi-join on the day are shuffled and a hot day can be split."""
     ev_cols = list(events.columns)
     first = F.min(F.struct(*[F.col(c).alias(f"o_{i}") for i, c in enumerate(order)],
                            *[F.col(c).alias(f"e_{c}") for c in ev_cols]))
@@ -114,10 +141,7 @@ def temporal_join(apps: DataFrame, app_id: str, app_time: str, events: DataFrame
     per_day = dated.groupBy(F.to_date(event_time).alias("_day")).agg(first.alias("_e"))
     reach = per_day.select(F.explode(F.sequence(F.date_sub("_day", window_days), F.date_add("_day", window_days))).alias("_day"),
                            "_e").groupBy("_day").agg(F.min("_e").alias("_e"))
-    rng = dated.agg(F.min(F.to_date(event_time)).alias("lo"), F.max(F.to_date(event_time)).alias("hi")).first()
-    n_days = (rng["hi"] - rng["lo"]).days + 1 + 2 * window_days if rng["lo"] is not None else 0
-    side = F.broadcast(reach) if n_days <= MAX_BROADCAST_DAYS else reach
-    j = apps.where(F.col(app_time).isNotNull()).join(side, F.to_date(app_time) == F.col("_day"), "inner")
+    j = apps.where(F.col(app_time).isNotNull()).join(stored(reach, "days"), F.to_date(app_time) == F.col("_day"), "inner")
     others = [c for c in apps.columns if c != app_id]
     return j.select(app_id, *others, *[F.col("_e")[f"e_{c}"].alias(c if c not in apps.columns else f"{c}_event")
                                        for c in ev_cols])

@@ -10,6 +10,7 @@ from riskloom import schema as S
 from riskloom.functions import calls as FC
 from riskloom.functions.calls import basename
 from riskloom.operators.events import BUSINESS_FROM, BUSINESS_TO, NIGHT_FROM, NIGHT_TO, WEEKEND_FROM
+from riskloom.session import cut_lineage
 
 KEY = S.CANONICAL_KEY
 BYTES_PER_SECOND = 32000  # fixed value: size-based duration estimate
@@ -80,12 +81,16 @@ def link_calls(calls: DataFrame, link: DataFrame, **kw) -> DataFrame:
 
 
 def link_calls_fallback(calls: DataFrame, link: DataFrame, phone_col: str, **kw) -> DataFrame:
-    """File-name link first; calls it misses are looked up by phone."""
-    by_file = link_calls(calls, link, **kw)
-    by_phone = by_file.join(phone_map(link, phone_col), "phone", "left")
-    return by_phone.withColumn("link_method", F.when(F.col(KEY).isNotNull(), "file")
-                               .when(F.col("_phone_app").isNotNull(), "phone")) \
-        .withColumn(KEY, F.coalesce(F.col(KEY), F.col("_phone_app"))).drop("_phone_app")
+    """File-name link first; calls it misses are looked up by phone.
+
+    Only calls that are still open and have a phone go into the second join; its map is
+    written first, so that both sides are shuffled and a hot phone can be split."""
+    by_file = cut_lineage(link_calls(calls, link, **kw))
+    open_calls = F.col(KEY).isNull() & F.col("phone").isNotNull()
+    settled = by_file.where(~open_calls).withColumn("link_method", F.when(F.col(KEY).isNotNull(), "file"))
+    found = by_file.where(open_calls).join(cut_lineage(phone_map(link, phone_col)), "phone", "left")
+    found = found.withColumn(KEY, F.col("_phone_app")).withColumn("link_method", F.when(F.col(KEY).isNotNull(), "phone"))
+    return settled.unionByName(found.drop("_phone_app").select(*settled.columns))
 
 
 def link_coverage(linked: DataFrame) -> DataFrame:
@@ -98,11 +103,14 @@ def link_coverage(linked: DataFrame) -> DataFrame:
 
 
 def latest_per_key(linked: DataFrame, time_col: str = "call_time", tiebreak: str = "file_name") -> DataFrame:
-    """Latest call per application (time, then file name) and the number of calls it had."""
+    """The whole latest call row per application (by time, then file name), the number of calls
+    it had and how many of them were superseded."""
     rows = linked.where(F.col(KEY).isNotNull())
-    last = F.max(F.struct(F.col(time_col).alias("t"), F.col(tiebreak).alias("f")))
-    return rows.groupBy(KEY).agg(last["f"].alias(tiebreak), last["t"].alias(time_col),
-                                 F.count(F.lit(1)).alias("n_calls"))
+    others = [c for c in rows.columns if c not in (KEY, time_col, tiebreak)]
+    last = F.max(F.struct(F.col(time_col), F.col(tiebreak), *others)).alias("_last")
+    n = F.count(F.lit(1))
+    return rows.groupBy(KEY).agg(last, n.alias("n_calls"), (n - 1).alias("n_superseded")).select(
+        KEY, *[F.col("_last")[c].alias(c) for c in rows.columns if c != KEY], "n_calls", "n_superseded")
 
 
 def orphan_calls(calls: DataFrame, link: DataFrame, phone_col: str | None = None, **kw) -> DataFrame:

@@ -101,7 +101,7 @@ LABELLED_SELECT = (", ".join([f"mg.{c}" for c in EVENT_COLS] + [_num_cast(c, tab
 
 @register("merge_with_labels", _merged_sql(LABELLED_SELECT))
 def q_merge_with_labels(spark, sf):
-    return M.merge_with_labels(_merged(spark, sf), _labels(spark, sf), "toxic")
+    return M.merge_all(_events(spark, sf), _app_features(spark, sf), _call_aggregates(spark, sf), _labels(spark, sf), "toxic")
 
 
 @register("prediction_base", _merged_sql(
@@ -118,25 +118,31 @@ def q_prediction_base(spark, sf):
               + [_num_cast(c, True, "mg.") for c in APP_COLS + CALL_COLS])
     + ", l.toxic AS label, l.quality FROM mg JOIN labels l ON mg.application_id = " + KEYF.format(c="l.doc_id")))
 def q_clean_merged(spark, sf):
-    return Q.clean_merged(M.merge_with_labels(_merged(spark, sf), _labels(spark, sf), "toxic"), keep=("ts",))
+    rows = M.merge_all(_events(spark, sf), _app_features(spark, sf), _call_aggregates(spark, sf), _labels(spark, sf), "toxic")
+    return Q.clean_merged(rows, keep=("ts",))
 
 
-DOC_FEATS_SQL = """
-SELECT doc_id AS application_id, ROUND(AVG(CAST(n_chars AS DOUBLE)), 6) AS app_n_chars_mean,
-  ROUND(MAX(CAST(n_chars AS DOUBLE)), 6) AS app_n_chars_max, ROUND(MIN(CAST(n_chars AS DOUBLE)), 6) AS app_n_chars_min
-FROM documents WHERE doc_id IS NOT NULL GROUP BY doc_id"""
+# hour_mean is 0 for every date, so the cleaning drops it; a single row has no std, which counts as 0.
+MATRIX_COLS = [c for c in APP_COLS if not c.endswith("hour_mean")]
+MATRIX_SQL = f"""SELECT application_id, {", ".join(_num_cast(c, True) for c in MATRIX_COLS)} FROM (
+SELECT * FROM ({q_apps.NUMERIC_SQL}) a JOIN ({q_apps.DATE_SQL}) b USING (application_id) JOIN ({q_apps.CATEGORY_SQL}) c USING (application_id))"""
+
+
+def order_matrix(spark, sf):
+    """Features of a customer's orders, labelled by the document label of the same number."""
+    labels = table(spark, sf, "labels").withColumnRenamed("doc_id", "o_custkey")
+    return M.training_matrix(table(spark, sf, "orders"), labels, "o_custkey", "toxic")
 
 
 @register("training_matrix", f"""
-SELECT f.*, l.toxic AS label FROM ({DOC_FEATS_SQL}) f JOIN labels l ON f.application_id = l.doc_id""")
+SELECT f.*, l.toxic AS label FROM ({MATRIX_SQL}) f JOIN labels l ON f.application_id = l.doc_id""")
 def q_training_matrix(spark, sf):
-    out, _ = M.training_matrix(table(spark, sf, "documents"), table(spark, sf, "labels"), "doc_id", "toxic")
-    return out
+    return order_matrix(spark, sf)[0]
 
 
-@register("prediction_matrix", DOC_FEATS_SQL)
+@register("prediction_matrix", MATRIX_SQL)
 def q_prediction_matrix(spark, sf):
-    return M.prediction_matrix(table(spark, sf, "documents"), "doc_id")
+    return M.prediction_matrix(table(spark, sf, "orders"), "o_custkey")
 
 
 APP_DATE = "DATE '2024-01-01' + CAST(date_diff('day', DATE '1995-01-01', o_orderdate) % 30 AS INTEGER)"

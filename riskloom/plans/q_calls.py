@@ -118,12 +118,14 @@ def q_link_coverage(spark, sf):
 
 @register("latest_per_key", _sql("""
 SELECT application_id, arg_max(file_name, (call_time, file_name)) AS file_name, MAX(call_time) AS call_time,
-       COUNT(*) AS n_calls
+       arg_max(call_id, (call_time, file_name)) AS call_id, arg_max(phone, (call_time, file_name)) AS phone,
+       arg_max(file_size, (call_time, file_name)) AS file_size, COUNT(*) AS n_calls, COUNT(*) - 1 AS n_superseded
 FROM (SELECT pc.*, COALESCE(fm.app, pm.papp) AS application_id
       FROM pc LEFT JOIN fm ON pc.file_name = fm.file_name LEFT JOIN pm ON pc.phone = pm.phone)
 WHERE application_id IS NOT NULL GROUP BY application_id"""))
 def q_latest_per_key(spark, sf):
-    return C.latest_per_key(C.link_calls_fallback(_calls(spark, sf), _link(spark, sf), X.PHONE_COL))
+    latest = C.latest_per_key(C.link_calls_fallback(_calls(spark, sf), _link(spark, sf), X.PHONE_COL))
+    return latest.select(C.KEY, "file_name", "call_time", "call_id", "phone", "file_size", "n_calls", "n_superseded")
 
 
 @register("orphan_calls", _sql("""
