@@ -3,13 +3,15 @@ key), per-row value features (no key), and encoded categories."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom import schema as S
 from riskloom.functions.stats import epoch_micros
 from riskloom.functions.text import digit_count, has_special, letter_count
 from riskloom.operators.events import KEY, keyed
+from riskloom.operators.ranks import running
+from riskloom.session import stored
 
 US = 1_000_000
 
@@ -86,25 +88,18 @@ def row_text_features(df: DataFrame, row_key: str, prefix: str = "app") -> DataF
     return df.select(*cols)
 
 
-# Code tables up to this many distinct values are broadcast (checked by counting them first).
-MAX_BROADCAST_CODES = 100_000
-
-
 def encode_categories(df: DataFrame, cols: list[str], key: str | None = None,
                       ratio: tuple[str, str] | None = None, prefix: str = "app") -> DataFrame:
-    """Dense integer codes (1-based, by sorted value) for low-cardinality string columns, plus
-    an optional numerator/denominator ratio (NULL when the denominator is 0 or NULL).
+    """Dense integer codes (1-based, by sorted value) for string columns, plus an optional
+    numerator/denominator ratio (NULL when the denominator is 0 or NULL).
 
-    The code tables hold one row per distinct value: a ``dense_rank`` over the de-duplicated
-    values, joined back by value.  A join on a low-cardinality column must not shuffle the
-    rows (each value would be one task), so the table is broadcast once its counted size is
-    within ``MAX_BROADCAST_CODES``; larger tables fall back to a shuffle join."""
+    The code table has one row per distinct value, ranked over value ranges (``ranks``) and stored, so
+    that Spark broadcasts it while it is small and otherwise shuffles both sides of the join."""
     out = df
     for c in cols:
-        values = df.select(c).where(F.col(c).isNotNull()).distinct()
-        codes = values.withColumn(f"{prefix}_{c}_code", F.dense_rank().over(Window.orderBy(c)))
-        small = values.count() <= MAX_BROADCAST_CODES  # one aggregate row on the driver
-        out = out.join(F.broadcast(codes) if small else codes, c, "left")
+        values = df.select(c).where(F.col(c).isNotNull()).distinct().withColumn("_one", F.lit(1))
+        codes = running(values, [F.col(c)], {"_code": "_one"})
+        out = out.join(stored(codes.select(c, F.col("_code").cast("int").alias(f"{prefix}_{c}_code")), "codes"), c, "left")
     if ratio:
         num, den = ratio
         out = out.withColumn(f"{prefix}_{num}_to_{den}_ratio",

@@ -32,7 +32,7 @@ def key_overlap(sources: dict[str, tuple[DataFrame, str]]) -> DataFrame:
 def _ratio(threshold: float) -> tuple[int, int]:
     """threshold as p/q, so that "similarity >= threshold" is the integer test ed*q <= (q-p)*m."""
     from fractions import Fraction
-    f = Fraction(threshold).limit_denominator(1000)
+    f = Fraction(str(threshold))  # the decimal as the caller wrote it
     return f.numerator, f.denominator
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.session import stored
+
 BALANCED_MIN_SHARE = 0.3  # fixed value
 
 
@@ -34,6 +36,7 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 
 def with_class_weight(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
-    """Attach the balanced weight of each row's class (the weight table has one row per class)."""
-    return df.join(F.broadcast(class_weights(df, label).select(F.col("label").alias(label), F.col("weight").alias(out))),
-                   label, "left")
+    """Attach the balanced weight of each row's class (the weight table has one row per class; it is
+    stored, so that Spark checks its size before it broadcasts it)."""
+    weights = class_weights(df, label).select(F.col("label").alias(label), F.col("weight").alias(out))
+    return df.join(stored(weights, "class-weights"), label, "left")

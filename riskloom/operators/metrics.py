@@ -1,43 +1,29 @@
 """Binary classification metrics computed as DataFrame aggregates.
 
-Cumulative counts in score order (ROC, PR, AP) never sort all rows in one task:
-  1. one row per distinct score with positive / negative counts (map-side combine);
-  2. score quantile boundaries (a bounded list) -> deterministic ``Bucketizer`` buckets;
-  3. bucket totals (at most ``buckets`` rows) -> offset of every bucket;
-  4. running sums inside each bucket only.
+Cumulative counts in score order (ROC, PR, AP) never sort all rows in one task: one row per
+distinct score with positive / negative counts (map-side combine), written once, then running
+sums over score ranges (``ranks``).
 """
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.operators.ranks import running
+from riskloom.session import cut_lineage
+
 
 def score_counts(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
-    return df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).cast("double").alias("score")).agg(
+    """Rows without a score (NULL or NaN) or label take no part."""
+    s = F.col(score).cast("double")
+    return df.where(s.isNotNull() & ~F.isnan(s) & F.col(label).isNotNull()).groupBy(s.alias("score")).agg(
         F.count(F.when(F.col(label) == 1, 1)).alias("pos"), F.count(F.when(F.col(label) != 1, 1)).alias("neg"))
 
 
-def cumulative_from_top(counts: DataFrame, buckets: int = 256) -> DataFrame:
+def cumulative_from_top(counts: DataFrame) -> DataFrame:
     """Adds tp / fp = positives / negatives with score >= this score (exact)."""
-    spark = counts.sparkSession
-    qs = [i / buckets for i in range(1, buckets)]
-    bounds = sorted(set(counts.approxQuantile("score", qs, 1.0 / (4 * buckets)))) if buckets > 1 else []
-    splits = [float("-inf"), *[b for b in bounds if b not in (float("-inf"), float("inf"))], float("inf")]
-    b = Bucketizer(splits=splits, inputCol="score", outputCol="_b", handleInvalid="keep").transform(counts)
-    totals = sorted((r["_b"], r["p"], r["n"]) for r in b.groupBy("_b").agg(
-        F.sum("pos").alias("p"), F.sum("neg").alias("n")).collect())
-    offsets, above_p, above_n = [], 0, 0
-    for bucket, p, n in reversed(totals):  # higher buckets hold higher scores
-        offsets.append((float(bucket), int(above_p), int(above_n)))
-        above_p += p
-        above_n += n
-    off = spark.createDataFrame(offsets, "_b double, _op long, _on long")  # <= buckets rows
-    w = Window.partitionBy("_b").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    j = b.join(F.broadcast(off), "_b")
-    return j.select("score", "pos", "neg", (F.col("_op") + F.sum("pos").over(w)).alias("tp"),
-                    (F.col("_on") + F.sum("neg").over(w)).alias("fp"))
+    return running(counts, [F.col("score").desc()], {"tp": "pos", "fp": "neg"})
 
 
 def _totals(counts: DataFrame):
@@ -47,7 +33,7 @@ def _totals(counts: DataFrame):
 
 def pr_curve(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """One row per distinct score threshold: tp, fp, precision, recall."""
-    counts = score_counts(df, score, label)
+    counts = cut_lineage(score_counts(df, score, label))
     cum = cumulative_from_top(counts)
     P, _ = _totals(counts)
     return cum.select(F.col("score").alias("threshold"), "tp", "fp",
@@ -56,11 +42,12 @@ def pr_curve(df: DataFrame, score: str = "score", label: str = "label") -> DataF
 
 
 def average_precision(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
-    """Step-sum AP = sum over thresholds of (recall step) * precision."""
-    counts = score_counts(df, score, label)
+    """Step-sum AP = sum over thresholds of (recall step) * precision; 0 without positives."""
+    counts = cut_lineage(score_counts(df, score, label))
     cum = cumulative_from_top(counts)
     P, _ = _totals(counts)
-    return cum.agg((F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))) / F.lit(P)).alias("average_precision"))
+    steps = F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp")))
+    return cum.agg((steps / F.lit(P) if P else F.lit(0.0)).alias("average_precision"))
 
 
 def threshold_at_precision(df: DataFrame, min_precision: float = 0.8, score: str = "score",
@@ -75,7 +62,7 @@ def threshold_at_precision(df: DataFrame, min_precision: float = 0.8, score: str
 
 def auc(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """Exact ROC AUC with ties counted one half (rank-sum form)."""
-    counts = score_counts(df, score, label)
+    counts = cut_lineage(score_counts(df, score, label))
     cum = cumulative_from_top(counts)
     P, N = _totals(counts)
     below = F.lit(N) - F.col("fp")  # negatives strictly below this score
@@ -84,6 +71,7 @@ def auc(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
 
 
 def _cells(df: DataFrame, score: str, label: str, threshold: float):
+    df = df.where(~F.isnan(F.col(score).cast("double")))
     pred = (F.col(score) > threshold).cast("int")
     y = F.col(label)
     return df.agg(F.count(F.when((y == 1) & (pred == 1), 1)).alias("tp"), F.count(F.when((y == 0) & (pred == 1), 1)).alias("fp"),
