@@ -1,7 +1,8 @@
 """Per-key event features: counts, numeric statistics and moments, time intervals,
 categorical statistics, temporal hour profile, sessions, activity and value changes.
 
-Every operator is one lazy plan built from ``df.schema``; nothing is collected.  Aggregates are
+Every operator is built from ``df.schema``; NaN counts as missing, like NULL. No rows are collected: the
+ordered operators read one number (the row count) when they are built.  Aggregates are
 algebraic (partial aggregation before the shuffle); exact percentiles use the distributed
 order-statistic plan of ``quantiles`` (``approx=True`` swaps in a bounded sketch).
 """
@@ -18,6 +19,7 @@ from riskloom.functions.stats import epoch_micros, quantile, sample_kurt, sample
 from riskloom.operators import ordered as O
 from riskloom.operators import quantiles as Q
 from riskloom.operators.ordered import DEFAULT_BUCKET_US
+from riskloom.sources.tables import nan_as_null
 
 KEY = S.CANONICAL_KEY
 US = 1_000_000
@@ -35,7 +37,7 @@ def keyed(df: DataFrame, key: str | None = None) -> tuple[DataFrame, dict[str, l
         raise ValueError(f"no group key among {df.columns}")
     types = {f.name: f.dataType for f in df.schema.fields}
     roles = S.columns_by_role(df, exclude=(key,))
-    out = df.where(F.col(key).isNotNull()).withColumnRenamed(key, KEY)
+    out = nan_as_null(df.where(F.col(key).isNotNull())).withColumnRenamed(key, KEY)
     if KEY in roles["numeric"] or KEY in roles["string"] or KEY in roles["time"]:
         raise ValueError(f"column {KEY} exists besides the key")
     return out, roles, types
@@ -114,13 +116,11 @@ def event_intervals(df: DataFrame, key: str | None = None, prefix: str = "amplit
         x = rows.select(KEY, epoch_micros(t, types[t]).alias("_us"), *tiebreak)
         m = O.gap_moments(x, KEY, "_us", list(tiebreak), bucket_us)
         k = F.col("gaps").cast("double")
-        mean = F.col("gap_sum") / k
-        var = (F.col("gap_sumsq") - F.col("gap_sum") * mean) / (k - 1)
         frames.append(m.select(
             KEY,
             F.when(F.col("n") > 1, (F.col("max_us") - F.col("min_us")).cast("double") / US).alias(f"{prefix}_{t}_span_seconds"),
-            F.when(F.col("n") > 1, mean).alias(f"{prefix}_{t}_avg_interval"),
-            F.when(F.col("n") > 2, F.sqrt(F.greatest(var, F.lit(0.0)))).alias(f"{prefix}_{t}_std_interval")))
+            F.when(F.col("n") > 1, F.col("gap_mean")).alias(f"{prefix}_{t}_avg_interval"),
+            F.when(F.col("n") > 2, F.sqrt(F.col("gap_dev") / (k - 1))).alias(f"{prefix}_{t}_std_interval")))
     keys = rows.select(KEY).distinct()
     return _join_all([keys, *frames]) if frames else keys
 

@@ -55,21 +55,28 @@ def bucketed(df: DataFrame, key: str, us: str, tiebreak: list[str] = (), cols: l
 
 def gap_moments(df: DataFrame, key: str, us: str, tiebreak: list[str] = (),
                 bucket_us: int = DEFAULT_BUCKET_US, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Per key: n, min/max time, and count / sum / sum of squares of the gaps (seconds)
-    between consecutive times."""
+    """Per key: n, min/max time, and count, mean and sum of squared deviations of the gaps
+    (seconds) between consecutive times.
+
+    Each bucket gives the count, mean and deviations of its own gaps, and one gap to the bucket
+    before; the parts are merged around the key's mean, so nearly equal gaps lose no digits."""
     rows, _ = bucketed(df, key, us, tiebreak, (), bucket_us, hot_rows)
     g = (F.col(us) - F.col("_lag_us")).cast("double") / US
     per_bucket = rows.groupBy(key, "_bucket").agg(
         F.count(F.lit(1)).alias("_n"), F.min(us).alias("_min"), F.max(us).alias("_max"),
-        F.count(g).alias("_m"), F.sum(g).alias("_s1"), F.sum(g * g).alias("_s2"))
-    wb = Window.partitionBy(key).orderBy("_bucket")
-    edge = (F.col("_min") - F.lag("_max").over(wb)).cast("double") / US
+        F.count(g).alias("_m"), F.coalesce(F.avg(g), F.lit(0.0)).alias("_mean"),
+        (F.coalesce(F.var_pop(g), F.lit(0.0)) * F.count(g)).alias("_dev"))
+    by_key = Window.partitionBy(key)
+    edge = (F.col("_min") - F.lag("_max").over(by_key.orderBy("_bucket"))).cast("double") / US
     per_bucket = per_bucket.withColumn("_edge", edge)
+    gaps = F.sum("_m").over(by_key) + F.count("_edge").over(by_key)
+    total = F.sum(F.col("_m") * F.col("_mean")).over(by_key) + F.coalesce(F.sum("_edge").over(by_key), F.lit(0.0))
+    per_bucket = per_bucket.withColumn("_grand", total / F.when(gaps > 0, gaps))
+    off, edge_off = F.col("_mean") - F.col("_grand"), F.col("_edge") - F.col("_grand")
     return per_bucket.groupBy(key).agg(
         F.sum("_n").alias("n"), F.min("_min").alias("min_us"), F.max("_max").alias("max_us"),
-        (F.sum("_m") + F.count("_edge")).alias("gaps"),
-        (F.coalesce(F.sum("_s1"), F.lit(0.0)) + F.coalesce(F.sum("_edge"), F.lit(0.0))).alias("gap_sum"),
-        (F.coalesce(F.sum("_s2"), F.lit(0.0)) + F.coalesce(F.sum(F.col("_edge") * F.col("_edge")), F.lit(0.0))).alias("gap_sumsq"))
+        (F.sum("_m") + F.count("_edge")).alias("gaps"), F.max("_grand").alias("gap_mean"),
+        F.sum(F.col("_dev") + F.col("_m") * off * off + F.coalesce(edge_off * edge_off, F.lit(0.0))).alias("gap_dev"))
 
 
 def change_counts(df: DataFrame, key: str, us: str, cols: list[str], tiebreak: list[str] = (),

@@ -2,9 +2,8 @@
 describe, numeric/constant column tests, type coercion, cleaning, median imputation and
 standardisation.
 
-Column decisions that depend on data (constant columns, numeric-like strings) take exactly one
-aggregate job whose one-row result is read on the driver; the cleaned table is then one lazy
-projection.
+Column decisions that depend on data (constant columns, numeric-like strings) take one aggregate
+job whose one-row result is read on the driver; the cleaned table is then one lazy projection.
 """
 
 from __future__ import annotations
@@ -95,10 +94,14 @@ def quality_warnings(profile: DataFrame) -> DataFrame:
     return profile.select(F.explode(F.array(*rows)).alias("w")).select("w.*")
 
 
-# A value that, after leading blanks/control characters, starts with a letter other than the
-# first letters of Infinity / NaN can never cast to a number; testing that first avoids a
-# failed parse (an exception inside the JVM) for every text value.
-NEVER_NUMERIC = r"^[\x00-\x20]*[a-hj-mo-zA-HJ-MO-Z]"
+# What counts as a number in text. Spark's cast also takes the suffixes of Java literals (12D,
+# 7F); testing the pattern first leaves those out and avoids a failed parse per text value.
+NUMBER = r"^[\x00-\x20]*(?:[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|[+-]?(?i:inf|infinity)|(?i:nan))[\x00-\x20]*$"
+
+
+def parse_number(c: Column) -> Column:
+    """Double of a text that is a number, NULL otherwise."""
+    return F.when(c.rlike(NUMBER), c.try_cast("double"))
 
 
 def column_profile(df: DataFrame) -> DataFrame:
@@ -111,7 +114,7 @@ def column_profile(df: DataFrame) -> DataFrame:
     for i, f in enumerate(fields):
         aggs += [F.count(q(f.name)).alias(f"_c{i}"), F.min(q(f.name)).alias(f"_lo{i}"), F.max(q(f.name)).alias(f"_hi{i}")]
         if S.is_string(f.dataType):
-            bad = q(f.name).isNotNull() & (q(f.name).rlike(NEVER_NUMERIC) | q(f.name).try_cast("double").isNull())
+            bad = q(f.name).isNotNull() & parse_number(q(f.name)).isNull()
             aggs.append(F.max(bad.cast("int")).alias(f"_bad{i}"))
     a = df.agg(*aggs)
     rows = []
@@ -173,7 +176,7 @@ def datetime_to_epoch(df: DataFrame) -> DataFrame:
 
 def coerce_types(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Everything to numbers: time -> epoch seconds, day-time interval -> seconds, numbers
-    pass, strings -> number or 0; other types dropped."""
+    pass, strings -> number or 0; other types dropped.  NULL, NaN and +-inf end as 0."""
     out = []
     for f in df.schema.fields:
         c = q(f.name)
@@ -186,8 +189,15 @@ def coerce_types(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         elif isinstance(f.dataType, T.DayTimeIntervalType):
             out.append((F.unix_micros(F.lit("1970-01-01").cast("timestamp") + c) / 1e6).alias(f.name))
         elif S.is_string(f.dataType):
-            out.append(F.coalesce(c.try_cast("double"), F.lit(0.0)).alias(f.name))
-    return df.select(*out)
+            out.append(F.coalesce(parse_number(c), F.lit(0.0)).alias(f.name))
+    return clean_numeric(df.select(*out), keep)
+
+
+def filled(c: Column, kind: T.DataType) -> Column:
+    """NULL, NaN and +-inf as 0."""
+    if _is_float(kind) or S.is_string(kind):
+        return F.when(_is_inf(c) | F.isnan(c) | c.isNull(), F.lit(0.0)).otherwise(c)
+    return F.coalesce(c, F.lit(0))
 
 
 def clean_numeric(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -195,15 +205,19 @@ def clean_numeric(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     out = []
     for f in df.schema.fields:
         c = q(f.name)
-        if f.name not in keep and _is_float(f.dataType):
-            out.append(F.when(_is_inf(c) | F.isnan(c) | c.isNull(), F.lit(0.0)).otherwise(c).alias(f.name))
-        elif f.name not in keep and S.is_numeric(f.dataType):
-            out.append(F.coalesce(c, F.lit(0)).alias(f.name))
+        if f.name not in keep and S.is_numeric(f.dataType):
+            out.append(filled(c, f.dataType).alias(f.name))
         else:
             out.append(c)
     return df.select(*out)
 
 
+def finite(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """+-inf -> 0 and NaN -> NULL in float columns; NULL stays, for a median imputer."""
+    return df.select(*[F.when(_is_inf(q(f.name)), F.lit(0.0)).when(~F.isnan(q(f.name)), q(f.name)).alias(f.name)
+                       if f.name not in keep and _is_float(f.dataType) else q(f.name) for f in df.schema.fields])
+
+
 def drop_bookkeeping(df: DataFrame) -> DataFrame:
     drop = [c for c in df.columns if c.startswith(BOOKKEEPING_PREFIXES) or c.endswith(BOOKKEEPING_SUFFIXES)
             or c in BOOKKEEPING_NAMES]
@@ -231,23 +245,25 @@ def clean_merged(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 def clean_features(df: DataFrame, keep: tuple[str, ...] = ()) -> tuple[DataFrame, list[str]]:
     """Feature clean-up: time -> epoch seconds, numeric-like strings cast, other strings
     dropped, NULL/NaN/inf -> 0, constant columns dropped.  Returns the cleaned frame and the
-    feature column list (one profiling job, then one projection)."""
+    feature column list.
+
+    One aggregate tests every text column and takes the range of every column as it will be
+    once cast and filled: a column of one value and NULLs is not constant, NULL being 0 there."""
     x = datetime_to_epoch(df)
-    prof = {r["column_name"]: r for r in column_profile(x.drop(*keep)).collect()}
-    cols = []
-    for f in x.schema.fields:
-        if f.name in keep:
-            continue
-        p = prof[f.name]
-        if p["kind"] == "string" and p["is_numeric_like"]:
-            cols.append((f.name, q(f.name).try_cast("double")))
-        elif p["kind"] == "numeric":
-            cols.append((f.name, q(f.name)))
-    projected = x.select(*[q(k) for k in keep], *[c.alias(n) for n, c in cols])
-    cleaned = clean_numeric(projected, keep)
-    # constant test after filling: NULL -> 0, so a column of one value and NULLs is not constant
-    prof2 = column_profile(cleaned.drop(*keep)).where("is_constant = 0").select("column_name").collect()
-    features = [r["column_name"] for r in prof2]
+    candidates = [f for f in x.schema.fields if f.name not in keep and (S.is_numeric(f.dataType) or S.is_string(f.dataType))]
+    as_number = x.select(*[q(k) for k in keep], *[
+        (parse_number(q(f.name)) if S.is_string(f.dataType) else q(f.name)).alias(f.name) for f in candidates])
+    cleaned = clean_numeric(as_number, keep)
+    aggs = []
+    for i, f in enumerate(candidates):
+        value = filled(parse_number(q(f.name)) if S.is_string(f.dataType) else q(f.name), f.dataType)
+        aggs += [F.min(value).alias(f"_lo{i}"), F.max(value).alias(f"_hi{i}")]
+        if S.is_string(f.dataType):
+            text = q(f.name).isNotNull()
+            aggs += [F.max((text & parse_number(q(f.name)).isNull()).cast("int")).alias(f"_bad{i}"), F.count(q(f.name)).alias(f"_c{i}")]
+    row = x.agg(*aggs).first().asDict() if aggs else {}
+    features = [f.name for i, f in enumerate(candidates)
+                if row[f"_lo{i}"] != row[f"_hi{i}"] and not row.get(f"_bad{i}", 0) and row.get(f"_c{i}", 1)]
     return cleaned.select(*[q(k) for k in keep], *[q(c) for c in features]), features
 
 
@@ -278,11 +294,11 @@ def standardize(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 
 def align_features(df: DataFrame, features: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
-    """Columns of the trained list in its order; missing -> 0, NULL -> 0, extra dropped."""
+    """Columns of the trained list in its order; missing columns -> 0, extra ones dropped.  NULL in a
+    column that is there stays NULL: the model's median imputer fills it."""
     have = set(df.columns)
     return df.select(*[q(k) for k in keep],
-                     *[(F.coalesce(q(c).cast("double"), F.lit(0.0)) if c in have else F.lit(0.0)).alias(c)
-                       for c in features])
+                     *[(q(c).cast("double") if c in have else F.lit(0.0)).alias(c) for c in features])
 
 
 def training_gates(df: DataFrame, label: str, min_rows: int = 100) -> DataFrame:

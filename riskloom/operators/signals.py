@@ -28,10 +28,16 @@ def _frames(x: Column, frame: int, hop: int):
     return n, flen, starts
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once per row: inside a lambda over an array, Spark
+    would otherwise evaluate its expression for every element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _stats(vals: Column, prefix: str) -> list[Column]:
     k = F.size(vals).cast("double")
     mean = F.aggregate(vals, F.lit(0.0), lambda a, v: a + v) / k
-    var = F.aggregate(vals, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean)) / k
+    var = once(mean, lambda m: F.aggregate(vals, F.lit(0.0), lambda a, v: a + (v - m) * (v - m)) / k)
     return [mean.alias(f"{prefix}_mean"), F.sqrt(var).alias(f"{prefix}_std"),
             F.array_min(vals).alias(f"{prefix}_min"), F.array_max(vals).alias(f"{prefix}_max")]
 
@@ -46,8 +52,8 @@ def zcr_values(x: Column, frame: int = 2048, hop: int = 512) -> Column:
     n, flen, starts = _frames(x, frame, hop)
     crossing = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.when(i == 0, F.lit(0)).when(
         (F.get(x, i) >= 0) != (F.get(x, i - 1) >= 0), F.lit(1)).otherwise(F.lit(0)))
-    return F.when(n > 0, F.transform(starts, lambda s: F.aggregate(
-        F.slice(crossing, s + 1, flen), F.lit(0), lambda a, v: a + v).cast("double") / flen))
+    return F.when(n > 0, once(crossing, lambda x: F.transform(starts, lambda s: F.aggregate(
+        F.slice(x, s + 1, flen), F.lit(0), lambda a, v: a + v).cast("double") / flen)))
 
 
 def _with_stats(df: DataFrame, id_col: str, values: Column, prefix: str) -> DataFrame:
@@ -76,9 +82,10 @@ def signal_profile(df: DataFrame, id_col: str, samples: str, rate: int = DEFAULT
 
 def signal_validity(df: DataFrame, id_col: str, samples: str, rate: int = DEFAULT_RATE) -> DataFrame:
     """Valid when the signal exists and its first second holds samples; the reason otherwise."""
-    n = F.size(samples)
+    n = F.coalesce(F.size(samples), F.lit(0))
+    n = F.when(n < 0, F.lit(0)).otherwise(n)
     first = F.least(n, F.lit(rate))
-    return df.select(id_col, F.when(n < 0, F.lit(0)).otherwise(n).alias("n_samples"),
+    return df.select(id_col, n.alias("n_samples"),
                      (F.col(samples).isNotNull() & (first > 0)).cast("int").alias("is_valid"),
                      F.when(F.col(samples).isNull(), "missing").when(n == 0, "empty").alias("reject_reason"))
 

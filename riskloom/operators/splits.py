@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.session import cut_lineage
+
 PREFIX_HEX = 4  # 16**4 buckets
 
 
@@ -30,6 +32,17 @@ def fold_id(df: DataFrame, key: str, folds: int = 5, seed: int = 42, out: str =
     return df.withColumn(out, (h % folds).cast("int"))
 
 
+def stratified_fold(df: DataFrame, key: str, label: str, folds: int = 5, seed: int = 42, out: str = "fold") -> DataFrame:
+    """Fold ids that spread every class evenly: the class's keys, by hash, take the folds in turn.
+    Their ranks come from sums over hash ranges, so no class is ranked in one task."""
+    keys = cut_lineage(df.select(label, key).distinct().withColumn("_h", row_hash(key, seed)).withColumn("_b", F.substring("_h", 1, PREFIX_HEX)))
+    ranges = keys.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    ranges = ranges.withColumn("_before", F.sum("_n").over(Window.partitionBy(label).orderBy("_b")) - F.col("_n")).drop("_n")
+    rank = F.row_number().over(Window.partitionBy(label, "_b").orderBy("_h", key)) + F.col("_before")
+    turn = keys.join(ranges, [label, "_b"]).select(label, key, ((rank - 1) % folds).cast("int").alias(out))
+    return df.join(cut_lineage(turn), [label, key], "left")
+
+
 def smallest_k(df: DataFrame, key: str, k: int, seed: int = 42, by: list[str] = ()) -> DataFrame:
     """Rows of ``df`` (distinct keys) holding the ``k`` smallest (hash, key) per ``by`` group;
     ``k`` may be an int or a dict {by-tuple: k}."""
@@ -81,9 +94,11 @@ def synthetic_labels(df: DataFrame, key: str, rate: float = 0.02, seed: int = 42
 
 def stratified_split(df: DataFrame, key: str, label: str, test_share: float = 0.2, seed: int = 42,
                      out: str = "is_test") -> DataFrame:
-    """Exact stratified split: per class, the floor(n_c * share) rows with the smallest hashes
-    go to test (sklearn-like sizes, deterministic membership)."""
-    counts = {(r[label],): r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    """Exact stratified split: per class, the floor(n_c * share) keys with the smallest hashes
+    go to test, n_c being the class's distinct keys; all rows of a key go the same way. (The
+    source rounds the whole test size up instead and shares it out over the classes.)"""
+    keys = df.select(label, key).where(F.col(label).isNotNull()).distinct()
+    counts = {(r[label],): r["n"] for r in keys.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
     want = {g: int(n * test_share) for g, n in counts.items()}
-    test = smallest_k(df, key, want, seed, by=[label]).withColumn(out, F.lit(1))
+    test = smallest_k(keys, key, want, seed, by=[label]).withColumn(out, F.lit(1))
     return df.join(test, [label, key], "left").withColumn(out, F.coalesce(out, F.lit(0)))
