@@ -8,12 +8,10 @@ rows).  The model lives in a ``PipelineModel`` directory under the session's sha
 from __future__ import annotations
 
 import json
-import os
-import uuid
+import statistics
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +19,8 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import risk as R
 from riskloom.operators import labels as L
-from riskloom.session import checkpoint_dir
+from riskloom.operators import metrics as MT
+from riskloom.session import checkpoint_dir, cut_lineage
 
 # Forest presets (default, and the imbalanced preset used when the positive
 # share is below 10 %).  Spark has no minimum-split setting; min instances per node is the
@@ -33,8 +32,10 @@ SEED = 42
 
 
 def shared_dir(spark: SparkSession, sub: str) -> str:
-    """A folder under the cluster's shared checkpoint folder (set only when unset, as in tests)."""
-    base = checkpoint_dir(spark) or checkpoint_dir(spark, fallback=f"/tmp/riskloom-{uuid.uuid4().hex[:8]}")
+    """A folder under the cluster's shared checkpoint folder."""
+    base = checkpoint_dir(spark)
+    if base is None:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{base.rstrip('/')}/{sub}"
 
 
@@ -58,22 +59,23 @@ def train_forest(train: DataFrame, features: list[str], label: str = "label", pr
     rate = train.agg(F.avg(F.col(label).cast("double"))).first()[0] or 0.0
     imbalanced = preset == "imbalanced" or (preset == "auto" and rate < IMBALANCED_BELOW)
     x = train.select(*features, F.col(label).cast("double").alias(label))
-    for c in features:
-        x = x.withColumn(c, F.col(c).cast("double"))
+    x = _as_numbers(x, features)
     if imbalanced:
         x = L.with_class_weight(x, label, "_w")
         return build_pipeline(features, label, "_w", IMBALANCED_FOREST).fit(x)
     return build_pipeline(features, label).fit(x)
 
 
-def score(model: PipelineModel, df: DataFrame, features: list[str], key: str) -> DataFrame:
-    """Scoring table: key, prediction, fraud probability, both band columns."""
-    x = df
-    for c in features:
-        x = x.withColumn(c, F.coalesce(F.col(c).cast("double"), F.lit(0.0)))
-    out = model.transform(x)
+def _as_numbers(df: DataFrame, features: list[str]) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("double") if c in df.columns else F.lit(0.0) for c in features})
+
+
+def score(model: PipelineModel, df: DataFrame, features: list[str], key: str, carry: list[str] = ()) -> DataFrame:
+    """Scoring table: key, prediction, fraud probability, both band columns.  A missing column is 0,
+    a missing value is left to the model's median imputer."""
+    out = model.transform(_as_numbers(df, features))
     p = vector_to_array("_prob")[1]
-    return out.select(key, F.col("_pred").cast("int").alias("prediction"), p.alias("fraud_probability"),
+    return out.select(key, *carry, F.col("_pred").cast("int").alias("prediction"), p.alias("fraud_probability"),
                       R.band_by_cut(p).alias("risk_level"), R.band_by_threshold(p).alias("risk_level_rule"))
 
 
@@ -86,20 +88,32 @@ def feature_importance(model: PipelineModel, features: list[str], top_n: int = 2
 
 
 def cv_auc(train: DataFrame, features: list[str], label: str = "label", fold: str = "fold", k: int = 5) -> DataFrame:
-    """Mean and population std of the held-out-fold AUC (exact, numBins=0)."""
-    ev = BinaryClassificationEvaluator(rawPredictionCol="_prob", labelCol=label, metricName="areaUnderROC", numBins=0)
+    """Mean and population std of the held-out-fold AUC over all ``k`` folds (exact).  A fold that has
+    one class only has no AUC (stratified folds avoid it while a class has ``k`` keys); then
+    ``scored_folds`` is less than ``folds`` and mean and std are NULL, not those of fewer folds."""
     aucs = []
     for i in range(k):
-        m = train_forest(train.where(F.col(fold) != i), features, label)
-        held = train.where(F.col(fold) == i).select(*features, F.col(label).cast("double").alias(label))
-        if held.select(label).distinct().count() < 2:
-            continue
-        aucs.append(ev.evaluate(m.transform(held)))
-    spark = train.sparkSession
-    import statistics
-    mean = float(sum(aucs) / len(aucs)) if aucs else None
-    std = float(statistics.pstdev(aucs)) if aucs else None
-    return spark.createDataFrame([(len(aucs), mean, std)], "folds int, cv_auc_mean double, cv_auc_std double")
+        model = train_forest(train.where(F.col(fold) != i), features, label)
+        held = train.where(F.col(fold) == i)
+        scored = model.transform(_as_numbers(held, features)).select(vector_to_array("_prob")[1].alias("p"), F.col(label))
+        value = MT.auc(scored, "p", label).first()["auc"]
+        aucs += [] if value is None else [value]
+    whole = len(aucs) == k
+    return train.sparkSession.createDataFrame(
+        [(k, len(aucs), statistics.fmean(aucs) if whole else None, statistics.pstdev(aucs) if whole else None)],
+        "folds int, scored_folds int, cv_auc_mean double, cv_auc_std double")
+
+
+def train_test_metrics(model: PipelineModel, x: DataFrame, features: list[str], key: str, label: str = "label") -> dict:
+    """Test-side metrics, and the train side's with prefix ``train_``, with both sizes."""
+    scored = cut_lineage(score(model, x, features, key, carry=[label, "is_test"]))
+    out = {}
+    for prefix, part in (("", 1), ("train_", 0)):
+        rows = scored.where(F.col("is_test") == part)
+        out |= {prefix + k: v for k, v in MT.classification_metrics(rows, "fraud_probability", label).first().asDict().items()}
+        out[prefix + "average_precision"] = MT.average_precision(rows, "fraud_probability", label).first()[0]
+    best = MT.threshold_at_precision(scored.where("is_test = 1"), 0.8, "fraud_probability", label).first()
+    return out | {"threshold_at_80": best["threshold"], "recall_at_80": best["recall"]}
 
 
 def save_model(model: PipelineModel, path: str, features: list[str], metrics: dict) -> None:
@@ -135,5 +149,3 @@ def model_info(model: PipelineModel, features: list[str], metrics: dict) -> Data
         "model_type string, n_features int, n_trees int, max_depth int, min_instances_per_node int, metrics string")
 
 
-def exists(path: str) -> bool:
-    return os.path.exists(path)
