@@ -129,14 +129,49 @@ def explain(scored: DataFrame, p: str = "fraud_probability", feature_cols: list[
         confidence(feats, prob).alias("explanation_confidence"))
 
 
+# The fallback record and the prompt's template.
+FALLBACK_TEXT = "Модель определила вероятность мошенничества %s на основе анализа поведенческих паттернов."
+FALLBACK_FACTOR = "Общая оценка модели: %s"
+FALLBACK_CONFIDENCE = 0.5
+PROMPT = """Ты эксперт по банковской безопасности. Проанализируй данные и объясни, почему транзакция классифицирована как мошенническая.
+
+Данные пользователя:
+%s
+
+Признаки модели:
+%s
+
+Вероятность мошенничества: %s
+
+Дай структурированный ответ:
+1. Основные подозрительные факторы (2-3 пункта)
+2. Отклонения от нормального поведения
+3. Рекомендуемые действия (конкретные)
+4. Уровень уверенности
+
+Ответ должен быть понятен банковскому аналитику. Максимум 150 слов."""
+
+
+def fallback_record(scored: DataFrame, p: str = "fraud_probability") -> DataFrame:
+    """The record of rows for which no explanation can be made: only the probability is used."""
+    prob = F.col(p)
+    band = R.band_by_threshold(prob)
+    return scored.select(
+        "*", band.alias("risk_level_rule"), F.format_string(FALLBACK_TEXT, pct1(prob)).alias("llm_explanation"),
+        F.format_string(FALLBACK_FACTOR, pct1(prob)).alias("key_factors"),
+        F.array_join(R.recommendations(band), JOIN).alias("recommendations"),
+        F.lit(FALLBACK_CONFIDENCE).alias("explanation_confidence"))
+
+
 def prompt_rows(scored: DataFrame, key: str, p: str = "fraud_probability", feature_cols: list[str] | None = None,
-                exclude: tuple[str, ...] = ()) -> DataFrame:
-    """Prompt text per row for an outside batch text job: user fields + top 8 features."""
+                exclude: tuple[str, ...] = (), user_fields: list[str] | None = None) -> DataFrame:
+    """Prompt text per row for an outside batch text job: the template with the user fields (all columns
+    that are no features unless named) and the top 8 features."""
     feats = feature_array(scored, feature_cols, exclude)
     top = top_by_abs(feats, TOP_PROMPT_FEATURES)
-    lines = F.transform(top, lambda s: F.concat(readable_name(s["name"]), F.lit(": "), F.format_string("%.3f", s["value"])))
+    feature_lines = F.transform(top, lambda s: F.concat(readable_name(s["name"]), F.lit(": "), F.format_string("%.3f", s["value"])))
+    others = user_fields if user_fields is not None else [c for c in scored.columns if c not in (key, *(feature_cols or ()), *exclude)]
     user = F.concat_ws("\n", F.concat(F.lit("ID пользователя: "), F.col(key).cast("string")),
-                       F.concat(F.lit("fraud_probability: "), F.col(p).cast("string")))
-    feat_txt = F.when(F.size(feats) == 0, F.lit("Признаки не доступны")).otherwise(F.array_join(lines, "\n"))
-    return scored.select(key, p, F.concat_ws("\n\n", user, feat_txt,
-                                             F.format_string("Вероятность мошенничества: %.3f", F.col(p))).alias("prompt"))
+                       *[F.concat(F.lit(f"{c}: "), F.col(c).cast("string")) for c in others])
+    feat_txt = F.when(F.size(feats) == 0, F.lit("Признаки не доступны")).otherwise(F.array_join(feature_lines, "\n"))
+    return scored.select(key, p, F.format_string(PROMPT, user, feat_txt, pct1(F.col(p))).alias("prompt"))
