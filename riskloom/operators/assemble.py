@@ -99,6 +99,14 @@ def feature_columns(df: DataFrame, label: str = "label", extra_drop: tuple[str,
     return out
 
 
+def require_overlap(features: DataFrame, labels: DataFrame, key: str = KEY, examples: int = 5) -> None:
+    """Fails, with example keys of either side, when no key is in both."""
+    if features.join(labels, key, "left_semi").limit(1).count():
+        return
+    left, right = ([r[0] for r in d.select(key).distinct().orderBy(key).limit(examples).collect()] for d in (features, labels))
+    raise ValueError(f"features and labels have no key in common; features have {left}, labels have {right}")
+
+
 def training_matrix(applications: DataFrame, labels: DataFrame, app_key: str, label: str,
                     include_label_columns: bool = False) -> tuple[DataFrame, list[str]]:
     """Application features -> inner join with labels -> ids dropped -> cleaned numeric matrix.
@@ -110,6 +118,8 @@ def training_matrix(applications: DataFrame, labels: DataFrame, app_key: str, la
     lab = lab.withColumnRenamed(label, "label")
     if not include_label_columns:
         lab = lab.select(KEY, "label")
+    feats, lab = cut_lineage(feats), cut_lineage(lab)
+    require_overlap(feats, lab)
     joined = feats.join(_suffix_collisions(feats, lab, "_y"), KEY, "inner")
     x = joined.select(KEY, "label", *feature_columns(joined))
     return Q.clean_features(x, keep=(KEY, "label"))

@@ -102,6 +102,16 @@ def link_coverage(linked: DataFrame) -> DataFrame:
         .when(F.col("link_rate") >= 0.7, "acceptable").otherwise("critical"))
 
 
+def data_coverage(rows: DataFrame, id_col: str = KEY, recording_col: str = "file_name", label_col: str = "label") -> DataFrame:
+    """One row: how many records have an application id, a recording and a label, with shares, and the
+    recordings without an id."""
+    n = F.count(F.lit(1))
+    out = [n.alias("total_records")]
+    for name, c in (("id", id_col), ("recording", recording_col), ("label", label_col)):
+        out += [F.count(c).alias(f"with_{name}"), F.try_divide(F.count(c).cast("double"), n.cast("double")).alias(f"{name}_coverage")]
+    return rows.agg(*out, F.count(F.when(F.col(id_col).isNull() & F.col(recording_col).isNotNull(), 1)).alias("orphan_recordings"))
+
+
 def latest_per_key(linked: DataFrame, time_col: str = "call_time", tiebreak: str = "file_name") -> DataFrame:
     """The whole latest call row per application (by time, then file name), the number of calls
     it had and how many of them were superseded."""

@@ -116,6 +116,19 @@ def q_link_coverage(spark, sf):
     return C.link_coverage(C.link_calls(_calls(spark, sf), _link(spark, sf)))
 
 
+@register("data_coverage", _sql("""
+SELECT COUNT(*) AS total_records, COUNT(k) AS with_id, ROUND(COUNT(k) / COUNT(*), 6) AS id_coverage,
+  COUNT(file_name) AS with_recording, ROUND(COUNT(file_name) / COUNT(*), 6) AS recording_coverage,
+  COUNT(toxic) AS with_label, ROUND(COUNT(toxic) / COUNT(*), 6) AS label_coverage,
+  COUNT(CASE WHEN k IS NULL AND file_name IS NOT NULL THEN 1 END) AS orphan_recordings
+FROM (SELECT pc.file_name, fm.app AS k FROM pc LEFT JOIN fm ON pc.file_name = fm.file_name) c
+LEFT JOIN labels l ON c.k = 'Д\\286\\' || lpad(CAST(l.doc_id AS VARCHAR), 9, '0')"""))
+def q_data_coverage(spark, sf):
+    key = F.concat(F.lit(X.KEY_PREFIX), F.lpad(F.col("doc_id").cast("string"), 9, "0"))
+    labels = table(spark, sf, "labels").select(key.alias(C.KEY), F.col("toxic").alias("label"))
+    return C.data_coverage(C.link_calls(_calls(spark, sf), _link(spark, sf)).join(labels, C.KEY, "left"))
+
+
 @register("latest_per_key", _sql("""
 SELECT application_id, arg_max(file_name, (call_time, file_name)) AS file_name, MAX(call_time) AS call_time,
        arg_max(call_id, (call_time, file_name)) AS call_id, arg_max(phone, (call_time, file_name)) AS phone,

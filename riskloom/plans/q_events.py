@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import functions as F
+
 from riskloom.operators import events as ev
+from riskloom.operators.ml import shared_dir
 from riskloom.plans.catalog import r6, register, table
 from riskloom.sources.tables import read_event_chunks
 
@@ -173,10 +178,16 @@ def q_change_counts(spark, sf):
     return ev.change_counts(table(spark, sf, "events"), ["event_type", "props"], tiebreak=TIE)
 
 
-@register("scan_chunks", "SELECT *, 'events.parquet' AS source_chunk FROM events")
+@register("scan_chunks", """
+SELECT * EXCLUDE (props), CASE WHEN event_id % 3 <> 2 THEN props END AS props FROM events""")
 def q_scan_chunks(spark, sf):
-    """The driver's event table is one chunk file; the reader takes any glob of chunks."""
-    return read_event_chunks(spark, f"{sf.rstrip('/')}/events.parquet")
+    """The event table written as three chunks, one of them without ``props``, and read as their union."""
+    base = shared_dir(spark, f"chunks/{uuid.uuid4().hex}")
+    events = table(spark, sf, "events")
+    for part in range(3):
+        rows = events.where(F.col("event_id") % 3 == part)
+        (rows.drop("props") if part == 2 else rows).write.parquet(f"{base}/train_amplitude_chunk_{part}")
+    return read_event_chunks(spark, f"{base}/train_amplitude_chunk_*").select(*events.columns)
 
 
 @register("source_samples", """

@@ -12,12 +12,23 @@ from riskloom.functions.stats import nan_to_null
 
 def read_event_chunks(spark: SparkSession, paths: str | list[str], tag: str = "source_chunk") -> DataFrame:
     """All chunk files of a glob: union by column name (missing columns become NULL),
-    unreadable files skipped, each row tagged with its file name."""
+    unreadable files skipped, each row tagged with its file name.  ``unread_chunks`` names what
+    was skipped."""
     paths = [paths] if isinstance(paths, str) else list(paths)
     df = (spark.read.option("mergeSchema", "true").option("ignoreCorruptFiles", "true").parquet(*paths))
     return df.withColumn(tag, F.col("_metadata.file_name"))
 
 
+def unread_chunks(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """One row (path, bytes) per non-empty chunk file of the glob of which ``read_event_chunks`` gets no row."""
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select("path", F.col("length").alias("bytes"))
+    rows = spark.read.option("ignoreCorruptFiles", "true").option("mergeSchema", "true").parquet(*paths)
+    seen = rows.select(F.col("_metadata.file_path").alias("path")).distinct()
+    bare = F.regexp_replace("path", "^file:/+", "/")
+    return listed.where("bytes > 0").withColumn("_p", bare).join(seen.select(bare.alias("_p")), "_p", "left_anti").drop("_p")
+
+
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """One Parquet table; a missing path gives an empty frame with ``schema`` when given."""
     try:
