@@ -6,10 +6,12 @@ from __future__ import annotations
 import duckdb
 import pytest
 
-import __spark_entry__ as E
+from riskloom.plans import catalog
 from tests.conftest import SF_SMALL
 from tools.check_oracle import TABLES, canon
 
+
+catalog.load_all()
 ML = {"train_forest", "cv_auc", "model_roundtrip", "score", "feature_importance", "model_info", "training_report"}
 
 
@@ -21,10 +23,10 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE))
 def test_matches_oracle(spark, con, name):
-    sdf = E.queries()[name](spark, SF_SMALL)
-    cur = con.execute(E.oracle_sql()[name])
+    sdf = catalog.QUERIES[name](spark, SF_SMALL)
+    cur = con.execute(catalog.ORACLE[name])
     sc, sv = canon(sdf.columns, [tuple(r) for r in sdf.collect()])
     dc, dv = canon([d[0] for d in cur.description], cur.fetchall())
     assert sc == dc
@@ -32,7 +34,7 @@ def test_matches_oracle(spark, con, name):
     assert sv == dv
 
 
-@pytest.mark.parametrize("name", sorted(n for n in E.queries() if n not in E.oracle_sql() and n not in ML))
+@pytest.mark.parametrize("name", sorted(n for n in catalog.QUERIES if n not in catalog.ORACLE and n not in ML))
 def test_rows_only_queries_run(spark, name):
-    df = E.queries()[name](spark, SF_SMALL)
+    df = catalog.QUERIES[name](spark, SF_SMALL)
     assert df.count() >= 0 and df.columns
