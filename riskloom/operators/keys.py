@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.keys import normalize_key
-from riskloom.session import cut_lineage
+from riskloom.session import cut_lineage, stored
 
 
 def normalize_keys(df: DataFrame, col: str, out: str = "key") -> DataFrame:
@@ -52,6 +53,51 @@ def _variants(keys: DataFrame, budget: Column, levels: int) -> DataFrame:
     return cut_lineage(reduce(DataFrame.unionByName, parts).groupBy("key", "v").agg(F.min("k").alias("k")))
 
 
+# Keys up to this length meet by deletion variants, pairs with a longer one by rare grams; both ways are exact.
+SHORT_KEY = 16
+GRAM = 2
+
+
+def _best(pairs: DataFrame, p: int, q: int, most: int | None = None) -> DataFrame:
+    """Of candidate pairs (key, match_key) those that qualify, within ``most`` edits if given; the best per key."""
+    m = F.greatest(F.length("key"), F.length("match_key"))
+    distance = F.levenshtein("key", "match_key") if most is None else F.levenshtein("key", "match_key", most)
+    ok = pairs.select("key", "match_key", distance.alias("distance"), m.alias("_m")) \
+        .where((F.col("distance") >= 0) & (F.col("distance") * F.lit(q) <= F.lit(q - p) * F.col("_m")))
+    return ok.groupBy("key").agg(F.min(F.struct("distance", (-F.col("_m")).alias("_negm"), "match_key")).alias("b"))
+
+
+def _grams(keys: DataFrame, name: str, budget: Column) -> DataFrame:
+    """(key, gram, nth, place): the key's grams, padded at both ends, numbered among equal ones."""
+    pad = F.lit("\u0001" * (GRAM - 1))
+    padded = F.concat(pad, F.col(name), pad)
+    places = F.sequence(F.lit(1), F.length(padded) - (GRAM - 1))
+    grams = keys.select(name, budget.alias("_budget"), F.transform(places, lambda i: F.substr(padded, i, F.lit(GRAM))).alias("_g"))
+    nth = F.transform("_g", lambda x, i: F.struct(x.alias("gram"), (i + 1).alias("place"), F.size(F.filter(F.slice("_g", 1, i + 1), lambda y: y == x)).alias("nth")))
+    return grams.select(name, "_budget", F.explode(nth).alias("_t")).select(name, "_budget", "_t.*")
+
+
+def _long_pairs(lk: DataFrame, rk: DataFrame, budget: Callable[[str], Column], p: int, q: int) -> DataFrame:
+    """Candidate pairs of which at least one key is over ``SHORT_KEY`` characters.
+
+    d edits spoil at most GRAM * d grams, so two keys within the budget d share one of the GRAM * d + 1
+    grams that are rarest among all keys; grams of a common prefix are the last to be
+    compared.  Shared grams stand at most d places apart."""
+    least = SHORT_KEY * p // q  # the shorter key of such a pair is longer than this
+    lg, rg = (_grams(k.where(F.length(n) > least), n, budget(n)) for k, n in ((lk, "key"), (rk.withColumnRenamed("key", "match_key"), "match_key")))
+    # a row per gram: few, and stored, so that Spark checks the size before it broadcasts them
+    often = stored(lg.select("gram").unionAll(rg.select("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("_often")), "grams")
+
+    def rare(g: DataFrame, name: str) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy(name).orderBy("_often", "gram", "nth"))
+        return g.join(often, "gram").withColumn("_r", rank).where(F.col("_r") <= GRAM * F.col("_budget") + 1)
+
+    left, right = rare(lg, "key"), rare(rg, "match_key").withColumnsRenamed({"place": "_rplace", "_budget": "_rbudget"})
+    near = F.abs(F.col("place") - F.col("_rplace")) <= F.least("_budget", "_rbudget")
+    long = F.greatest(F.length("key"), F.length("match_key")) > SHORT_KEY
+    return left.join(right, ["gram", "nth"]).where(near & long).select("key", "match_key").distinct()
+
+
 def fuzzy_key_map(left_keys: DataFrame, right_keys: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Best right key per left key: (key, match_key, distance, similarity).
 
@@ -60,35 +106,41 @@ def fuzzy_key_map(left_keys: DataFrame, right_keys: DataFrame, threshold: float
     similarity, then smallest right key.
 
     Exact without comparing all pairs: a qualifying pair has distance
-    <= (1-t)·max(len) <= (1-t)·len/t for either key, and two keys within distance d share a
-    variant obtained by deleting at most d characters from each (symmetric deletion).
-    Distances are searched level by level (0, 1, ..., the largest budget); a left key leaves
-    the search at the first level where it has a qualifying pair, since every pair of that
-    distance or less has been seen by then.  Candidate groups (keys sharing one variant) are
-    bounded by the key alphabet and length, not by the number of keys.  Variant tables and
-    each level's result are checkpointed, so levels do not recompute each other."""
+    <= (1-t)·max(len) <= (1-t)·len/t for either key.  Keys up to ``SHORT_KEY`` characters meet by
+    symmetric deletion: two keys within distance d share a variant obtained by deleting at
+    most d characters from each.  Distances are searched level by level (0, 1, ..., the largest
+    budget of a short key); a left key leaves the search at the first level where it has a qualifying
+    pair.  Pairs with a longer key meet by the rarest of their grams, the work for which grows with the
+    length, not with its binomials; below t = 2/3 the grams cannot vouch for all pairs, and
+    long keys meet by deletion too.  The best of both ways is kept; variant tables and each level's
+    result are checkpointed."""
     p, q = _ratio(threshold)
     lk = left_keys.select(F.col(left_keys.columns[0]).cast("string").alias("key")).where(F.col("key").isNotNull()).distinct()
     rk = right_keys.select(F.col(right_keys.columns[0]).cast("string").alias("key")).where(F.col("key").isNotNull()).distinct()
-    budget = F.floor(F.length("key") * F.lit(q - p) / F.lit(p)).cast("int") if p > 0 else F.length("key")
-    top = lk.unionByName(rk).agg(F.max(F.length("key"))).first()[0] or 0  # one row on the driver
+
+    def budget(name: str) -> Column:
+        return F.floor(F.length(name) * F.lit(q - p) / F.lit(p)).cast("int") if p > 0 else F.length(name)
+
+    by_grams = 3 * p >= 2 * q
+    short = F.length("key") <= SHORT_KEY if by_grams else F.lit(True)
+    ls, rs = lk.where(short), rk.where(short)
+    top = ls.unionByName(rs).agg(F.max(F.length("key"))).first()[0] or 0  # one row on the driver
     levels = int(top * (q - p) // p) if p > 0 else int(top)
-    lv, rv = _variants(lk, budget, levels), _variants(rk, budget, levels).withColumnRenamed("key", "match_key")
-    found, open_keys = [], cut_lineage(lk)
+    lv, rv = _variants(ls, budget("key"), levels), _variants(rs, budget("key"), levels).withColumnRenamed("key", "match_key")
+    found, open_keys = [], cut_lineage(ls)
     for d in range(levels + 1):
         cand = lv.where(F.col("k") <= d).join(open_keys, "key", "left_semi") \
             .join(rv.where(F.col("k") <= d).drop("k"), "v").select("key", "match_key").distinct()
-        m = F.greatest(F.length("key"), F.length("match_key"))
-        ok = cand.select("key", "match_key", F.levenshtein("key", "match_key", d).alias("distance"), m.alias("_m")) \
-            .where((F.col("distance") >= 0) & (F.col("distance") * F.lit(q) <= F.lit(q - p) * F.col("_m")))
-        best = cut_lineage(
-            ok.groupBy("key").agg(F.min(F.struct("distance", (-F.col("_m")).alias("_negm"), "match_key")).alias("b"))
-            .select("key", F.col("b.match_key").alias("match_key"), F.col("b.distance").alias("distance"),
-                    (F.lit(1.0) - F.col("b.distance") / (-F.col("b._negm"))).alias("similarity")))
+        best = cut_lineage(_best(cand, p, q, d))
         found.append(best)
         if d < levels:
             open_keys = cut_lineage(open_keys.join(best.select("key"), "key", "left_anti"))
-    return reduce(DataFrame.unionByName, found)
+    if by_grams:
+        found.append(cut_lineage(_best(_long_pairs(lk, rk, budget, p, q), p, q)))
+    b = F.min("b").alias("b")
+    return reduce(DataFrame.unionByName, found).groupBy("key").agg(b).select(
+        "key", F.col("b.match_key").alias("match_key"), F.col("b.distance").alias("distance"),
+        (F.lit(1.0) - F.col("b.distance") / (-F.col("b._negm"))).alias("similarity"))
 
 
 def fuzzy_key_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str,

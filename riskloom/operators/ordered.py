@@ -2,8 +2,8 @@
 sessions) that stay parallel when one key holds a large share of all rows.
 
 Rows are shuffled once, by (key, time bucket), and ordered inside each bucket by one window
-pass; a (key, bucket) with more than ``HOT_ROWS`` rows is cut into finer time slices (the
-list of such pairs is provably short and broadcast).  Everything that crosses a bucket edge is settled on small tables of one row per
+pass; a (key, bucket) with more than ``HOT_ROWS`` rows is cut into slices of about as many rows.
+Finding such pairs takes a counting job when the operator is built.  Everything that crosses a bucket edge is settled on small tables of one row per
 (key, bucket) or per session piece, using the first and last row of each bucket.  No step
 sends all rows of a key to one task and no row-level join follows the window.
 """
@@ -13,33 +13,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.operators.ranks import running
+from riskloom.session import stored
+
 DEFAULT_BUCKET_US = 3600 * 1_000_000
 US = 1_000_000
 
 
-# A (key, bucket) with more rows than this is split into finer time sub-buckets.
+# A (key, bucket) with more rows than this is cut into slices of about as many rows.
 HOT_ROWS = 4_000_000
-# Bound on the list of hot (key, bucket) pairs that is broadcast: the threshold is raised to
-# total / MAX_HOT when needed, and at most total / threshold pairs can exceed it.
-MAX_HOT = 10_000
 SUB_BITS = 20
 
 
 def _bucket_ids(rows: DataFrame, key: str, us: str, bucket_us: int, hot_rows: int) -> DataFrame:
-    """``_bucket``: a per-key, time-monotone BIGINT.  Normal pairs use the coarse time bucket;
-    a pair holding more than the threshold is cut into ceil(rows / hot_rows) equal time
-    slices (rows of one timestamp never straddle a cut, so the (time, tiebreak) order across
-    slices is kept and all edge logic stays exact)."""
+    """``_bucket``: a per-key, time-monotone BIGINT, the coarse time bucket and a slice in it.
+
+    Slices hold about ``hot_rows`` rows: the times of a pair with more rows than that are counted, and
+    their running count over written ranges gives the cut points.  Rows of one time never
+    straddle a cut, so the (time, tiebreak) order across slices is kept and all edge logic stays
+    exact.  The table of cut points has a row per pair that is cut and at most total / hot_rows
+    points; it is stored, so that Spark checks its size before it broadcasts it."""
     rows = rows.withColumn("_coarse", F.floor(F.col(us) / F.lit(bucket_us)))
-    counts = rows.groupBy(key, "_coarse").agg(F.count(F.lit(1)).alias("_c"))
-    total = counts.agg(F.sum("_c")).first()[0] or 0  # one number on the driver
-    limit = max(hot_rows, -(-total // MAX_HOT))
-    parts = F.least(F.ceil(F.col("_c") / F.lit(hot_rows)), F.lit((1 << SUB_BITS) - 1)).cast("bigint")
-    hot = counts.where(F.col("_c") > limit).select(key, "_coarse", parts.alias("_parts"))  # <= MAX_HOT rows
-    offset = F.col(us) - F.col("_coarse") * F.lit(bucket_us)
-    sub = F.floor(offset.cast("double") * F.col("_parts") / F.lit(float(bucket_us))).cast("bigint")
-    return rows.join(F.broadcast(hot), [key, "_coarse"], "left").withColumn(
-        "_bucket", F.col("_coarse") * F.lit(1 << SUB_BITS) + F.coalesce(sub, F.lit(0))).drop("_coarse", "_parts")
+    large = stored(rows.groupBy(key, "_coarse").agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > hot_rows).select(key, "_coarse"), "hot-hours")
+    if large.limit(1).count() == 0:
+        return rows.withColumn("_bucket", F.col("_coarse") * F.lit(1 << SUB_BITS)).drop("_coarse")
+    times = rows.select(key, "_coarse", us).join(large, [key, "_coarse"], "left_semi").groupBy(key, "_coarse", us).agg(F.count(F.lit(1)).alias("_c"))
+    times = running(times, [F.col(key), F.col("_coarse"), F.col(us)], {"_upto": "_c"})
+    # a time starts a slice when the count up to and including it enters a new multiple of hot_rows
+    slices = times.groupBy(key, "_coarse", F.floor((F.col("_upto") - 1) / F.lit(hot_rows)).alias("_s")).agg(F.min(us).alias("_from"))
+    cuts = stored(slices.groupBy(key, "_coarse").agg(F.array_sort(F.collect_list("_from")).alias("_cuts")), "cuts")
+    sub = F.size(F.filter("_cuts", lambda c: c <= F.col(us)))
+    return rows.join(cuts, [key, "_coarse"], "left").withColumn(
+        "_bucket", F.col("_coarse") * F.lit(1 << SUB_BITS) + F.when(F.col("_cuts").isNotNull(), sub).otherwise(0)).drop("_coarse", "_cuts")
 
 
 def bucketed(df: DataFrame, key: str, us: str, tiebreak: list[str] = (), cols: list[str] = (),

@@ -9,9 +9,11 @@ with a third of all rows, or a global quantile, lands in one task.  Instead:
   2. give every value an order-preserving bucket (log scale, 1/1024 of an octave wide);
      counts per (group, bucket) form a small table whose running sums give the first
      rank of every bucket;
-  3. the wanted ranks fall into at most 2·len(qs) buckets per group; only the distinct
-     values of those buckets are ranked (one window per (group, bucket)) and the two order
-     statistics around each position are interpolated.
+  3. the wanted ranks fall into at most 2·len(qs) buckets per group; each of these is cut
+     evenly into 4,096 parts and counted again, so that a column of narrow range does not
+     end in one bucket;
+  4. only the distinct values of the parts that hold a wanted rank are ranked (one window per
+     part) and the two order statistics around each position are interpolated.
 
 NULL and NaN values are skipped; a group without values gets no row (NULL after a join).
 """
@@ -24,6 +26,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 STEPS_PER_OCTAVE = 1024
+# Even parts of a bucket in the second step.
+PARTS = 4096
 # |log2| of finite doubles is below 1075, so positive and negative buckets stay apart.
 OFFSET = 1 << 21
 TOP = 1 << 23
@@ -55,14 +59,23 @@ def quantiles_long(df: DataFrame, keys: list[str], values: list[str], qs: list[f
     g = [*keys, "_c"]
     counts = _long(df, keys, values).groupBy(*g, "_v").agg(F.count(F.lit(1)).alias("_n")) \
         .withColumn("_b", order_bucket(F.col("_v")))
-    per_b = counts.groupBy(*g, "_b").agg(F.sum("_n").alias("_bn"))
-    run = Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    per_b = per_b.select(*g, "_b", "_bn", (F.sum("_bn").over(run) - F.col("_bn")).alias("_before"),
-                         F.sum("_bn").over(Window.partitionBy(*g)).alias("_total"))
     pos = [(F.col("_total") - 1).cast("double") * F.lit(q) for q in qs]
     ranks = F.array(*[r for p in pos for r in (F.floor(p), F.ceil(p))])
-    targets = per_b.where(F.exists(ranks, lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_bn")))) \
-        .select(*g, "_b", "_before", "_total")
+
+    def holding(rows: DataFrame, by: list[str], before: Column, total: Column) -> DataFrame:
+        """The buckets ``by`` + _b that hold a wanted rank, with the rows before them."""
+        per = rows.groupBy(*by, "_b").agg(F.sum("_n").alias("_bn"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.max(before).alias("_base"), F.max(total).alias("_given"))
+        run = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        per = per.select(*by, "_b", "_bn", "_lo", "_hi", (F.col("_base") + F.sum("_bn").over(run) - F.col("_bn")).alias("_before"),
+                         F.coalesce("_given", F.sum("_bn").over(Window.partitionBy(*by))).alias("_total"))
+        return per.where(F.exists(ranks, lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_bn"))))
+
+    # a target bucket may still hold most of a narrow column: it is cut again, evenly between its ends
+    first = holding(counts, g, F.lit(0), F.lit(None).cast("long"))
+    part = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * PARTS), F.lit(PARTS - 1))).otherwise(0)
+    inner = counts.join(first.drop("_bn"), [*g, "_b"]).withColumn("_outer", F.col("_b")).withColumn("_b", part.cast("bigint"))
+    counts, g = inner.drop("_lo", "_hi", "_before", "_total"), [*g, "_outer"]
+    targets = holding(inner, g, F.col("_before"), F.col("_total")).select(*g, "_b", "_before", "_total")
     within = Window.partitionBy(*g, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = counts.join(targets, [*g, "_b"]).select(
         *g, "_v", "_total", (F.col("_before") + F.sum("_n").over(within)).alias("_end"), "_n")
@@ -77,7 +90,7 @@ def quantiles_long(df: DataFrame, keys: list[str], values: list[str], qs: list[f
         p = n1 * F.lit(q)
         lo, hi, frac = at(F.floor(p)), at(F.ceil(p)), F.max(p - F.floor(p))
         aggs.append(F.when(frac == 0, lo).otherwise((1 - frac) * lo + frac * hi).alias(f"_q{j}"))
-    return ranked.groupBy(*g).agg(*aggs)
+    return ranked.groupBy(*keys, "_c").agg(*aggs)
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], values: list[str], qs: list[float],

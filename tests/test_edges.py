@@ -223,3 +223,62 @@ def test_sinks(spark):
     assert spark.read.parquet(f"{d}/p/parquet").collect() == df.collect() == spark.read.parquet(f"{d}/b").collect()
     assert spark.read.option("header", True).csv(f"{d}/p/csv").first()["t"] == "ж, q" == spark.read.option("header", True).csv(f"{d}/t").first()["t"]
     assert [r.value for r in spark.read.text(f"{d}/r").collect()] == ["first", "second"]
+
+
+# ---- order, ranks, keys -----------------------------------------------------------------
+
+def test_hot_hours_are_cut_by_rows(spark):
+    from riskloom.operators import ordered as O
+    rng = np.random.default_rng(3)
+    us = [*(int(x) for x in rng.integers(0, 2_000_000, 2000)), *range(10_000_000, 3_000_000_000, 300_000_000), *[5] * 50]
+    df = spark.createDataFrame([("k", u, i % 3) for i, u in enumerate(us)] + [("other", 1, 0)], "key string, us long, c int")
+    rows, _ = O.bucketed(df, "key", "us", ["c"], ["c"], hot_rows=100)
+    per = [r["count"] for r in rows.where("key = 'k'").groupBy("_bucket").count().collect()]
+    assert len(per) >= 20 and max(per) <= 200
+    for hot_rows in (100, 10**6):
+        m = O.gap_moments(df, "key", "us", ["c"], hot_rows=hot_rows).where("key = 'k'").first()
+        gaps = np.diff(sorted(us)) / 1e6
+        assert m["gaps"] == len(gaps) and m["gap_mean"] == pytest.approx(gaps.mean()) and m["gap_dev"] == pytest.approx(((gaps - gaps.mean()) ** 2).sum())
+        assert O.change_counts(df, "key", "us", ["c"], ["c"], hot_rows=hot_rows).where("key = 'k'").first()["c"] == sum(
+            a[1] != b[1] for a, b in zip(*(lambda x: (x, x[1:]))(sorted((u, i % 3) for i, u in enumerate(us)))))
+
+
+def test_quantiles_of_a_narrow_column(spark):
+    from riskloom.operators import quantiles as QT
+    v = 1e9 + np.arange(40_001) * 0.001
+    df = spark.createDataFrame([(float(x), float(-x)) for x in v], "a double, b double")
+    r = QT.exact_quantiles(df, [], ["a", "b"], [0.0, 0.25, 0.5, 0.99, 1.0]).first()
+    for q in (0.0, 0.25, 0.5, 0.99, 1.0):
+        assert r[f"a_q{q}"] == pytest.approx(np.quantile(v, q), rel=1e-15) and r[f"b_q{q}"] == pytest.approx(np.quantile(-v, q), rel=1e-15)
+
+
+def test_long_keys_finish(spark):
+    import random
+
+    from riskloom.operators import keys as K
+    rnd = random.Random(0)
+
+    def spoiled(k, n):
+        for _ in range(n):
+            i = rnd.randrange(len(k))
+            k = rnd.choice([k[:i] + k[i + 1:], k[:i] + "x" + k[i:], k[:i] + "y" + k[i + 1:]])
+        return k
+
+    base = ["PREFIX-" + "".join(rnd.choice("abcd01") for _ in range(rnd.choice([3, 8, 11, 30, 53]))) for _ in range(60)]
+    left, right = base, [spoiled(k, rnd.randrange(0, 6)) for k in base]
+
+    def lev(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            prev, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                prev, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prev + (x != y))
+        return row[-1]
+
+    want = {}
+    for a in left:
+        best = min(((lev(a, b), -max(len(a), len(b)), b) for b in right if 5 * lev(a, b) <= max(len(a), len(b))), default=None)
+        if best:
+            want[a] = (best[2], best[0])
+    got = K.fuzzy_key_map(spark.createDataFrame([(k,) for k in left], "k string"), spark.createDataFrame([(k,) for k in right], "k string"), 0.8)
+    assert {r["key"]: (r["match_key"], r["distance"]) for r in got.collect()} == want
