@@ -2,7 +2,8 @@
 
 Method: a tolerant reader builds the tree of a page and drops what cannot be part of the article
 (menus, headers and footers of the site, asides, forms, notices, adverts, reader comments, scripts, hidden
-parts). Every block of text passes points for its length and commas to itself, if it is a container, and
+parts). A part that only its class or id speaks against stays if another class names it content, if the name tells
+of the layout (has-sidebar, share-enabled), or if the page's article, main element or heading stands in it. Every block of text passes points for its length and commas to itself, if it is a container, and
 to its ancestors, less the further away they are. Scores are discounted by link density. The
 best container, or the article element around it, is kept with those of its siblings that score
 like it or read like paragraphs. Text is given block by block in page order.
@@ -50,17 +51,23 @@ UNLIKELY = frozenset("""ad ads adsense advert adverts advertisement advertising
     discussion respond reply replies share sharing shares social related recommended recommendations newsletter subscribe
     subscription signup login register search searchbox pagination pager skip hidden copyright disclaimer""".split())
 LIKELY = frozenset("article content entry story post text body main".split())
+# Words after which, and before which, a name tells what a layout has or lacks.
+MODIFIERS = frozenset("has no with without".split())
+STATES = frozenset("enabled disabled open closed".split())
+HEAD = frozenset("base basefont bgsound link meta title style script noscript noframes template".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "likely", "chars", "linked", "score")
+    __slots__ = ("tag", "parent", "items", "likely", "named", "chars", "linked", "score", "size", "longest", "holds")
 
-    def __init__(self, tag: str, parent: Node | None, likely: bool = False):
-        self.tag, self.parent, self.likely = tag, parent, likely
+    def __init__(self, tag: str, parent: Node | None, likely: bool = False, named: str = ""):
+        self.tag, self.parent, self.likely, self.named = tag, parent, likely, named
         self.items: list[Node | str] = []
         self.chars = self.linked = 0
         self.score = 0.0
+        self.size = self.longest = 0  # unlinked characters, also of the longest article inside
+        self.holds = tag in ("main", "h1") and {tag} or set()
 
 
 def names(attributes: dict[str, str]) -> set[str]:
@@ -81,15 +88,32 @@ def unwanted(tag: str, attributes: dict[str, str], within: bool) -> bool:
         return True
     if attributes.get("role", "").lower() in ROLES:
         return True
-    own = names(attributes)
-    bad = own & UNLIKELY
-    return bool(bad) and not (bad <= {"header", "alert"} and own & LIKELY)
+    return False
+
+
+def judged(tag: str, attributes: dict[str, str]) -> str:
+    """What the names say: "" nothing, "named" not of the article, "doubtful" both in one name."""
+    if tag in ("html", "body", "article", "main") or not names(attributes) & UNLIKELY:
+        return ""
+    bad, likely, apart = set(), False, False
+    for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
+        words = [w.lower() for w in NAME.findall(name)]
+        words = words[:next((i for i, w in enumerate(words) if w in MODIFIERS), len(words))]
+        if words and words[-1] in STATES:
+            continue
+        bad |= UNLIKELY.intersection(words)
+        if LIKELY.intersection(words):
+            likely = True
+            apart = apart or not UNLIKELY.intersection(words)
+    if not bad or apart or bad <= {"header", "alert"} and likely:
+        return ""
+    return "doubtful" if likely else "named"
 
 
 def tree(page: str) -> Node:
     root = here = Node("html", None)
     open_tags = {"html": 1}  # how often each name is open
-    dropped: list[str] = []  # names of open elements within a dropped one
+    named = False
     pos, end = 0, len(page)
 
     def leave(upto: Node) -> Node:
@@ -113,7 +137,7 @@ def tree(page: str) -> Node:
     while pos < end:
         at = page.find("<", pos)
         at = end if at < 0 else at
-        if at > pos and not dropped:
+        if at > pos:
             here.items.append(page[pos:at])
         if at == end:
             break
@@ -127,20 +151,13 @@ def tree(page: str) -> Node:
             continue
         m = TAG.match(page, at) or LOOSE.match(page, at)
         if m is None:
-            if not dropped:
-                here.items.append("<")
+            here.items.append("<")
             pos = at + 1
             continue
         pos, closing, tag = m.end(), m[1], m[2].lower()
         if closing:
-            if dropped:
-                if tag in dropped:
-                    while dropped.pop() != tag:
-                        pass
-                elif tag in ("body", "html", "article", "main") and open_tags.get(tag):
-                    dropped.clear()  # what was dropped was never closed
-            if not dropped and open_tags.get(tag) and tag not in ("html", "body"):
-                node, inline = here, tag not in BLOCK
+            if open_tags.get(tag) and tag not in ("html", "body"):
+                node, inline = here, tag not in BLOCK and tag not in DROPPED
                 while node is not root and node.tag != tag and not (inline and node.tag in BLOCK):
                     node = node.parent
                 if node is not root and node.tag == tag:
@@ -151,10 +168,8 @@ def tree(page: str) -> Node:
             pos = end if stop is None else stop.end()
             continue
         alone = tag in VOID or m[3].endswith("/") and tag not in BLOCK
-        if dropped:
-            if not alone:
-                dropped.append(tag)
-            continue
+        if here.tag == "head" and tag not in HEAD:
+            here = leave(here)
         if tag in ("html", "body") or alone and tag != "br":
             if tag == "hr":
                 here.items.append(Node("hr", here))
@@ -171,18 +186,58 @@ def tree(page: str) -> Node:
         if tag == "form" and not drop:  # some sites put the whole page into one
             stop = FORM_END.search(page, pos)
             drop = not re.search(r"<(?:article|main|h1)[\s>]", page[pos:stop.start() if stop else end], re.I)
-        if drop:
-            if tag in BLOCK:
-                here.items.append(Node("hr", here))  # text on both sides is not one block
-            dropped.append(tag)
-            continue
-        node = Node(tag, here, bool(attributes) and bool(names(attributes) & LIKELY))
-        here.items.append(node)
+        node = Node(tag, here, bool(attributes) and bool(names(attributes) & LIKELY), judged(tag, attributes) if attributes else "")
+        if not drop:
+            here.items.append(node)
+            named = named or bool(node.named)
+        elif tag in BLOCK:
+            here.items.append(Node("hr", here))  # text on both sides is not one block
         here = node
         open_tags[tag] = open_tags.get(tag, 0) + 1
+    if named:
+        settle(root)
     return root
 
 
+def settle(root: Node) -> None:
+    """Empties the elements that their names speak against, unless the article must be in them. Outer ones are
+    settled first; what of the page stands in none that is left unsettled, is free."""
+    links = 0
+    for node, begins, text in in_order(root):
+        if text is not None:
+            node.size += 0 if links else len(text.strip())
+            continue
+        links += (1 if begins else -1) * (node.tag == "a")
+        if not begins and node.parent is not None:
+            up = node.parent
+            up.size += node.size
+            up.longest = max(up.longest, node.longest, node.size if node.tag == "article" else 0)
+            up.holds |= node.holds
+    longest, headed, level = 0, False, [root]
+    while level:
+        outer, stack = [], level
+        while stack:
+            for x in stack.pop().items:
+                if isinstance(x, str):
+                    continue
+                if x.named:
+                    outer.append(x)
+                    continue
+                longest = max(longest, x.size if x.tag == "article" else 0)
+                headed = headed or x.tag == "h1"
+                stack.append(x)
+        level = []
+        for x in outer:
+            most = 2 * x.size > root.size
+            if "main" in x.holds or x.longest > longest or "h1" in x.holds and (most or not headed) or x.named == "doubtful" and most:
+                level.append(x)
+            else:
+                x.items, x.tag = [], "hr" if x.tag in BLOCK else x.tag
+        for x in level:
+            x.named = ""
+            headed = headed or x.tag == "h1"
+
+
 def in_order(root: Node) -> Iterator[tuple[Node, bool, str | None]]:
     """Element starts (node, True), element ends (node, False) and texts, without recursion."""
     stack: list[tuple[Node, Iterator]] = [(root, iter(root.items))]

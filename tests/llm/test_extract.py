@@ -41,6 +41,32 @@ def test_layouts(page, text):
     assert extract.main_text(page) == text
 
 
+@pytest.mark.parametrize("page", [
+    *(f"<body><div class='{c}'><article>{ARTICLE}</article></div></body>" for c in ("content has-sidebar", "page no-comments", "with-menu", "sidebar layout", "post share-enabled")),
+    *(f"<body><div class='{c}'>{ARTICLE}</div><div class=footer>f</div></body>" for c in ("content has-sidebar", "page no-comments", "page with-menu", "post share-enabled", "content sidebar-left", "content-sidebar-wrap")),
+    f"<article><p class=notice>We moved.{ARTICLE}</article>",
+    f"<main><ul><li class=share>Share<li class=share>Send</ul>{ARTICLE}</main>",
+    f"<div class=content><div class=sidebar><p>Menu</div>{ARTICLE}</div>",
+    f"<html><head><title>t</title><body>{ARTICLE}</body></html>",
+    # what the names do speak against stays out
+    f"<article>{ARTICLE}</article><div class=comments><article>{ARTICLE[:60]}</article></div>",
+    f"<div class=sidebar-layout><article>{ARTICLE}<div class=comments><article>nice, very, nice</article></div></article></div>",
+    f"<article>{ARTICLE}<div class=post-comments><p>nice, very, nice</p></div><ul class=main-menu><li>m</ul></article>",
+    f"<div class=related><article>A teaser.</article></div><div class='sidebar layout'><article>{ARTICLE}</article></div>",
+    f"<object><p>no player</object><article>{ARTICLE}</article>",
+])
+def test_names_of_layouts(page):
+    assert extract.main_text(page) == TEXT
+
+
+def test_heading_in_a_banner():
+    assert extract.main_text(f"<article><div class=banner><h1>Title</h1></div>{ARTICLE}</article>") == "Title\n" + TEXT
+
+
+def test_nested_names_take_linear_time():
+    assert extract.main_text("<div class=sidebar>" * 5000 + f"<article>{ARTICLE}</article>") == TEXT
+
+
 def test_frames(spark):
     df = spark.createDataFrame([(1, "u", "<p>a</p>", 5), (1, "u", "<p>a</p>", 5), (None, None, None, None)], "page_id long, url string, html string, n_chars int")
     got = extract.extract(df).select("page_id", "text", "n_chars").collect()
