@@ -68,34 +68,34 @@ def _best(pairs: DataFrame, p: int, q: int, most: int | None = None) -> DataFram
 
 
 def _grams(keys: DataFrame, name: str, budget: Column) -> DataFrame:
-    """(key, gram, nth, place): the key's grams, padded at both ends, numbered among equal ones."""
+    """(key, gram, place): the key's grams, padded at both ends."""
     pad = F.lit("\u0001" * (GRAM - 1))
     padded = F.concat(pad, F.col(name), pad)
     places = F.sequence(F.lit(1), F.length(padded) - (GRAM - 1))
     grams = keys.select(name, budget.alias("_budget"), F.transform(places, lambda i: F.substr(padded, i, F.lit(GRAM))).alias("_g"))
-    nth = F.transform("_g", lambda x, i: F.struct(x.alias("gram"), (i + 1).alias("place"), F.size(F.filter(F.slice("_g", 1, i + 1), lambda y: y == x)).alias("nth")))
-    return grams.select(name, "_budget", F.explode(nth).alias("_t")).select(name, "_budget", "_t.*")
+    placed = F.transform("_g", lambda x, i: F.struct(x.alias("gram"), (i + 1).alias("place")))
+    return grams.select(name, "_budget", F.explode(placed).alias("_t")).select(name, "_budget", "_t.*")
 
 
 def _long_pairs(lk: DataFrame, rk: DataFrame, budget: Callable[[str], Column], p: int, q: int) -> DataFrame:
     """Candidate pairs of which at least one key is over ``SHORT_KEY`` characters.
 
-    d edits spoil at most GRAM * d grams, so two keys within the budget d share one of the GRAM * d + 1
-    grams that are rarest among all keys; grams of a common prefix are the last to be
-    compared.  Shared grams stand at most d places apart."""
+    d edits spoil at most GRAM * d grams and move the others at most d places, so of two keys within the budget d
+    one has, among its GRAM * d + 1 grams that are rarest among all keys, an unspoiled one; the other key keeps that
+    gram as well, since all places of a kept gram are kept.  Grams of a common prefix are the last to be compared."""
     least = SHORT_KEY * p // q  # the shorter key of such a pair is longer than this
     lg, rg = (_grams(k.where(F.length(n) > least), n, budget(n)) for k, n in ((lk, "key"), (rk.withColumnRenamed("key", "match_key"), "match_key")))
     # a row per gram: few, and stored, so that Spark checks the size before it broadcasts them
     often = stored(lg.select("gram").unionAll(rg.select("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("_often")), "grams")
 
     def rare(g: DataFrame, name: str) -> DataFrame:
-        rank = F.row_number().over(Window.partitionBy(name).orderBy("_often", "gram", "nth"))
+        rank = F.rank().over(Window.partitionBy(name).orderBy("_often", "gram"))  # one rank for all places of a gram
         return g.join(often, "gram").withColumn("_r", rank).where(F.col("_r") <= GRAM * F.col("_budget") + 1)
 
     left, right = rare(lg, "key"), rare(rg, "match_key").withColumnsRenamed({"place": "_rplace", "_budget": "_rbudget"})
     near = F.abs(F.col("place") - F.col("_rplace")) <= F.least("_budget", "_rbudget")
     long = F.greatest(F.length("key"), F.length("match_key")) > SHORT_KEY
-    return left.join(right, ["gram", "nth"]).where(near & long).select("key", "match_key").distinct()
+    return left.join(right, "gram").where(near & long).select("key", "match_key").distinct()
 
 
 def fuzzy_key_map(left_keys: DataFrame, right_keys: DataFrame, threshold: float = 0.8) -> DataFrame:

@@ -49,6 +49,26 @@ def test_fuzzy_against_brute_force(spark):
     assert got == _brute(left, right)
 
 
+def test_fuzzy_long_keys_with_repeated_pieces(spark):
+    rnd = random.Random(7)
+    # an edit in an earlier copy of a gram, the untouched grams frequent
+    left = ["QWERTYUIOPQWERTYUIOP"]
+    right = ["Q1E2T3U4OPQWERTYUIOP"] + ["Q" + "OPQOPQOPQ" + "".join(rnd.choice("ABCDFGHJKL") for _ in range(5)) + "OPQOP" for _ in range(59)]
+    for _ in range(80):
+        piece = "".join(rnd.choice("abc01") for _ in range(rnd.randint(2, 9)))
+        key = (piece * 12)[:rnd.randint(15, 30)]
+        left.append(key)
+        edited = list(key)
+        for _ in range(rnd.randint(0, 6)):
+            i = rnd.randrange(len(edited))
+            edited[i:i + rnd.randint(0, 1)] = rnd.choice(["", "x", "a", "0"])
+        right.append("".join(edited))
+    ldf = spark.createDataFrame([(x,) for x in left], "k string")
+    rdf = spark.createDataFrame([(x,) for x in right], "r string")
+    got = {r["key"]: (r["match_key"], r["distance"]) for r in K.fuzzy_key_map(ldf, rdf, 0.8).collect()}
+    assert got == _brute(left, right) and got[left[0]] == (right[0], 4)
+
+
 def test_fuzzy_join_keeps_rows(spark):
     left = spark.createDataFrame([(1, "abcde"), (2, "abcde"), (3, "none!")], "id int, k string")
     right = spark.createDataFrame([("abcdf", "x")], "r string, payload string")
