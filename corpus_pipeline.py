@@ -42,8 +42,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds the token ids of every document of the mix, and how many."""
-    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json")).withColumn("n_tokens", F.size("ids").cast("long"))
+    """Adds the token ids of every document of the mix, the text decoded from them, and how many there are."""
+    return bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json")).withColumn("n_tokens", F.size("ids").cast("long"))
 
 
 STAGES = [("quality classifier", good_quality), ("exact dedup", without_copies), ("SimHash near-dedup", without_near_copies),

@@ -38,6 +38,14 @@ def test_stages(spark):
     assert columns == list(docs.columns[:len(columns)])
 
 
+def test_last_stage_decodes(spark):
+    docs = table(spark, SF, "documents").limit(200)
+    name, stage = corpus_pipeline.STAGES[-1]
+    got = stage(spark, docs, SF).collect()
+    assert name == "BPE encoding and decoding" and len(got) == 200
+    assert all(r.decoded == r.text and r.n_tokens == len(r.ids) for r in got)
+
+
 def test_empty(spark):
     docs = table(spark, SF, "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES:
