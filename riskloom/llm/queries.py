@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import bpe, exact, extract, langid, mixing, quality, simhash, suffix, topk, warc
+from riskloom.llm import bpe, exact, extract, fim, importance, langid, mixing, quality, rules, simhash, suffix, topk, warc
 from riskloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,22 @@ def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document that an earlier one has in strings of 50."""
     return suffix.digests(table(spark, sf_dir, "documents"))
+
+
+@register("op11_fim", fim.SQL)
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cuts, output and restored text of every document, as counts and digests."""
+    return fim.digests(table(spark, sf_dir, "documents"))
+
+
+@register("op12_importance", importance.SQL)
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of every document, drawn towards the benchmark's distribution."""
+    found = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@register("op13_rules", rules.SQL)
+def op13_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of every document."""
+    return rules.apply(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("rule")
