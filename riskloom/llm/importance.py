@@ -176,7 +176,8 @@ def resample(docs: DataFrame, target: DataFrame, seed: int = 2024, longest: int
     ``percent`` of the documents of at least ``least_words`` words are drawn towards the distribution of ``target.text``.
     """
     gain = gains(corpus_counts(docs, longest, buckets), corpus_counts(target, longest, buckets))
-    return ranked(scored(weights(docs, gain, longest, keep), seed), least_words, percent)
+    rows = written(scored(weights(docs, gain, longest, keep), seed), "weights")  # the range sort reads its input twice
+    return ranked(rows, least_words, percent)
 
 
 SQL = r"""
