@@ -12,12 +12,12 @@ SCHEMA = "vec_id long, embedding array<float>, rank string, score string"
 
 
 def brute(rows, every=50, k=5):
-    good = {i: np.floor(256 * np.array(v, np.float64)).astype(int) for i, v, *_ in rows
+    good = {i: [math.floor(256 * x) for x in v] for i, v, *_ in rows
             if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
     out = set()
     for q, v in good.items():
         if q % every == 0:
-            scored = sorted((-int((v * w).sum()), i) for i, w in good.items() if i != q)[:k]
+            scored = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in good.items() if i != q)[:k]
             out |= {(q, rank, i, -s) for rank, (s, i) in enumerate(scored, 1)}
     return out
 
@@ -36,17 +36,55 @@ def test_against_all_products(spark, spread):
     assert {tuple(r) for r in got.collect()} == brute(rows)
 
 
+def test_large_components_and_negatives(spark):
+    big = [(0, 21), (1, 21), (2, 22), (3, 23)]
+    rows = [(i, [float(1 << e)] * 4, "", "") for i, e in big]
+    df = spark.createDataFrame(rows, SCHEMA)
+    vectors = topk.quantised(df)
+    assert [tuple(r)[1:] for r in topk.top_k(vectors, vectors.where("vec_id = 0")).orderBy("rank").collect()] == [(1, 3, 1 << 62), (2, 2, 1 << 61), (3, 1, 1 << 60)]
+    rnd = random.Random(9)
+    rows = [(i, [rnd.choice([-1, 1]) * float(np.float32(2.0 ** rnd.uniform(18, 20.9))) for _ in range(5)], "", "") for i in range(300)]
+    vectors = topk.quantised(spark.createDataFrame(rows, SCHEMA))
+    got = topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), rows=100)
+    assert {tuple(r) for r in got.collect()} == brute(rows)
+
+
+def test_python_integers_and_scores_that_fit_no_long():
+    values = np.array([[2.0**70, 1.0], [2.0**70, -3.0], [-(2.0**71), 5.0]])
+    lists = topk.Lists(np.array([1, 2, 3]), values)
+    which, ids, scores = lists.search(np.array([9, 2]), np.array([[0.0, 7.0], [1.0, 2.0]]), 2)
+    assert which.tolist() == [0, 0, 1, 1] and ids.tolist() == [3, 1, 1, 3] and scores.tolist() == [35, 7, (1 << 70) + 2, 10 - (1 << 71)]
+    assert topk.fits(scores[:2]).tolist() == [35, 7]
+    with pytest.raises(OverflowError):
+        topk.fits(scores)
+
+
 def test_stops_early():
     rng = np.random.default_rng(0)
-    values = np.zeros((4000, 2), np.int64)
+    values = np.zeros((4000, 2))
     values[:, 0] = np.arange(4000)
     values[:, 1] = rng.integers(0, 3, 4000)
     lists = topk.Lists(np.arange(4000), values)
-    looked = []
-    scores = lists.scores
-    lists.scores = lambda rows, q: (looked.append(len(rows)), scores(rows, q))[1]
-    ids, _ = lists.search(-1, np.array([5, 1]), 3)
-    assert sum(looked) < 1000 and set(ids) <= set(range(3990, 4000))
+    _, ids, _ = lists.search(np.array([-1]), np.array([[5.0, 1.0]]), 3)
+    assert lists.looked_up < 1000 and set(ids) <= set(range(3990, 4000))
+
+
+def test_clustered_vectors_are_mostly_not_looked_up():
+    rng = np.random.default_rng(1)
+    centres = np.eye(16) * 200
+    values = np.floor(centres[rng.integers(0, 16, 6000)] + rng.normal(0, 4, (6000, 16)))
+    values = np.where(np.abs(values) < 20, 0, values)
+    lists, q = topk.Lists(np.arange(6000), values), values[::50]
+    found = set()
+    for some in topk.batches(q):
+        which, ids, scores = lists.search(np.arange(0, 6000, 50)[some], q[some], 5)
+        found |= set(zip((some[which] * 50).tolist(), ids.tolist(), scores.astype(int).tolist(), strict=True))
+    assert lists.looked_up < len(q) * 6000 / 2
+    whole = (q @ values.T).astype(int)
+    for i in range(len(q)):
+        best = sorted((-whole[i, j], j) for j in range(6000) if j != 50 * i)[:5]
+        assert {(50 * i, j, -s) for s, j in best} <= found
+    assert len(found) == 5 * len(q)
 
 
 def test_few_and_none(spark):
