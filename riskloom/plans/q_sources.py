@@ -11,16 +11,7 @@ from riskloom.operators.ml import shared_dir
 from riskloom.plans import fixtures as X
 from riskloom.plans.catalog import register, table
 from riskloom.sources import files as FS
-
-# Roles of the driver folder's files for the source checks.
-DRIVER_PATTERNS = [
-    ("amplitude_chunks", r"^events\.parquet$", False),
-    ("applications", r"^orders\.parquet$", False),
-    ("labels", r"^labels\.parquet$", True),
-    ("link_table", r"\.csv$", False),
-    ("audio", r"\.(wav|mp3|flac)$", False),
-]
-
+from riskloom.sources.tables import audit_chunks
 
 @register("scan_link_csv", r"""
 WITH b AS (""" + X.LINK_BASE_SQL + "), link AS (" + X.LINK_SQL + r""")
@@ -39,16 +30,49 @@ def q_scan_link_csv(spark, sf):
     return read.select(*[F.col(f"`{c}`") for c in link.columns if c != "link_row"])
 
 
-@register("list_call_files")
+@register("list_call_files", X.with_ctes("""
+SELECT path, file_name, file_size FROM calls""", link=False))
 def q_list_call_files(spark, sf):
-    return FS.list_call_files(spark, sf)
+    """The call folder's recordings out of a storage inventory that also lists a sub-folder and other files."""
+    inventory = X.call_listing(table(spark, sf, "events")).select("path", "file_size")
+    deeper = inventory.select(F.concat(F.lit(X.CALL_DIR + "old/"), F.substring_index("path", "/", -1)).alias("path"), "file_size")
+    other = inventory.select(F.concat("path", F.lit(".txt")).alias("path"), "file_size")
+    return FS.call_files(inventory.unionByName(deeper).unionByName(other), X.CALL_DIR)
+
+
+def _data_folder(spark, sf):
+    """A data folder with the given tables under the names of the sources they stand for."""
+    base = shared_dir(spark, f"data/{uuid.uuid4().hex}")
+    events = table(spark, sf, "events")
+    for part in range(3):
+        events.where(F.col("event_id") % 3 == part).write.parquet(f"{base}/train_amplitude_chunk_{part}.parquet")
+    table(spark, sf, "orders").write.parquet(f"{base}/train_app_data.parquet")
+    table(spark, sf, "labels").write.parquet(f"{base}/train_target_data.parquet")
+    return base
 
 
-@register("source_summary")
+SUMMARY_SQL = """
+SELECT * FROM (VALUES (0, 'amplitude_chunks', 3, (SELECT COUNT(*) FROM events), 1, 0),
+  (1, 'applications', 1, (SELECT COUNT(*) FROM orders), 1, 0), (2, 'labels', 1, (SELECT COUNT(*) FROM labels), 1, 1),
+  (3, 'link_table', 0, NULL, 0, 0), (4, 'audio', 0, NULL, 0, 0)) s(ord, kind, n_sources, n_rows, present, required)"""
+
+
+@register("source_summary", SUMMARY_SQL)
 def q_source_summary(spark, sf):
-    return FS.source_summary(spark, sf, DRIVER_PATTERNS)
+    return FS.source_summary(spark, _data_folder(spark, sf)).drop("n_files", "bytes")
 
 
-@register("source_presence")
+@register("source_presence", f"""
+SELECT kind, required, present, CASE WHEN present = 1 THEN 'ok' WHEN required = 1 THEN 'error' ELSE 'warning' END AS status
+FROM ({SUMMARY_SQL})""")
 def q_source_presence(spark, sf):
-    return FS.source_presence(FS.source_summary(spark, sf, DRIVER_PATTERNS))
+    return FS.source_presence(FS.source_summary(spark, _data_folder(spark, sf)))
+
+
+@register("audit_chunks", """
+SELECT CAST(part AS INTEGER) AS part, COUNT(*) AS expected, COUNT(*) AS read FROM (SELECT event_id % 3 AS part FROM events) GROUP BY part""")
+def q_audit_chunks(spark, sf):
+    """Footer rows against rows delivered, per chunk."""
+    audit = audit_chunks(spark, f"{_data_folder(spark, sf)}/train_amplitude_chunk_*")
+    part = F.regexp_extract("path", r"train_amplitude_chunk_(\d)", 1).cast("int").alias("part")
+    return audit.groupBy(part).agg(F.sum("expected").alias("expected"), F.sum("read").alias("read"))

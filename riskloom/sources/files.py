@@ -20,7 +20,7 @@ SOURCE_PATTERNS = [
     ("link_table", r"^(svod|свод)\.csv$|свод.*\.csv$", False),
     ("audio", r"\.(wav|mp3|flac)$", False),
 ]
-CALL_GLOB = "*.{wav,mp3,flac}"
+CALL_NAME = r"\.(wav|mp3|flac)$"
 # The upper half of cp1251, by its Latin-1 code; 0x98 has no character there.
 LATIN1_UPPER = bytes(range(0x80, 0x100)).decode("latin-1")
 CP1251_UPPER = bytes(range(0x80, 0x100)).decode("cp1251", "replace")
@@ -69,27 +69,48 @@ def _read_alike(spark: SparkSession, files: list[str], header: bytes, utf8: bool
                        F.col("_metadata.file_path").alias("source_file"), place.alias("link_row"), text("_bad").alias(REJECT))
 
 
+def call_files(listing: DataFrame, folder: str) -> DataFrame:
+    """Call recordings directly inside ``folder`` out of a file listing (path, file_size): path, name, size.
+
+    The listing may be a folder scan or a storage inventory table; folders below are not entered."""
+    below = F.substring_index(F.col("path"), folder.rstrip("/") + "/", -1)
+    inside = F.contains("path", F.lit(folder.rstrip("/") + "/")) & ~F.contains(below, F.lit("/"))
+    return listing.where(inside & below.rlike(CALL_NAME)).select("path", basename(F.col("path")).alias("file_name"), "file_size")
+
+
 def list_call_files(spark: SparkSession, path: str) -> DataFrame:
-    """Non-recursive listing of call recordings: path, file name, size (content not read)."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", CALL_GLOB) \
-        .option("recursiveFileLookup", "false").load(path)
-    return files.select(F.col("path"), basename(F.col("path")).alias("file_name"), F.col("length").alias("file_size"))
+    """``call_files`` of a folder (content not read)."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(path)
+    return call_files(files.select("path", F.col("length").alias("file_size")), path)
 
 
-def source_summary(spark: SparkSession, path: str, patterns: list[tuple[str, str, bool]] | None = None) -> DataFrame:
-    """Per source kind: number of files, bytes, present flag, required flag (one listing job)."""
-    patterns = patterns or SOURCE_PATTERNS
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(
-        basename(F.col("path")).alias("name"), F.col("length"))
+def _folder_files(spark: SparkSession, path: str, patterns: list[tuple[str, str, bool]]) -> DataFrame:
+    """Files below the folder with the source kind that the name of the file or of its top folder gives."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    rest = F.substring_index(F.col("path"), path.rstrip("/") + "/", -1)
+    files = files.select("path", "length", F.substring_index(rest, "/", 1).alias("name"), basename(F.col("path")).alias("_file"))
     kind = None
     for k, rx, _ in patterns:
-        kind = F.when(F.col("name").rlike(rx), k) if kind is None else kind.when(F.col("name").rlike(rx), k)
-    counted = files.withColumn("kind", kind).where(F.col("kind").isNotNull()).groupBy("kind").agg(
-        F.count(F.lit(1)).alias("n_files"), F.sum("length").alias("bytes"))
+        fits = F.col("name").rlike(rx) | F.col("_file").rlike(rx)
+        kind = F.when(fits, k) if kind is None else kind.when(fits, k)
+    return files.withColumn("kind", kind).where(F.col("kind").isNotNull())
+
+
+def source_summary(spark: SparkSession, path: str, patterns: list[tuple[str, str, bool]] | None = None) -> DataFrame:
+    """Per source kind: number of sources (files, or folders of part files), files, bytes, present flag, required flag, and rows of its
+    Parquet files, which their footers tell (a scan of no column)."""
+    patterns = patterns or SOURCE_PATTERNS
+    files = _folder_files(spark, path, patterns)
+    counted = files.groupBy("kind").agg(F.count_distinct("name").alias("n_sources"), F.count(F.lit(1)).alias("n_files"), F.sum("length").alias("bytes"))
+    tables = files.where(F.lower("path").endswith(".parquet")).select("kind", "path").orderBy("path").collect()  # the listing the driver makes anyway
+    of = dict.fromkeys((r["kind"] for r in tables))
+    rows = [spark.read.option("ignoreCorruptFiles", "true").parquet(*[r["path"] for r in tables if r["kind"] == k])
+            .agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(k).alias("kind"), "n_rows") for k in of]
     kinds = spark.createDataFrame([(k, req, i) for i, (k, _, req) in enumerate(patterns)],
                                   "kind string, required boolean, ord int")  # one row per source kind
-    return kinds.join(counted, "kind", "left").select(
-        "ord", "kind", F.coalesce("n_files", F.lit(0)).alias("n_files"), F.coalesce("bytes", F.lit(0)).alias("bytes"),
+    counts = reduce(DataFrame.unionByName, rows) if rows else spark.createDataFrame([], "kind string, n_rows long")
+    return kinds.join(counted, "kind", "left").join(counts, "kind", "left").select(
+        "ord", "kind", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_sources", "n_files", "bytes")], "n_rows",
         (F.coalesce("n_files", F.lit(0)) > 0).cast("int").alias("present"), F.col("required").cast("int").alias("required"))
 
 

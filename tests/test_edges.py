@@ -69,6 +69,60 @@ def test_chunks_union_and_unread(spark):
     assert "bad.parquet" in missed
 
 
+def _damaged_chunk(spark, d):
+    """A file of several row groups, one of which has its pages overwritten."""
+    import pyarrow.parquet as pq
+    spark.range(40_000).selectExpr("id", "cast(id * 7919 % 10007 as string) AS props").coalesce(1).write.parquet(f"{d}/plain")
+    rows = pq.read_table(f"{d}/plain")
+    os.makedirs(f"{d}/chunk_3")
+    path = f"{d}/chunk_3/part.parquet"
+    pq.write_table(rows, path, row_group_size=8_000)
+    group = pq.ParquetFile(path).metadata.row_group(3).column(1)
+    start = min(x for x in (group.dictionary_page_offset, group.data_page_offset) if x is not None)
+    with open(path, "r+b") as f:
+        f.seek(start)
+        f.write(b"\xff" * group.total_compressed_size)
+
+
+def test_partly_damaged_chunk_is_rejected_whole(spark):
+    d = tempfile.mkdtemp(prefix="riskloom-chunks-")
+    _damaged_chunk(spark, d)
+    spark.createDataFrame([(1, "a")], "id long, props string").write.parquet(f"{d}/chunk_0")
+    spark.createDataFrame([], "id long, props string").coalesce(1).write.parquet(f"{d}/chunk_1")
+    part = spark.read.option("ignoreCorruptFiles", "true").parquet(f"{d}/chunk_3").selectExpr("count(props)", "sum(id)").first()[0]
+    assert 0 < part < 40_000  # what a tolerant reader would keep of it
+    assert [tuple(r) for r in read_event_chunks(spark, f"{d}/chunk_*").select("id", "props").collect()] == [(1, "a")]
+    rejects = unread_chunks(spark, f"{d}/chunk_*").collect()
+    assert [(os.path.basename(r["path"]), r["expected"]) for r in rejects] == [("part.parquet", 40_000)] and 0 < rejects[0]["read"] < 40_000
+
+
+def test_no_readable_chunk(spark):
+    d = tempfile.mkdtemp(prefix="riskloom-chunks-")
+    os.makedirs(f"{d}/chunk_0")
+    with open(f"{d}/chunk_0/bad.parquet", "wb") as f:
+        f.write(b"PAR1 not a parquet file PAR1")
+    assert [(r["expected"], r["read"]) for r in unread_chunks(spark, f"{d}/chunk_*").collect()] == [(None, 0)]
+    got = read_event_chunks(spark, f"{d}/chunk_*")
+    assert got.count() == 0 and got.columns == ["source_chunk"]
+
+
+def test_call_files_and_summary_of_a_folder(spark):
+    d = tempfile.mkdtemp(prefix="riskloom-data-")
+    os.makedirs(f"{d}/audiofiles/old")
+    for name in ("a.wav", "b.mp3", "c.flac", "d.txt", "old/e.wav"):
+        with open(f"{d}/audiofiles/{name}", "wb") as f:
+            f.write(b"12345")
+    got = FS.list_call_files(spark, f"{d}/audiofiles").collect()
+    assert sorted((r["file_name"], r["file_size"]) for r in got) == [("a.wav", 5), ("b.mp3", 5), ("c.flac", 5)]
+    spark.range(10).write.parquet(f"{d}/train_amplitude_chunk_1.parquet")
+    spark.range(5).write.parquet(f"{d}/train_amplitude_chunk_2.parquet")
+    summary = {r["kind"]: r for r in FS.source_summary(spark, d).collect()}
+    assert (summary["amplitude_chunks"]["n_sources"], summary["amplitude_chunks"]["n_rows"]) == (2, 15)
+    assert summary["labels"]["present"] == 0 and summary["audio"]["n_files"] == 3 and summary["audio"]["n_rows"] is None
+    status = {r["kind"]: r["status"] for r in FS.source_presence(FS.source_summary(spark, d)).collect()}
+    assert status["labels"] == "error" and status["link_table"] == "warning" and status["audio"] == "ok"
+
+
 # ---- hot keys ---------------------------------------------------------------------------
 
 HOT_CONF = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
