@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from difflib import SequenceMatcher
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -143,11 +145,80 @@ def fuzzy_key_map(left_keys: DataFrame, right_keys: DataFrame, threshold: float
         (F.lit(1.0) - F.col("b.distance") / (-F.col("b._negm"))).alias("similarity"))
 
 
+def _pieces_of(keys: DataFrame, name: str) -> DataFrame:
+    """(key, token): every character with the number of its occurrence, so that equal tokens count a multiset's overlap."""
+    head = lambda i: F.substr(F.col(name), F.lit(1), i)
+    char = lambda i: F.substr(F.col(name), i, F.lit(1))
+    token = lambda i: F.struct(char(i).alias("char"), (F.length(head(i)) - F.length(F.replace(head(i), char(i), F.lit("")))).alias("nth"))
+    return keys.select(name, F.explode(F.transform(F.sequence(F.lit(1), F.length(name)), token)).alias("token"))
+
+
+def _block_pairs(lk: DataFrame, rk: DataFrame, p: int, q: int) -> DataFrame:
+    """Candidate pairs for the matching-blocks ratio; no pair that reaches p/q is missing.
+
+    The blocks of two keys of a and b characters form a common subsequence, so a ratio of t needs one of t * (a + b) / 2
+    characters, and neither key is longer than (2 - t) / t times the other.  Keys up to ``SHORT_KEY`` characters meet by such a
+    subsequence: every way to delete characters down to it, joined by the text left and the right key's length, of
+    which only those pass that leave it long enough.  Pairs with a longer key meet by the overlap of
+    their characters, which a subsequence cannot exceed: of the tokens of a key all but the needed overlap, and one, in order of
+    rarity, must hold one of the other's."""
+    def needed(name: str) -> Column:
+        return F.ceil(F.length(name) * F.lit(p) / F.lit(2 * q - p)).cast("int")
+
+    right = rk.select(F.col("key").alias("match_key"))
+    ls, rs = lk.where(F.length("key") <= SHORT_KEY), rk.where(F.length("key") <= SHORT_KEY)
+    levels = SHORT_KEY - -(-SHORT_KEY * p // (2 * q - p))
+    lv, rv = (_variants(k, F.length("key") - needed("key"), levels) for k in (ls, rs))
+    most = F.floor(F.length("v") * F.lit(2 * q) / F.lit(p)).cast("int") - F.length("key")
+    lv = lv.where(most >= F.length("v")).select("key", "v", F.explode(F.sequence(F.length("v"), most)).alias("size"))
+    rv = rv.select(F.col("key").alias("match_key"), "v", F.length("key").alias("size"))
+    short = lv.join(rv, ["v", "size"]).select("key", "match_key")
+
+    least = SHORT_KEY * p // (2 * q - p)  # the shorter key of a pair with a long one is longer than this, or as long
+    lt, rt = (_pieces_of(k.where(F.length(n) >= least), n) for k, n in ((lk, "key"), (right, "match_key")))
+    often = stored(lt.select("token").unionAll(rt.select("token")).groupBy("token").agg(F.count(F.lit(1)).alias("_often")), "tokens")
+
+    def rare(tokens: DataFrame, name: str) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy(name).orderBy("_often", "token"))
+        return tokens.join(often, "token").withColumn("_r", place).where(F.col("_r") <= F.length(name) - needed(name) + 1)
+
+    a, b = F.length("key"), F.length("match_key")
+    fits = (F.greatest(a, b) > SHORT_KEY) & (F.greatest(a, b) * F.lit(p) <= F.least(a, b) * F.lit(2 * q - p))
+    long = rare(lt, "key").select("key", "token").join(rare(rt, "match_key").select("match_key", "token"), "token").where(fits).select("key", "match_key")
+    pairs = short.unionByName(long).distinct()
+    # unmatched characters of both keys bound their edits
+    limit = F.floor((a + b) * F.lit(q - p) / F.lit(q)).cast("int")
+    return pairs.where(F.levenshtein("key", "match_key") <= limit)
+
+
+def block_ratio(left: Column, right: Column) -> Column:
+    """Share of the characters of two texts that lie in their matching blocks: the longest common block, and so on on both sides of it."""
+    def ratios(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    return F.pandas_udf(ratios, "double")(left, right)
+
+
+def block_key_map(left_keys: DataFrame, right_keys: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """Best right key per left key by the matching-blocks ratio: (key, match_key, similarity); of equal ratios the smallest key."""
+    p, q = _ratio(threshold)
+    if p <= 0:
+        raise ValueError("the matching-blocks ratio needs a threshold above 0")
+    lk, rk = (k.select(F.col(f"`{k.columns[0]}`").cast("string").alias("key")).where(F.col("key").isNotNull()).distinct() for k in (left_keys, right_keys))
+    # written, and dealt out evenly before the ratios are computed
+    pairs = cut_lineage(_block_pairs(lk, rk, p, q))
+    rated = pairs.withColumn("similarity", block_ratio(F.col("key"), F.col("match_key"))).where(F.col("similarity") >= float(threshold))
+    best = rated.groupBy("key").agg(F.min(F.struct((-F.col("similarity")).alias("n"), "match_key")).alias("b"))
+    return best.select("key", F.col("b.match_key").alias("match_key"), (-F.col("b.n")).alias("similarity"))
+
+
 def fuzzy_key_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
-                   threshold: float = 0.8) -> DataFrame:
+                   threshold: float = 0.8, measure: str = "edits") -> DataFrame:
     """Rows of ``left`` joined (inner) with the rows of ``right`` whose key is the best
-    fuzzy match of the left key; adds ``key_similarity``."""
-    mapping = fuzzy_key_map(left.select(F.col(f"`{left_key}`")), right.select(F.col(f"`{right_key}`")), threshold)
+    fuzzy match of the left key; adds ``key_similarity``.  ``measure``: ``edits`` (``fuzzy_key_map``) or ``blocks``
+    (``block_key_map``)."""
+    best = {"edits": fuzzy_key_map, "blocks": block_key_map}[measure]
+    mapping = best(left.select(F.col(f"`{left_key}`")), right.select(F.col(f"`{right_key}`")), threshold)
     lm = left.join(mapping.select(F.col("key").alias("_lk"), F.col("match_key").alias("_rk"),
                                   F.col("similarity").alias("key_similarity")),
                    F.col(f"`{left_key}`").cast("string") == F.col("_lk"))

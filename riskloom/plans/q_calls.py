@@ -196,3 +196,12 @@ def q_fuzzy_key_join(spark, sf):
         "c_custkey", "c_name", "c_mktsegment",
         F.concat(F.lit(CLIENT_KEY_PREFIX), F.lpad(F.col("c_custkey").cast("string"), 9, "0")).alias("client_key"))
     return K.fuzzy_key_join(_link(spark, sf), cu, X.APP_COL, "client_key", 0.8)
+
+
+@register("fuzzy_key_join_blocks")
+def q_fuzzy_key_join_blocks(spark, sf):
+    """The same join by the share of characters in matching blocks."""
+    cu = table(spark, sf, "customer").select(
+        "c_custkey", "c_name", F.concat(F.lit(CLIENT_KEY_PREFIX), F.lpad(F.col("c_custkey").cast("string"), 9, "0")).alias("client_key"))
+    return K.fuzzy_key_join(_link(spark, sf), cu, X.APP_COL, "client_key", 0.8, measure="blocks").select(
+        "link_row", X.APP_COL, "c_custkey", "client_key", "key_similarity")

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import random
+from difflib import SequenceMatcher
+
+import pytest
 
 from riskloom.operators import keys as K
 
@@ -74,3 +77,50 @@ def test_fuzzy_join_keeps_rows(spark):
     right = spark.createDataFrame([("abcdf", "x")], "r string, payload string")
     rows = sorted((r["id"], r["payload"], r["key_similarity"]) for r in K.fuzzy_key_join(left, right, "k", "r").collect())
     assert rows == [(1, "x", 0.8), (2, "x", 0.8)]
+
+
+def _brute_blocks(left, right, t):
+    out = {}
+    for a in set(left):
+        rated = [(-SequenceMatcher(None, a, b).ratio(), b) for b in set(right)]
+        rated = sorted(x for x in rated if -x[0] >= t)
+        if rated:
+            out[a] = (rated[0][1], -rated[0][0])
+    return out
+
+
+@pytest.mark.parametrize("t", [0.8, 0.65])
+def test_block_ratio_against_all_pairs(spark, t):
+    rnd = random.Random(5)
+    def some(lo, hi, alpha="ab01"):
+        return "".join(rnd.choice(alpha) for _ in range(rnd.randint(lo, hi)))
+    left = [some(0, 10) for _ in range(60)] + [some(12, 22, "abc012") for _ in range(40)] + ["Д\\286\\" + f"{k * 7:09d}" for k in range(20)] + ["x" * 220 + some(3, 9)]
+    right = [some(0, 10) for _ in range(60)] + [some(12, 22, "abc012") for _ in range(40)] + [f"Д286-{k * 5:09d}" for k in range(20)] + ["x" * 218 + some(3, 9)]
+    for key in list(left[60:100]):
+        edited = list(key)
+        for _ in range(rnd.randint(0, 5)):
+            i = rnd.randrange(len(edited))
+            edited[i:i + rnd.randint(0, 2)] = rnd.choice(["", "x", "a", "0"])
+        right.append("".join(edited))
+    ldf = spark.createDataFrame([(x,) for x in [*left, None]], "k string")
+    rdf = spark.createDataFrame([(x,) for x in [*right, None]], "r string")
+    got = {r["key"]: (r["match_key"], r["similarity"]) for r in K.block_key_map(ldf, rdf, t).collect()}
+    assert got == _brute_blocks(left, right, t) and len(got) > 60
+
+
+def test_block_pairs_lose_no_pair(spark):
+    rnd = random.Random(8)
+    keys = ["".join(rnd.choice("abc") for _ in range(rnd.randint(1, 19))) for _ in range(90)]
+    df = spark.createDataFrame([(k,) for k in set(keys)], "key string")
+    pairs = {tuple(r) for r in K._block_pairs(df, df, 4, 5).collect()}
+    assert {(a, b) for a in keys for b in keys if SequenceMatcher(None, a, b).ratio() >= 0.8} <= pairs
+    assert len(pairs) < len(set(keys)) ** 2 / 4
+
+
+def test_join_by_blocks(spark):
+    left = spark.createDataFrame([(1, "abcde"), (2, "abcde"), (3, "none!")], "id int, k string")
+    right = spark.createDataFrame([("deabc", "moved"), ("abcdf", "x")], "r string, payload string")
+    rows = sorted((r["id"], r["payload"], r["key_similarity"]) for r in K.fuzzy_key_join(left, right, "k", "r", measure="blocks").collect())
+    assert rows == [(1, "x", 0.8), (2, "x", 0.8)]
+    with pytest.raises(ValueError):
+        K.block_key_map(left.select("k"), right.select("r"), 0)
