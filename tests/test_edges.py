@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import os
+import random
 import tempfile
 
 import numpy as np
@@ -57,6 +58,44 @@ def test_link_csv_quoted_break_charsets_and_rejects(spark):
     assert order == ["x.wav", "y.wav", "z.wav"]
 
 
+def _spanning_file(rnd, n):
+    import csv
+    import io
+    out = io.StringIO()
+    w = csv.writer(out, lineterminator=rnd.choice(["\n", "\r\n"]))
+    w.writerow(["Файлы", "APPLICATIONID", "note"])
+    cells = ["a", "b c", "", "x,y", 'say ""hi""', "two\nlines", "\n\n", 'q"', "tail\n", ",\n,", "д", '"\n"']
+    for i in range(n):
+        w.writerow([f"{i}.wav", rnd.choice(cells), "".join(rnd.choice(cells) for _ in range(rnd.randrange(4)))])
+    text = out.getvalue()
+    at = text.index("\n", len(text) // 2)
+    return text[:at + 1] + '5.wav,5" disk,an 3.5" one\n' * (text[at - 1] != "\r" and text[:at + 1].count('"') % 2 == 0) + text[at + 1:]
+
+
+def test_quoted_breaks_are_read_by_several_tasks(spark):
+    rnd = random.Random(3)
+    d = tempfile.mkdtemp(prefix="riskloom-link-")
+    for k in range(3):
+        with open(f"{d}/{k}.csv", "w", encoding="utf-8", newline="") as f:
+            f.write(_spanning_file(rnd, 700))
+    with open(f"{d}/3.csv", "w", encoding="cp1251", newline="") as f:
+        f.write('Файлы,APPLICATIONID,note\nя.wav,"две\nстроки",x\n"no\nend",y,')
+    one = {"3.csv": [("я.wav", "две\nстроки", "x"), ("no\nend", "y", None)]}
+    for k in range(3):
+        one[f"{k}.csv"] = [tuple(r) for r in spark.read.csv(f"{d}/{k}.csv", header=True, multiLine=True, escape='"').collect()]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+        got = FS.read_link_csv(spark, d)
+        kept = got.orderBy("link_row").collect()
+        blocks = {(r["source_file"], r["link_row"]["block"]) for r in kept}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(blocks) > 30
+    for name, rows in one.items():
+        assert [(r["Файлы"], r["APPLICATIONID"], r["note"]) for r in kept if r["source_file"].endswith(name)] == rows
+
+
 def test_chunks_union_and_unread(spark):
     d = tempfile.mkdtemp(prefix="riskloom-chunks-")
     spark.createDataFrame([(1, "a")], "id int, props string").write.parquet(f"{d}/chunk_0")
