@@ -1,7 +1,7 @@
 """Training, scoring and persistence with Spark ML.
 
-Pipeline: median imputation -> vector assembly -> standardisation -> random forest.  The
-imputer and scaler are fitted on the training part only (the source fitted them on all
+Pipeline: exact median imputation -> standardisation -> vector assembly -> random forest.  The
+imputer and scaler (``stages``) are fitted on the training part only (the source fitted them on all
 rows).  The model lives in a ``PipelineModel`` directory under the session's shared folder.
 """
 
@@ -9,10 +9,13 @@ from __future__ import annotations
 
 import json
 import statistics
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
+from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +23,7 @@ from pyspark.sql import functions as F
 from riskloom.functions import risk as R
 from riskloom.operators import labels as L
 from riskloom.operators import metrics as MT
+from riskloom.operators.stages import MedianImputer, PopulationScaler, fold_stages
 from riskloom.session import checkpoint_dir, cut_lineage
 
 # Forest presets (default, and the imbalanced preset used when the positive
@@ -40,21 +44,18 @@ def shared_dir(spark: SparkSession, sub: str) -> str:
 
 
 def build_pipeline(features: list[str], label: str = "label", weight: str | None = None,
-                   forest: dict | None = None) -> Pipeline:
-    imputed = [f"_imp_{c}" for c in features]
+                   forest: dict | None = None, fitted: tuple | None = None) -> Pipeline:
+    """``fitted``: an imputer and a scaler that are fitted already."""
+    imputed, scaled = [f"_imp_{c}" for c in features], [f"_std_{c}" for c in features]
     rf = RandomForestClassifier(featuresCol="_scaled", labelCol=label, seed=SEED, probabilityCol="_prob",
                                 rawPredictionCol="_raw", predictionCol="_pred", **(forest or DEFAULT_FOREST))
     if weight:
         rf = rf.setWeightCol(weight)
-    return Pipeline(stages=[
-        Imputer(strategy="median", inputCols=features, outputCols=imputed),
-        VectorAssembler(inputCols=imputed, outputCol="_vec", handleInvalid="keep"),
-        StandardScaler(inputCol="_vec", outputCol="_scaled", withMean=True, withStd=True),
-        rf,
-    ])
+    first = fitted or (MedianImputer(inputCols=features, outputCols=imputed), PopulationScaler(inputCols=imputed, outputCols=scaled))
+    return Pipeline(stages=[*first, VectorAssembler(inputCols=scaled, outputCol="_scaled", handleInvalid="keep"), rf])
 
 
-def train_forest(train: DataFrame, features: list[str], label: str = "label", preset: str = "auto") -> PipelineModel:
+def train_forest(train: DataFrame, features: list[str], label: str = "label", preset: str = "auto", fitted: tuple | None = None) -> PipelineModel:
     """Fit the pipeline; ``auto`` switches to the weighted imbalanced preset below 10 %."""
     rate = train.agg(F.avg(F.col(label).cast("double"))).first()[0] or 0.0
     imbalanced = preset == "imbalanced" or (preset == "auto" and rate < IMBALANCED_BELOW)
@@ -62,8 +63,8 @@ def train_forest(train: DataFrame, features: list[str], label: str = "label", pr
     x = _as_numbers(x, features)
     if imbalanced:
         x = L.with_class_weight(x, label, "_w")
-        return build_pipeline(features, label, "_w", IMBALANCED_FOREST).fit(x)
-    return build_pipeline(features, label).fit(x)
+        return build_pipeline(features, label, "_w", IMBALANCED_FOREST, fitted).fit(x)
+    return build_pipeline(features, label, fitted=fitted).fit(x)
 
 
 def _as_numbers(df: DataFrame, features: list[str]) -> DataFrame:
@@ -87,17 +88,29 @@ def feature_importance(model: PipelineModel, features: list[str], top_n: int = 2
     return df.orderBy(F.col("importance").desc(), "feature").limit(top_n)
 
 
+def fold_aucs(train: DataFrame, features: list[str], label: str = "label", fold: str = "fold", k: int = 5, parallel: int = 5) -> list[float | None]:
+    """The exact AUC of every fold by a model of the others; None for a fold of one class.
+
+    Medians, means and deviations of all folds come from one plan each; the folds' forests are then fitted and
+    scored side by side, ``parallel`` at a time, as jobs of one session."""
+    x = _as_numbers(train, features)
+    imputed, scaled = [f"_imp_{c}" for c in features], [f"_std_{c}" for c in features]
+    stages = fold_stages(x, fold, k, features, imputed, scaled)
+
+    def auc_of(i: int) -> float | None:
+        model = train_forest(train.where(F.col(fold) != i), features, label, fitted=stages[i])
+        scored = model.transform(x.where(F.col(fold) == i)).select(vector_to_array("_prob")[1].alias("p"), F.col(label))
+        return MT.auc(scored, "p", label).first()["auc"]
+
+    with ThreadPoolExecutor(parallel) as pool:  # threads only submit jobs
+        return list(pool.map(inheritable_thread_target(train.sparkSession)(auc_of), range(k)))
+
+
 def cv_auc(train: DataFrame, features: list[str], label: str = "label", fold: str = "fold", k: int = 5) -> DataFrame:
     """Mean and population std of the held-out-fold AUC over all ``k`` folds (exact).  A fold that has
     one class only has no AUC (stratified folds avoid it while a class has ``k`` keys); then
     ``scored_folds`` is less than ``folds`` and mean and std are NULL, not those of fewer folds."""
-    aucs = []
-    for i in range(k):
-        model = train_forest(train.where(F.col(fold) != i), features, label)
-        held = train.where(F.col(fold) == i)
-        scored = model.transform(_as_numbers(held, features)).select(vector_to_array("_prob")[1].alias("p"), F.col(label))
-        value = MT.auc(scored, "p", label).first()["auc"]
-        aucs += [] if value is None else [value]
+    aucs = [a for a in fold_aucs(train, features, label, fold, k) if a is not None]
     whole = len(aucs) == k
     return train.sparkSession.createDataFrame(
         [(k, len(aucs), statistics.fmean(aucs) if whole else None, statistics.pstdev(aucs) if whole else None)],
@@ -129,14 +142,15 @@ def load_model(path: str) -> tuple[PipelineModel, list[str], dict]:
     return PipelineModel.load(f"{path}/pipeline"), meta["features"], meta["metrics"]
 
 
-def first_existing_model(paths: list[str]) -> str | None:
-    """First loadable model folder of a list of candidates."""
+def load_first_model(paths: list[str]) -> tuple[str, PipelineModel, list[str], dict] | None:
+    """The first of the model folders that is there, with its path; None if none is.  A folder that is there and cannot
+    be loaded (permissions, versions) is an error, not a missing model."""
     for p in paths:
         try:
-            PipelineModel.load(f"{p}/pipeline")
-            return p
-        except Exception:  # noqa: BLE001
-            continue
+            return p, *load_model(p)
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
     return None
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from riskloom.operators import assemble as M
@@ -22,26 +24,25 @@ def _matrix(spark, sf):
 def _trained(spark, sf):
     """Every query trains its own model: its time is the whole time."""
     x, feats = _matrix(spark, sf)
-    model = ML.train_forest(x.where("is_test = 0"), feats)
-    return x, feats, model, ML.train_test_metrics(model, x, feats, M.KEY)
+    return x, feats, ML.train_forest(x.where("is_test = 0"), feats)
 
 
 @register("train_forest")
 def q_train_forest(spark, sf):
-    x, feats, model, m = _trained(spark, sf)
+    x, feats, model = _trained(spark, sf)
     return ML.score(model, x, feats, M.KEY).join(x.select(M.KEY, "label", "is_test"), M.KEY)
 
 
 @register("score")
 def q_score(spark, sf):
-    _, feats, model, _ = _trained(spark, sf)
+    _, feats, model = _trained(spark, sf)
     pm = M.prediction_matrix(table(spark, sf, "orders"), "o_custkey", feats)
     return ML.score(model, pm, feats, M.KEY).withColumn("sample_id", F.col(M.KEY))
 
 
 @register("feature_importance")
 def q_feature_importance(spark, sf):
-    _, feats, model, _ = _trained(spark, sf)
+    _, feats, model = _trained(spark, sf)
     return ML.feature_importance(model, feats, 20)
 
 
@@ -53,11 +54,11 @@ def q_cv_auc(spark, sf):
 
 @register("model_roundtrip")
 def q_model_roundtrip(spark, sf):
-    x, feats, model, m = _trained(spark, sf)
-    path = ML.shared_dir(spark, "models/fraud_forest")
+    x, feats, model = _trained(spark, sf)
+    m = ML.train_test_metrics(model, x, feats, M.KEY)
+    path = ML.shared_dir(spark, f"models/fraud_forest-{uuid.uuid4().hex}")
     ML.save_model(model, path, feats, m)
-    found = ML.first_existing_model([ML.shared_dir(spark, "models/missing"), path])
-    loaded, lfeats, _ = ML.load_model(found)
+    _, loaded, lfeats, _ = ML.load_first_model([ML.shared_dir(spark, "models/missing"), path])
     a = ML.score(model, x, feats, M.KEY).select(M.KEY, F.col("fraud_probability").alias("p_before"))
     b = ML.score(loaded, x, lfeats, M.KEY).select(M.KEY, F.col("fraud_probability").alias("p_after"))
     return a.join(b, M.KEY).withColumn("same", (F.abs(F.col("p_before") - F.col("p_after")) < 1e-12).cast("int"))
@@ -65,12 +66,14 @@ def q_model_roundtrip(spark, sf):
 
 @register("model_info")
 def q_model_info(spark, sf):
-    _, feats, model, m = _trained(spark, sf)
+    x, feats, model = _trained(spark, sf)
+    m = ML.train_test_metrics(model, x, feats, M.KEY)
     return ML.model_info(model, feats, m)
 
 
 @register("training_report")
 def q_training_report(spark, sf):
-    x, feats, model, m = _trained(spark, sf)
+    x, feats, model = _trained(spark, sf)
+    m = ML.train_test_metrics(model, x, feats, M.KEY)
     quality = Q.quality_profile(x.select(*feats, "label"), "label")
     return RP.training_report(quality, spark.createDataFrame([tuple(None if v is None else float(v) for v in m.values())], ", ".join(f"{k} double" for k in m)), ML.feature_importance(model, feats, 20))
