@@ -20,31 +20,41 @@ DEFAULT_BUCKET_US = 3600 * 1_000_000
 US = 1_000_000
 
 
-# A (key, bucket) with more rows than this is cut into slices of about as many rows.
+# A (key, bucket) with more rows than this is cut into slices of about as many rows, one instant included.
 HOT_ROWS = 4_000_000
 SUB_BITS = 20
 
 
-def _bucket_ids(rows: DataFrame, key: str, us: str, bucket_us: int, hot_rows: int) -> DataFrame:
-    """``_bucket``: a per-key, time-monotone BIGINT, the coarse time bucket and a slice in it.
+def _bucket_ids(rows: DataFrame, key: str, order: list[str], bucket_us: int, hot_rows: int) -> DataFrame:
+    """``_bucket``: a per-key BIGINT, monotone in the order columns (time first): the coarse time bucket and a slice in it.
 
-    Slices hold about ``hot_rows`` rows: the times of a pair with more rows than that are counted, and
-    their running count over written ranges gives the cut points.  Rows of one time never
-    straddle a cut, so the (time, tiebreak) order across slices is kept and all edge logic stays
+    Slices hold about ``hot_rows`` rows, never twice as many: the order values (time and tiebreaks) of a pair with more rows than that are
+    counted, and their running count over written ranges gives the cut points.  Order values that more rows share
+    than fit a slice are dealt out over as many slices; such rows are equal in the order, so it is kept, and all edge logic stays
     exact.  The table of cut points has a row per pair that is cut and at most total / hot_rows
-    points; it is stored, so that Spark checks its size before it broadcasts it."""
-    rows = rows.withColumn("_coarse", F.floor(F.col(us) / F.lit(bucket_us)))
+    points; it is stored, so that Spark checks its size before it broadcasts it.  Without such a pair there is nothing to join."""
+    rows = rows.withColumn("_coarse", F.floor(F.col(order[0]) / F.lit(bucket_us)))
     large = stored(rows.groupBy(key, "_coarse").agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > hot_rows).select(key, "_coarse"), "hot-hours")
     if large.limit(1).count() == 0:
         return rows.withColumn("_bucket", F.col("_coarse") * F.lit(1 << SUB_BITS)).drop("_coarse")
-    times = rows.select(key, "_coarse", us).join(large, [key, "_coarse"], "left_semi").groupBy(key, "_coarse", us).agg(F.count(F.lit(1)).alias("_c"))
-    times = running(times, [F.col(key), F.col("_coarse"), F.col(us)], {"_upto": "_c"})
-    # a time starts a slice when the count up to and including it enters a new multiple of hot_rows
-    slices = times.groupBy(key, "_coarse", F.floor((F.col("_upto") - 1) / F.lit(hot_rows)).alias("_s")).agg(F.min(us).alias("_from"))
-    cuts = stored(slices.groupBy(key, "_coarse").agg(F.array_sort(F.collect_list("_from")).alias("_cuts")), "cuts")
-    sub = F.size(F.filter("_cuts", lambda c: c <= F.col(us)))
-    return rows.join(cuts, [key, "_coarse"], "left").withColumn(
-        "_bucket", F.col("_coarse") * F.lit(1 << SUB_BITS) + F.when(F.col("_cuts").isNotNull(), sub).otherwise(0)).drop("_coarse", "_cuts")
+    at = F.struct(*[F.col(f"`{o}`").alias(f"o{i}") for i, o in enumerate(order)])
+    pair = [F.col(f"`{key}`").eqNullSafe(F.col("_lk")) & (F.col("_coarse") == F.col("_lc"))]
+    counted = rows.join(large.select(F.col(f"`{key}`").alias("_lk"), F.col("_coarse").alias("_lc")), pair, "left_semi") \
+        .groupBy(F.col(f"`{key}`").alias("_k"), "_coarse", at.alias("_at")).agg(F.count(F.lit(1)).alias("_c"))
+    counted = running(counted, [F.col("_k"), F.col("_coarse"), F.col("_at")], {"_upto": "_c"})
+    # the running count passes over other pairs too; a slice is a multiple of hot_rows that it enters
+    slice_of = lambda n: F.floor((n - 1) / F.lit(hot_rows))
+    counted = counted.withColumn("_s", slice_of(F.col("_upto"))).withColumn("_over", F.col("_s") - slice_of(F.col("_upto") - F.col("_c") + 1))
+    first = counted.groupBy("_k", "_coarse", "_s").agg(F.min(F.struct("_at", "_over")).alias("_f"))
+    base = F.min(F.col("_s") - F.col("_f._over")).over(Window.partitionBy("_k", "_coarse"))
+    first = first.select("_k", "_coarse", F.struct(F.col("_f._at").alias("at"), (F.col("_s") - base).alias("s"), F.col("_f._over").alias("over")).alias("_cut"))
+    cuts = stored(first.groupBy("_k", "_coarse").agg(F.array_sort(F.collect_list("_cut")).alias("_cuts")).withColumnRenamed("_coarse", "_kc"), "cuts")
+    joined = rows.join(cuts, F.col(f"`{key}`").eqNullSafe(F.col("_k")) & (F.col("_coarse") == F.col("_kc")), "left")
+    joined = joined.withColumn("_cut", F.try_element_at(F.filter("_cuts", lambda c: c["at"] <= at), F.lit(-1)))
+    shared = (F.col("_cut.at") == at) & (F.col("_cut.over") > 1)
+    back = F.when(shared, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("_cut.over"))).otherwise(0)
+    sub = F.when(F.col("_cut").isNotNull(), F.col("_cut.s") - back).otherwise(0)
+    return joined.withColumn("_bucket", F.col("_coarse") * F.lit(1 << SUB_BITS) + sub).drop("_coarse", "_cuts", "_cut", "_k", "_kc")
 
 
 def bucketed(df: DataFrame, key: str, us: str, tiebreak: list[str] = (), cols: list[str] = (),
@@ -52,7 +62,7 @@ def bucketed(df: DataFrame, key: str, us: str, tiebreak: list[str] = (), cols: l
     """Rows with ``_bucket``, the in-bucket previous time ``_lag_us`` and previous values
     ``_lag_<c>`` (NULL on a bucket's first row).  Rows with NULL ``us`` are dropped."""
     order = [us, *tiebreak]
-    rows = _bucket_ids(df.where(F.col(us).isNotNull()), key, us, bucket_us, hot_rows)
+    rows = _bucket_ids(df.where(F.col(us).isNotNull()), key, order, bucket_us, hot_rows)
     w = Window.partitionBy(key, "_bucket").orderBy(*order)
     return rows.select("*", F.lag(us).over(w).alias("_lag_us"),
                        *[F.lag(c).over(w).alias(f"_lag_{c}") for c in cols]), order

@@ -336,6 +336,22 @@ def test_hot_hours_are_cut_by_rows(spark):
             a[1] != b[1] for a, b in zip(*(lambda x: (x, x[1:]))(sorted((u, i % 3) for i, u in enumerate(us)))))
 
 
+@pytest.mark.parametrize("tied", [True, False])
+def test_a_hot_instant_is_cut(spark, tied):
+    """One key, one timestamp: with a tiebreak the rows are cut by it; without one, or with equal ones, dealt out."""
+    from riskloom.operators import ordered as O
+    rows = [("k", 7_000_000, 0 if tied else i, "v" if tied else "xyz"[i % 3]) for i in range(2000)]
+    rows += [("k", 7_000_000 + d, 0, "w") for d in (-5_000_000, 5_000_000)] + [("k", 7_200_000_000, 0, "w"), (None, 1, 0, "n"), ("o", 1, 0, "w")]
+    df = spark.createDataFrame(rows, "key string, us long, c int, v string").repartition(3)
+    got, _ = O.bucketed(df, "key", "us", ["c"], ["c"], hot_rows=100)
+    per = got.where("key = 'k'").groupBy("_bucket").agg(F.count("*").alias("n"), F.min("us").alias("lo"), F.max("us").alias("hi")).orderBy("_bucket").collect()
+    assert max(r["n"] for r in per) <= 200 and len(per) >= 18 and sum(r["n"] for r in per) == 2003
+    assert all(a["hi"] <= b["lo"] for a, b in zip(per, per[1:], strict=False))
+    for f in (lambda h: O.gap_moments(df, "key", "us", ["c"], hot_rows=h), lambda h: O.change_counts(df, "key", "us", ["v"], ["c"], hot_rows=h),
+              lambda h: O.session_pieces(df, "key", "us", 4_000_000, ["c"], hot_rows=h).drop("_sid")):
+        assert sorted(map(repr, f(100).collect())) == sorted(map(repr, f(10**6).collect()))
+
+
 def test_quantiles_of_a_narrow_column(spark):
     from riskloom.operators import quantiles as QT
     v = 1e9 + np.arange(40_001) * 0.001
