@@ -16,6 +16,11 @@ def basename(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/\\]*)$", 1)
 
 
+def linked_file_name(path: Column) -> Column:
+    """File name of a path written in a link table: blanks around the path are no part of it."""
+    return basename(F.regexp_replace(path, rf"^{BLANKS}+|{BLANKS}+$", ""))
+
+
 def call_stem(name: Column) -> Column:
     stem = name
     for suffix in REMOVED_SUFFIXES:

@@ -3,12 +3,12 @@ link table (file name first, phone as fallback), coverage, conflicts and orphans
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom import schema as S
 from riskloom.functions import calls as FC
-from riskloom.functions.calls import basename
+from riskloom.functions.calls import linked_file_name
 from riskloom.operators.events import BUSINESS_FROM, BUSINESS_TO, NIGHT_FROM, NIGHT_TO, WEEKEND_FROM
 from riskloom.session import cut_lineage
 
@@ -54,15 +54,17 @@ def call_features(calls: DataFrame, app_col: str | None = None) -> DataFrame:
 
 
 def file_map(link: DataFrame, file_col: str | None = None, app_col: str | None = None,
-             order_col: str = "link_row") -> DataFrame:
-    """link rows -> (file_name, application id); the last row (by ``order_col``) of a file wins."""
+             order_col: str = "link_row", time_col: str | None = None) -> DataFrame:
+    """link rows -> (file_name, application id[, link_time]); the last row (by ``order_col``) of a file wins.
+    ``time_col``: the link table's call time, a timestamp or its text."""
     file_col = file_col or S.file_name_column(link)
     app_col = app_col or S.application_column(link)
     if file_col is None or app_col is None:
         raise ValueError(f"link table needs a file and an application column: {link.columns}")
     rows = link.where(F.col(f"`{file_col}`").isNotNull() & F.col(f"`{app_col}`").isNotNull())
-    return rows.groupBy(basename(F.col(f"`{file_col}`").cast("string")).alias("file_name")).agg(
-        F.max_by(F.col(f"`{app_col}`").cast("string"), F.col(order_col)).alias(KEY))
+    more = [F.max_by(F.try_to_timestamp(F.col(f"`{time_col}`").cast("string")).cast("timestamp_ntz"), F.col(order_col)).alias("link_time")] if time_col else []
+    return rows.groupBy(linked_file_name(F.col(f"`{file_col}`").cast("string")).alias("file_name")).agg(
+        F.max_by(F.col(f"`{app_col}`").cast("string"), F.col(order_col)).alias(KEY), *more)
 
 
 def phone_map(link: DataFrame, phone_col: str, app_col: str | None = None, order_col: str = "link_row") -> DataFrame:
@@ -97,9 +99,7 @@ def link_coverage(linked: DataFrame) -> DataFrame:
     """One row: total calls, linked calls, link rate and its grade (>90 %, 70-90 %, <70 %)."""
     rate = F.avg(F.col(KEY).isNotNull().cast("double"))
     return linked.agg(F.count(F.lit(1)).alias("total_calls"), F.count(KEY).alias("linked_calls"),
-                      rate.alias("link_rate")).withColumn(
-        "link_grade", F.when(F.col("link_rate") > 0.9, "excellent")
-        .when(F.col("link_rate") >= 0.7, "acceptable").otherwise("critical"))
+                      rate.alias("link_rate")).withColumn("link_grade", F.coalesce(grade(F.col("link_rate")), F.lit("critical")))
 
 
 def data_coverage(rows: DataFrame, id_col: str = KEY, recording_col: str = "file_name", label_col: str = "label") -> DataFrame:
@@ -131,13 +131,53 @@ def orphan_calls(calls: DataFrame, link: DataFrame, phone_col: str | None = None
     return out
 
 
-def call_profile(calls: DataFrame) -> DataFrame:
-    """One row: files, distinct call ids, bytes, share of names with a parsed time."""
-    return calls.agg(F.count(F.lit(1)).alias("n_files"), F.count_distinct("call_id").alias("n_call_ids"),
+def time_agreement(linked: DataFrame, time_col: str = "call_time", link_time_col: str = "link_time", tolerance_seconds: int = 60) -> DataFrame:
+    """One row: linked calls, those with both times, how many of these agree within the tolerance, their share and its grade, and the
+    largest difference in seconds."""
+    apart = F.abs(F.unix_micros(F.col(time_col).cast("timestamp")) - F.unix_micros(F.col(link_time_col).cast("timestamp"))) / 1_000_000
+    out = linked.where(F.col(KEY).isNotNull()).agg(
+        F.count(F.lit(1)).alias("linked_calls"), F.count(apart).alias("with_times"), F.count(F.when(apart <= tolerance_seconds, 1)).alias("agreeing"),
+        F.max(apart).alias("largest_difference"))
+    share = F.try_divide(F.col("agreeing").cast("double"), F.col("with_times").cast("double"))
+    return out.withColumn("time_agreement", share).withColumn("time_grade", grade(F.col("time_agreement")))
+
+
+def grade(rate: Column) -> Column:
+    return F.when(rate > 0.9, "excellent").when(rate >= 0.7, "acceptable").when(rate.isNotNull(), "critical")
+
+
+def call_profile(calls: DataFrame, approx: bool = False) -> DataFrame:
+    """One row: files, distinct call ids, bytes, share of names with a parsed time.  ``approx`` counts the ids by
+    sketch (``call_sketches``), whose memory does not grow with them."""
+    ids = F.hll_sketch_estimate(F.hll_sketch_agg("call_id", SKETCH_BITS)) if approx else F.count_distinct("call_id")
+    return calls.agg(F.count(F.lit(1)).alias("n_files"), ids.alias("n_call_ids"),
                      F.sum("file_size").alias("total_bytes"),
                      F.avg(F.col("call_time").isNotNull().cast("double")).alias("time_parsed_share"))
 
 
+#: log2 of a sketch's registers; its relative standard error is 1.04 / sqrt(2 ** bits), 1.6 % here.
+SKETCH_BITS = 12
+SKETCH_ERROR = 1.04 / (1 << SKETCH_BITS) ** 0.5
+
+
+def call_kind() -> Column:
+    """Whether a call's name carries codes."""
+    return F.when(F.size("codes") > 0, "coded").otherwise("plain")
+
+
+def call_sketches(calls: DataFrame) -> DataFrame:
+    """Distinct call ids as mergeable sketches: (day, kind, n_files, sketch), one row per day (NULL: no time) and call kind.
+
+    The rows are to be stored as they arrive; ``merged_call_counts`` answers for any grouping of them without the calls."""
+    return calls.groupBy(F.to_date("call_time").alias("day"), call_kind().alias("kind")).agg(
+        F.count(F.lit(1)).alias("n_files"), F.hll_sketch_agg("call_id", SKETCH_BITS).alias("sketch"))
+
+
+def merged_call_counts(sketches: DataFrame, *by: str) -> DataFrame:
+    """(by..., n_files, n_call_ids): files, and distinct call ids as the union of the stored sketches estimates them."""
+    return sketches.groupBy(*by).agg(F.sum("n_files").alias("n_files"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n_call_ids"))
+
+
 def calls_per_application(features: DataFrame) -> DataFrame:
     """File-level call features reduced to one row per application before any join."""
     return features.groupBy(KEY).agg(

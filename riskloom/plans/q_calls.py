@@ -8,6 +8,7 @@ from riskloom.operators import calls as C
 from riskloom.operators import keys as K
 from riskloom.plans import fixtures as X
 from riskloom.plans.catalog import register, table
+from riskloom.session import stored
 
 BLANK = r"[ \t\n\r\f\v]"
 
@@ -205,3 +206,32 @@ def q_fuzzy_key_join_blocks(spark, sf):
         "c_custkey", "c_name", F.concat(F.lit(CLIENT_KEY_PREFIX), F.lpad(F.col("c_custkey").cast("string"), 9, "0")).alias("client_key"))
     return K.fuzzy_key_join(_link(spark, sf), cu, X.APP_COL, "client_key", 0.8, measure="blocks").select(
         "link_row", X.APP_COL, "c_custkey", "client_key", "key_similarity")
+
+
+@register("time_agreement", _sql(r"""
+SELECT COUNT(*) AS linked_calls, COUNT(d) AS with_times, COUNT(CASE WHEN d <= 60 THEN 1 END) AS agreeing, ROUND(MAX(d), 6) AS largest_difference,
+  ROUND(COUNT(CASE WHEN d <= 60 THEN 1 END) / COUNT(d), 6) AS time_agreement,
+  CASE WHEN COUNT(CASE WHEN d <= 60 THEN 1 END) / COUNT(d) > 0.9 THEN 'excellent' WHEN COUNT(CASE WHEN d <= 60 THEN 1 END) / COUNT(d) >= 0.7 THEN 'acceptable'
+       ELSE 'critical' END AS time_grade
+FROM (SELECT abs(epoch_us(pc.call_time) - epoch_us(t.at)) / 1e6 AS d FROM pc JOIN (
+  SELECT regexp_extract("Файлы", '([^/\\]*)$', 1) AS file_name,
+         arg_max(CAST("Дата и время звонка" AS TIMESTAMP) + CASE WHEN link_row % 16 = 2 THEN INTERVAL 5 MINUTE ELSE INTERVAL 0 MINUTE END, link_row) AS at
+  FROM link WHERE "Файлы" IS NOT NULL AND "APPLICATIONID" IS NOT NULL GROUP BY 1) t ON pc.file_name = t.file_name)"""))
+def q_time_agreement(spark, sf):
+    """Agreement of the calls' times with the link table's, every eighth row of which is five minutes late."""
+    late = F.when(F.col("link_row") % 16 == 2, F.expr("INTERVAL 5 MINUTES")).otherwise(F.expr("INTERVAL 0 MINUTES"))
+    link = _link(spark, sf).withColumn(X.TIME_COL, (F.col(X.TIME_COL).cast("timestamp_ntz") + late).cast("string"))
+    return C.time_agreement(C.link_calls(_calls(spark, sf), link, time_col=X.TIME_COL))
+
+
+@register("call_sketches", _sql("""
+SELECT CAST(call_time AS DATE) AS day, COUNT(*) AS n_files, COUNT(DISTINCT call_id) AS n_call_ids, 1 AS estimate_within_bound FROM pc GROUP BY 1""", link=False))
+def q_call_sketches(spark, sf):
+    """Exact distinct ids per day, and whether the merged sketches of the day's call kinds estimate them within four standard errors."""
+    calls = _calls(spark, sf)
+    parts = stored(C.call_sketches(calls), "call-sketches")
+    day = F.to_date("call_time").alias("day")
+    exact = calls.groupBy(day).agg(F.count_distinct("call_id").alias("n_call_ids"))
+    merged = C.merged_call_counts(parts, "day").withColumnRenamed("n_call_ids", "estimate")
+    near = F.abs(F.col("estimate") - F.col("n_call_ids")) <= F.greatest(F.lit(1.0), 4 * C.SKETCH_ERROR * F.col("n_call_ids"))
+    return merged.join(exact, "day").select("day", "n_files", "n_call_ids", near.cast("int").alias("estimate_within_bound"))

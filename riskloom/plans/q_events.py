@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from riskloom.operators import events as ev
 from riskloom.operators.ml import shared_dir
 from riskloom.plans.catalog import r6, register, table
-from riskloom.sources.tables import read_event_chunks
+from riskloom.sources.tables import read_event_chunks, samples
 
 NUM = ["event_id", "value"]
 STR = ["event_type", "props"]
@@ -190,7 +190,17 @@ def q_scan_chunks(spark, sf):
     return read_event_chunks(spark, f"{base}/train_amplitude_chunk_*").select(*events.columns)
 
 
-@register("source_samples", """
-SELECT * FROM events ORDER BY user_id, ts, event_id LIMIT 10""")
+SAMPLES = {"events": ["user_id", "event_id", "event_type"], "applications": ["o_custkey", "o_orderkey", "o_orderstatus"], "labels": ["doc_id", "quality", "toxic"]}
+TABLES = {"events": "events", "applications": "orders", "labels": "labels"}
+
+
+def _sample_sql(source: str) -> str:
+    cols, order = SAMPLES[source], ", ".join(SAMPLES[source][:2])
+    fields = ", ".join(f"{c} := {c}" for c in cols)
+    return (f"SELECT '{source}' AS source, CAST(row_number() OVER (ORDER BY {order}) AS INTEGER) AS sample_no, CAST(to_json(struct_pack({fields})) AS VARCHAR) AS sample "
+            f"FROM {TABLES[source]} QUALIFY row_number() OVER (ORDER BY {order}) <= 10")
+
+
+@register("source_samples", " UNION ALL ".join(f"({_sample_sql(s)})" for s in SAMPLES))
 def q_source_samples(spark, sf):
-    return table(spark, sf, "events").orderBy("user_id", "ts", "event_id").limit(10)
+    return samples({s: (table(spark, sf, TABLES[s]).select(*cols), cols[:2]) for s, cols in SAMPLES.items()})

@@ -3,6 +3,8 @@ the Parquet scan (PushedFilters / ReadSchema).  The chunk reader first audits it
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,3 +92,15 @@ def nan_as_null(df: DataFrame) -> DataFrame:
         else:
             out.append(F.col(f"`{f.name}`"))
     return df.select(*out)
+
+
+def samples(sources: dict[str, tuple[DataFrame, list[str]]], n: int = 10) -> DataFrame:
+    """The first ``n`` rows of every source in the order of its columns: (source, sample_no, sample), the row as JSON.
+
+    Each source takes its own bounded top rows (no global sort); the numbers are given to those alone."""
+    parts = []
+    for name, (df, order) in sources.items():
+        top = df.orderBy(*[F.col(f"`{c}`") for c in order]).limit(n)
+        rows = top.agg(F.sort_array(F.collect_list(F.struct(F.struct(*[F.col(f"`{c}`") for c in order]).alias("by"), F.to_json(F.struct("*")).alias("sample")))).alias("_rows"))
+        parts.append(rows.select(F.lit(name).alias("source"), F.posexplode("_rows").alias("_i", "_r")).select("source", (F.col("_i") + 1).alias("sample_no"), "_r.sample"))
+    return reduce(DataFrame.unionByName, parts)

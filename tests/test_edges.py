@@ -391,3 +391,34 @@ def test_long_keys_finish(spark):
             want[a] = (best[2], best[0])
     got = K.fuzzy_key_map(spark.createDataFrame([(k,) for k in left], "k string"), spark.createDataFrame([(k,) for k in right], "k string"), 0.8)
     assert {r["key"]: (r["match_key"], r["distance"]) for r in got.collect()} == want
+
+
+# ---- calls: link names, times, sketches --------------------------------------------------
+
+def test_blanks_around_a_linked_path(spark):
+    link = spark.createDataFrame([(" \tC:\\rec\\a.wav \n", "A", 1), ("/rec/b.wav ", "B", 2)], "`Файлы` string, APPLICATIONID string, link_row int")
+    assert sorted(tuple(r) for r in C.file_map(link).collect()) == [("a.wav", "A"), ("b.wav", "B")]
+
+
+def test_time_agreement(spark):
+    rows = [("k", "2024-01-01 10:00:00", "2024-01-01 10:00:59"), ("k", "2024-01-01 10:00:00", "2024-01-01 09:58:00"), ("k", None, "2024-01-01 10:00:00"), (None, "2024-01-01 10:00:00", None)]
+    df = spark.createDataFrame(rows, "application_id string, a string, b string").selectExpr("application_id", "cast(a as timestamp_ntz) call_time", "cast(b as timestamp_ntz) link_time")
+    r = C.time_agreement(df).first()
+    assert (r["linked_calls"], r["with_times"], r["agreeing"], r["largest_difference"], r["time_agreement"], r["time_grade"]) == (3, 2, 1, 120.0, 0.5, "critical")
+    none = C.time_agreement(df.limit(0)).first()
+    assert none["time_agreement"] is None and none["time_grade"] is None
+
+
+def test_sketches_merge_to_the_whole(spark):
+    calls = spark.range(30_000).selectExpr("concat('c', id % 9000) call_id", "timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, cast(id % 7 as int)) call_time",
+                                           "if(id % 3 = 0, array('1'), array()) codes", "id file_size")
+    whole = C.call_profile(calls, approx=True).first()
+    parts = C.call_sketches(calls)
+    assert parts.count() == 14
+    merged = C.merged_call_counts(parts).first()
+    assert merged["n_call_ids"] == whole["n_call_ids"] and merged["n_files"] == 30_000
+    assert abs(merged["n_call_ids"] - 9000) <= 4 * C.SKETCH_ERROR * 9000
+    days = C.merged_call_counts(parts, "day").collect()
+    exact = {r[0]: r[1] for r in calls.groupBy(F.to_date("call_time")).agg(F.count_distinct("call_id")).collect()}
+    assert all(abs(r["n_call_ids"] - exact[r["day"]]) <= 4 * C.SKETCH_ERROR * exact[r["day"]] for r in days)
+    assert C.merged_call_counts(C.call_sketches(calls.limit(0)), "kind").count() == 0
