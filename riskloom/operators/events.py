@@ -1,8 +1,8 @@
 """Per-key event features: counts, numeric statistics and moments, time intervals,
 categorical statistics, temporal hour profile, sessions, activity and value changes.
 
-Every operator is built from ``df.schema``; NaN counts as missing, like NULL. No rows are collected: the
-ordered operators read one number (the row count) when they are built.  Aggregates are
+Every operator is built from ``df.schema``; NaN counts as missing, like NULL. No rows are collected; building the
+ordered operators and the exact quantiles runs the jobs that count hours and values.  Aggregates are
 algebraic (partial aggregation before the shuffle); exact percentiles use the distributed
 order-statistic plan of ``quantiles`` (``approx=True`` swaps in a bounded sketch).
 """
@@ -19,6 +19,7 @@ from riskloom.functions.stats import epoch_micros, quantile, sample_kurt, sample
 from riskloom.operators import ordered as O
 from riskloom.operators import quantiles as Q
 from riskloom.operators.ordered import DEFAULT_BUCKET_US
+from riskloom.session import stored
 from riskloom.sources.tables import nan_as_null
 
 KEY = S.CANONICAL_KEY
@@ -75,19 +76,21 @@ def numeric_stat_exprs(cols: list[str], prefix: str, approx: bool = False,
 
 def numeric_stats(rows: DataFrame, cols: list[str], prefix: str, approx: bool = False,
                   stats: tuple[str, ...] = ("mean", "std", "min", "max", "median", "q25", "q75"),
-                  head: list[Column] = ()) -> DataFrame:
+                  head: list[Column] = (), counts: DataFrame | None = None) -> DataFrame:
     """Per key: ``head`` aggregates, then ``stats`` of every column in ``cols``.
 
     Algebraic statistics come from one grouped aggregate; exact quantiles from the
-    distributed order-statistic plan of ``quantiles.exact_quantiles`` joined on the key (one
-    row per key on both sides), so no task holds all values of a hot key."""
+    distributed order-statistic plan of ``quantiles`` joined on the key (one
+    row per key on both sides), so no task holds all values of a hot key.  ``counts``: the stored counts of the
+    columns' values, if there are any."""
     base = rows.groupBy(KEY).agg(*head, *numeric_stat_exprs(cols, prefix, approx, stats))
     wanted = [s for s in stats if s in QUANTILE_STATS]
     if approx or not wanted or not cols:
         return base
     qs = sorted({QUANTILE_STATS[s] for s in wanted})
     names = {q: s for s, q in QUANTILE_STATS.items()}
-    qdf = Q.exact_quantiles(rows, [KEY], cols, qs, name=lambda c, q: f"{prefix}_{c}_{names[q]}")
+    lq = Q.quantiles_long(rows, [KEY], cols, qs) if counts is None else Q.quantiles_of_counts(counts, [KEY], qs)
+    qdf = Q.wide(lq, [KEY], cols, qs, lambda c, q: f"{prefix}_{c}_{names[q]}")
     order = [KEY, *[f"{prefix}_{c}_{s}" for c in cols for s in stats]]
     head_names = [n for n in base.columns if n not in order]
     return base.join(qdf, KEY, "left").select(KEY, *head_names, *order[1:])
@@ -110,6 +113,11 @@ def event_intervals(df: DataFrame, key: str | None = None, prefix: str = "amplit
                     tiebreak: list[str] = (), bucket_us: int = DEFAULT_BUCKET_US) -> DataFrame:
     """Per key and time column with at least two values: span seconds, mean and sample std
     of the gaps between consecutive times (in time order)."""
+    keys = keyed(df, key)[0].select(KEY).distinct()
+    return _join_all([keys, *_interval_frames(df, key, prefix, tiebreak, bucket_us)])
+
+
+def _interval_frames(df: DataFrame, key: str | None, prefix: str, tiebreak: list[str], bucket_us: int = DEFAULT_BUCKET_US) -> list[DataFrame]:
     rows, roles, types = keyed(df, key)
     frames = []
     for t in roles["time"]:
@@ -121,8 +129,7 @@ def event_intervals(df: DataFrame, key: str | None = None, prefix: str = "amplit
             F.when(F.col("n") > 1, (F.col("max_us") - F.col("min_us")).cast("double") / US).alias(f"{prefix}_{t}_span_seconds"),
             F.when(F.col("n") > 1, F.col("gap_mean")).alias(f"{prefix}_{t}_avg_interval"),
             F.when(F.col("n") > 2, F.sqrt(F.col("gap_dev") / (k - 1))).alias(f"{prefix}_{t}_std_interval")))
-    keys = rows.select(KEY).distinct()
-    return _join_all([keys, *frames]) if frames else keys
+    return frames
 
 
 def categorical_stats(df: DataFrame, key: str | None = None, prefix: str = "amplitude",
@@ -140,7 +147,11 @@ def categorical_stats(df: DataFrame, key: str | None = None, prefix: str = "ampl
     long = rows.select(KEY, F.explode(F.array(*[
         F.struct(F.lit(i).alias("col"), F.col(c).cast("string").alias("val")) for i, c in enumerate(cols)
     ])).alias("kv")).select(KEY, "kv.col", "kv.val")
-    counts = long.groupBy(KEY, "col", "val").agg(F.count(F.lit(1)).alias("cnt"))
+    return _category_stats(long.groupBy(KEY, "col", "val").agg(F.count(F.lit(1)).alias("cnt")), cols, prefix)
+
+
+def _category_stats(counts: DataFrame, cols: list[str], prefix: str) -> DataFrame:
+    """``categorical_stats`` from counted values (key, col, val, cnt)."""
     aggs = []
     for i, c in enumerate(cols):
         is_c = F.col("col") == i
@@ -154,18 +165,34 @@ def categorical_stats(df: DataFrame, key: str | None = None, prefix: str = "ampl
     return counts.groupBy(KEY).agg(*aggs)
 
 
+def _value_counts(rows: DataFrame, numeric: list[str], strings: list[str]) -> DataFrame:
+    """Stored counts of every column's values per key, numbers and texts in one pass: (key, _c, _v, _s, _n); ``_c`` numbers the
+    numeric columns, then the string columns.  Missing numbers are left out; missing texts count."""
+    none = F.lit(None)
+    cells = [F.struct(F.lit(i).alias("_c"), F.col(c).cast("double").alias("_v"), none.cast("string").alias("_s")) for i, c in enumerate(numeric)]
+    cells += [F.struct(F.lit(len(numeric) + i).alias("_c"), none.cast("double").alias("_v"), F.col(c).cast("string").alias("_s")) for i, c in enumerate(strings)]
+    long = rows.select(KEY, F.explode(F.array(*cells)).alias("_x")).select(KEY, "_x.*")
+    wanted = (F.col("_c") >= len(numeric)) | (F.col("_v").isNotNull() & ~F.isnan("_v"))
+    return stored(long.where(wanted).groupBy(KEY, "_c", "_v", "_s").agg(F.count(F.lit(1)).alias("_n")), "value-counts")
+
+
 def event_features(df: DataFrame, key: str | None = None, prefix: str = "amplitude",
                    approx: bool = False, tiebreak: list[str] = ()) -> DataFrame:
-    """The full per-key event table: counts, numeric stats + moments, intervals, categories."""
+    """The full per-key event table: counts, numeric stats + moments, intervals, categories.
+
+    Four scans: the aggregates, the values' counts (stored; quantiles and categories read them), and per time column the rows per
+    hour and the rows themselves."""
     rows, roles, _ = keyed(df, key)
+    strings, numbers = roles["string"], [] if approx else roles["numeric"]
+    counts = _value_counts(rows, numbers, strings) if numbers or strings else None
     numeric = numeric_stats(rows, roles["numeric"], prefix, approx,
                             stats=("mean", "std", "min", "max", "median", "q25", "q75", "skew", "kurt"),
-                            head=[F.count(F.lit(1)).alias(f"{prefix}_records_count")])
-    frames = [numeric]
-    if roles["time"]:
-        frames.append(event_intervals(df, key, prefix, tiebreak).withColumnRenamed(KEY, KEY))
-    if roles["string"]:
-        frames.append(categorical_stats(df, key, prefix))
+                            head=[F.count(F.lit(1)).alias(f"{prefix}_records_count")],
+                            counts=counts.where(F.col("_c") < len(numbers)).drop("_s") if numbers else None)
+    frames = [numeric, *_interval_frames(df, key, prefix, tiebreak)]
+    if strings:
+        texts = counts.where(F.col("_c") >= len(numbers)).select(KEY, (F.col("_c") - len(numbers)).alias("col"), F.col("_s").alias("val"), F.col("_n").alias("cnt"))
+        frames.append(_category_stats(texts, strings, prefix))
     return _join_all(frames)
 
 

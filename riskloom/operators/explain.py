@@ -83,26 +83,36 @@ def _values_where(features: Column, pattern: str) -> Column:
     return F.filter(features, lambda s: F.instr(s["name"], pattern) > 0)
 
 
-def rule_hits(features: Column, p: Column) -> Column:
-    """Fired rules in rule order: array<struct<rule, value>>; a rule fires once per matching
-    feature (night activity > .3, session count < 5, session duration < 60 s), then the
-    probability rule (> .8 or > .5), else the default."""
-    prob = F.when(p > 0.8, F.array(F.struct(F.lit("very_high_probability").alias("rule"), p.alias("value")))) \
-        .when(p > 0.5, F.array(F.struct(F.lit("raised_probability").alias("rule"), p.alias("value")))) \
-        .otherwise(F.array().cast("array<struct<rule:string,value:double>>"))
-    # rule order in the source follows feature order, each feature testing the three rules in turn
-    ordered = F.flatten(F.transform(features, lambda s: F.filter(F.array(
+HITS = "array<struct<rule:string,value:double>>"
+
+
+def feature_hits(features: Column) -> Column:
+    """Rules fired by the features, in feature order (each feature tests the rules in turn): array<struct<rule, value>>;
+    night activity > .3, session count < 5, session duration < 60 s."""
+    return F.flatten(F.transform(features, lambda s: F.filter(F.array(
         F.when((F.instr(s["name"], "night_activity") > 0) & (s["value"] > 0.3),
                F.struct(F.lit("night_activity").alias("rule"), s["value"].alias("value"))),
         F.when((F.instr(s["name"], "session_count") > 0) & (s["value"] < 5),
                F.struct(F.lit("few_sessions").alias("rule"), s["value"].alias("value"))),
         F.when((F.instr(s["name"], "session_duration") > 0) & (s["value"] < 60),
                F.struct(F.lit("short_sessions").alias("rule"), s["value"].alias("value")))), lambda x: x.isNotNull())))
-    hits = F.concat(ordered, prob)
+
+
+def with_probability(hits: Column, p: Column) -> Column:
+    """The features' hits (NULL: none), then the probability rule (> .8 or > .5), else the default."""
+    prob = F.when(p > 0.8, F.array(F.struct(F.lit("very_high_probability").alias("rule"), p.alias("value")))) \
+        .when(p > 0.5, F.array(F.struct(F.lit("raised_probability").alias("rule"), p.alias("value")))) \
+        .otherwise(F.array().cast(HITS))
+    hits = F.concat(F.coalesce(hits, F.array().cast(HITS)), prob)
     default = F.array(F.struct(F.lit("default").alias("rule"), F.lit(None).cast("double").alias("value")))
     return F.when(F.size(hits) > 0, hits).otherwise(default)
 
 
+def rule_hits(features: Column, p: Column) -> Column:
+    """Fired rules in rule order, those of the features before that of the probability."""
+    return with_probability(feature_hits(features), p)
+
+
 def rule_text(hits: Column) -> Column:
     def one(s):
         return (F.when(s["rule"] == "night_activity", F.concat(F.lit(TXT_NIGHT + " ("), pct1(s["value"]), F.lit(")")))
@@ -114,19 +124,41 @@ def rule_text(hits: Column) -> Column:
     return F.concat(F.array_join(F.transform(hits, one), ". "), F.lit("."))
 
 
-def explain(scored: DataFrame, p: str = "fraud_probability", feature_cols: list[str] | None = None,
-            exclude: tuple[str, ...] = ()) -> DataFrame:
-    """Adds the explanation record of every scored row: risk level, explanation text, key
-    factors and recommendations (joined by ' | '), confidence."""
-    feats = feature_array(scored, feature_cols, exclude)
+FEATURES = "array<struct<pos:int,name:string,value:double>>"
+
+
+def key_parts(frame: DataFrame, feature_cols: list[str] | None = None, exclude: tuple[str, ...] = ()) -> DataFrame:
+    """Adds what an explanation needs of the features alone, so that it is worked out once per key, before a join with the
+    scored rows: ``feats``, ``factors`` (key factors), ``hits`` (the features' rules) and ``n_confident``."""
+    x = frame.withColumn("feats", feature_array(frame, feature_cols, exclude))
+    return x.select("*", key_factors(F.col("feats")).alias("factors"), feature_hits(F.col("feats")).alias("hits"), important_count(F.col("feats")).alias("n_confident"))
+
+
+def explain_parts(scored: DataFrame, p: str = "fraud_probability") -> DataFrame:
+    """``explain`` of rows that carry the columns of ``key_parts`` (NULL: a row without features)."""
     prob = F.col(p)
     band = R.band_by_threshold(prob)
+    some = F.coalesce(F.size("feats") > 0, F.lit(False))
+    texts = F.transform("factors", lambda s: F.concat(s["readable"], F.lit(": "), F.format_string("%.2f", s["value"])))
+    score = F.concat(F.when(some, TXT_MODEL_SCORE + ": ").otherwise(TXT_NO_FEATURES + ": "), pct1(prob))
+    factors = F.when(F.coalesce(F.size("factors") > 0, F.lit(False)), texts).otherwise(F.array(score))
     return scored.select(
         "*", band.alias("risk_level_rule"),
-        clean_explanation(rule_text(rule_hits(feats, prob))).alias("llm_explanation"),
-        F.array_join(key_factor_texts(feats, prob), JOIN).alias("key_factors"),
+        clean_explanation(rule_text(with_probability(F.col("hits"), prob))).alias("llm_explanation"),
+        F.array_join(factors, JOIN).alias("key_factors"),
         F.array_join(R.recommendations(band), JOIN).alias("recommendations"),
-        confidence(feats, prob).alias("explanation_confidence"))
+        R.confidence(prob, F.when(some, F.col("n_confident")).otherwise(0)).alias("explanation_confidence"))
+
+
+def explain(scored: DataFrame, p: str = "fraud_probability", feature_cols: list[str] | None = None,
+            exclude: tuple[str, ...] = ()) -> DataFrame:
+    """Adds the explanation record of every scored row: risk level, explanation text, key
+    factors and recommendations (joined by ' | '), confidence.  Rows that share their features by a key are better joined
+    with ``key_parts`` of the keys and given to ``explain_parts``."""
+    own = [c for c in ("feats", "factors", "hits", "n_confident") if c not in scored.columns]
+    if len(own) < 4:
+        raise ValueError("feats, factors, hits and n_confident are names of the explanation's own columns")
+    return explain_parts(key_parts(scored, feature_cols, exclude), p).drop(*own)
 
 
 # The fallback record and the prompt's template.
@@ -164,9 +196,9 @@ def fallback_record(scored: DataFrame, p: str = "fraud_probability") -> DataFram
 
 
 def prompt_rows(scored: DataFrame, key: str, p: str = "fraud_probability", feature_cols: list[str] | None = None,
-                exclude: tuple[str, ...] = (), user_fields: list[str] | None = None) -> DataFrame:
+                exclude: tuple[str, ...] = (), user_fields: list[str] | None = None, carry: list[str] = ()) -> DataFrame:
     """Prompt text per row for an outside batch text job: the template with the user fields (all columns
-    that are no features unless named) and the top 8 features."""
+    that are no features unless named) and the top 8 features; ``carry``: columns to keep beside it."""
     feats = feature_array(scored, feature_cols, exclude)
     top = top_by_abs(feats, TOP_PROMPT_FEATURES)
     feature_lines = F.transform(top, lambda s: F.concat(readable_name(s["name"]), F.lit(": "), F.format_string("%.3f", s["value"])))
@@ -174,4 +206,4 @@ def prompt_rows(scored: DataFrame, key: str, p: str = "fraud_probability", featu
     user = F.concat_ws("\n", F.concat(F.lit("ID пользователя: "), F.col(key).cast("string")),
                        *[F.concat(F.lit(f"{c}: "), F.col(c).cast("string")) for c in others])
     feat_txt = F.when(F.size(feats) == 0, F.lit("Признаки не доступны")).otherwise(F.array_join(feature_lines, "\n"))
-    return scored.select(key, p, F.format_string(PROMPT, user, feat_txt, pct1(F.col(p))).alias("prompt"))
+    return scored.select(key, p, *carry, F.format_string(PROMPT, user, feat_txt, pct1(F.col(p))).alias("prompt"))

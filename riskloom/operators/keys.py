@@ -196,7 +196,7 @@ def block_ratio(left: Column, right: Column) -> Column:
     def ratios(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
-    return F.pandas_udf(ratios, "double")(left, right)
+    return F.pandas_udf(ratios, "double").asNondeterministic()(left, right)  # else Spark computes it for the filter and again
 
 
 def block_key_map(left_keys: DataFrame, right_keys: DataFrame, threshold: float = 0.8) -> DataFrame:

@@ -5,7 +5,7 @@ Spark's exact ``percentile`` keeps every distinct value of a group in one buffer
 with a third of all rows, or a global quantile, lands in one task.  Instead:
 
   1. count rows per (group, value) with map-side combine; a hot group spreads over tasks
-     by value;
+     by value; the counts are written once, and the other steps read them;
   2. give every value an order-preserving bucket (log scale, 1/1024 of an octave wide);
      counts per (group, bucket) form a small table whose running sums give the first
      rank of every bucket;
@@ -25,6 +25,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.session import stored
+
 STEPS_PER_OCTAVE = 1024
 # Even parts of a bucket in the second step.
 PARTS = 4096
@@ -56,9 +58,14 @@ def _long(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
 
 def quantiles_long(df: DataFrame, keys: list[str], values: list[str], qs: list[float]) -> DataFrame:
     """Rows (keys..., _c, _q0, _q1, ...): column index ``_c`` into ``values``, one column per q."""
+    counts = _long(df, keys, values).groupBy(*keys, "_c", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    return quantiles_of_counts(stored(counts, "value-counts"), keys, qs)
+
+
+def quantiles_of_counts(counts: DataFrame, keys: list[str], qs: list[float]) -> DataFrame:
+    """``quantiles_long`` from counted values (keys..., _c, _v, _n), which several steps read: pass them stored."""
     g = [*keys, "_c"]
-    counts = _long(df, keys, values).groupBy(*g, "_v").agg(F.count(F.lit(1)).alias("_n")) \
-        .withColumn("_b", order_bucket(F.col("_v")))
+    counts = counts.withColumn("_b", order_bucket(F.col("_v")))
     pos = [(F.col("_total") - 1).cast("double") * F.lit(q) for q in qs]
     ranks = F.array(*[r for p in pos for r in (F.floor(p), F.ceil(p))])
 
@@ -71,7 +78,7 @@ def quantiles_long(df: DataFrame, keys: list[str], values: list[str], qs: list[f
         return per.where(F.exists(ranks, lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_bn"))))
 
     # a target bucket may still hold most of a narrow column: it is cut again, evenly between its ends
-    first = holding(counts, g, F.lit(0), F.lit(None).cast("long"))
+    first = stored(holding(counts, g, F.lit(0), F.lit(None).cast("long")), "target-buckets")  # a few rows per group, read twice
     part = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * PARTS), F.lit(PARTS - 1))).otherwise(0)
     inner = counts.join(first.drop("_bn"), [*g, "_b"]).withColumn("_outer", F.col("_b")).withColumn("_b", part.cast("bigint"))
     counts, g = inner.drop("_lo", "_hi", "_before", "_total"), [*g, "_outer"]
@@ -93,12 +100,16 @@ def quantiles_long(df: DataFrame, keys: list[str], values: list[str], qs: list[f
     return ranked.groupBy(*keys, "_c").agg(*aggs)
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], values: list[str], qs: list[float],
-                    name: Callable[[str, float], str] = lambda c, q: f"{c}_q{q}") -> DataFrame:
-    """One row per group of ``keys`` with a column ``name(value, q)`` per value column and q."""
-    lq = quantiles_long(df, keys, values, qs)
+def wide(lq: DataFrame, keys: list[str], values: list[str], qs: list[float], name: Callable[[str, float], str]) -> DataFrame:
+    """The rows of ``quantiles_long`` as a column ``name(value, q)`` per value column and q."""
     if len(values) == 1:
         return lq.select(*keys, *[F.col(f"_q{j}").alias(name(values[0], q)) for j, q in enumerate(qs)])
     cols = [F.max(F.when(F.col("_c") == i, F.col(f"_q{j}"))).alias(name(c, q))
             for i, c in enumerate(values) for j, q in enumerate(qs)]
     return lq.groupBy(*keys).agg(*cols) if keys else lq.agg(*cols)
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], values: list[str], qs: list[float],
+                    name: Callable[[str, float], str] = lambda c, q: f"{c}_q{q}") -> DataFrame:
+    """One row per group of ``keys`` with a column ``name(value, q)`` per value column and q."""
+    return wide(quantiles_long(df, keys, values, qs), keys, values, qs, name)

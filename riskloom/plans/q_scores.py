@@ -14,6 +14,7 @@ from riskloom.operators import report as RP
 from riskloom.plans import fixtures as X
 from riskloom.plans import q_events
 from riskloom.plans.catalog import register, table
+from riskloom.session import stored
 
 FEATS = ["amplitude_session_count", "amplitude_avg_session_duration", "amplitude_std_session_duration",
          "amplitude_night_activity_ratio", "amplitude_weekend_ratio", "amplitude_event_count",
@@ -26,11 +27,16 @@ def _scores(spark, sf):
     return X.scores(table(spark, sf, "events"))
 
 
-def _scored_features(spark, sf):
+def _key_features(spark, sf):
+    """The features of every application, with what explanations need of them: written once, a row per key."""
     e = table(spark, sf, "events")
     f = ev.session_features(e, tiebreak=["event_id"]).join(ev.activity_features(e), ev.KEY)
-    f = round_doubles(f.withColumn(ev.KEY, F.col(ev.KEY).cast("string")))
-    return _scores(spark, sf).join(f, "application_id", "left")
+    return stored(EX.key_parts(round_doubles(f.withColumn(ev.KEY, F.col(ev.KEY).cast("string"))), FEATS), "key-features")
+
+
+def _scored_features(spark, sf, *cols):
+    """The scored rows with columns of ``_key_features`` (all features if none is named)."""
+    return _scores(spark, sf).join(_key_features(spark, sf).select(ev.KEY, *(cols or FEATS)), "application_id", "left")
 
 
 SC = f"sc AS ({X.SCORES_SQL})"
@@ -134,9 +140,8 @@ u AS (SELECT sample_id, unnest(list_transform(top, lambda s, i: struct_pack(r :=
 SELECT sample_id, CAST(t.r AS INTEGER) AS factor_rank, t.name AS feature, ROUND(t.value, 6) AS value,
   {_readable_sql("t.name")} AS readable FROM u""")
 def q_key_factors(spark, sf):
-    s = _scored_features(spark, sf)
-    kf = EX.key_factors(EX.feature_array(s, FEATS))
-    return s.select("sample_id", F.posexplode(kf).alias("i", "t")).select(
+    s = _scored_features(spark, sf, "factors")
+    return s.select("sample_id", F.posexplode("factors").alias("i", "t")).select(
         "sample_id", (F.col("i") + 1).alias("factor_rank"), F.col("t.name").alias("feature"),
         F.col("t.value").alias("value"), F.col("t.readable").alias("readable"))
 
@@ -189,8 +194,8 @@ def _rules_sql():
 @register("rule_explanation", f"""WITH {FEAT_SQL.split(",\nfa AS", 1)[0]}
 SELECT sample_id, COALESCE({_rules_sql()}, 'default') AS rules FROM sf""")
 def q_rule_explanation(spark, sf):
-    s = _scored_features(spark, sf)
-    hits = EX.rule_hits(EX.feature_array(s, FEATS), F.col(P))
+    s = _scored_features(spark, sf, "hits")
+    hits = EX.with_probability(F.col("hits"), F.col(P))
     return s.select("sample_id", F.array_join(F.transform(hits, lambda h: h["rule"]), ",").alias("rules"))
 
 
@@ -208,21 +213,60 @@ def q_clean_explanation(spark, sf):
                     F.length(clean_explanation(F.col("text"), limit=10 ** 9)).alias("clean_length"))
 
 
-@register("explain")
+NUMBERS = r"-?[0-9]+([.][0-9]+)?(E-?[0-9]+)?"
+PARTS = ("feats", "factors", "hits", "n_confident")
+
+
+def _no_numbers(c: str):
+    """Both engines give the numbers of these texts, but format halves differently; the values are compared elsewhere."""
+    return F.regexp_replace(c, NUMBERS, "#").alias(c)
+
+
+def _rule_text_sql():
+    texts = {"night_activity": EX.TXT_NIGHT + " (#%)", "few_sessions": EX.TXT_FEW_SESSIONS + " (#)", "short_sessions": EX.TXT_SHORT_SESSIONS + " (# сек)",
+             "very_high_probability": EX.TXT_VERY_HIGH, "raised_probability": EX.TXT_RAISED, "default": EX.TXT_DEFAULT}
+    rules = f"COALESCE({_rules_sql()}, 'default')"
+    case = " ".join(f"WHEN r = '{k}' THEN '{v}'" for k, v in texts.items())
+    return f"array_to_string(list_transform(string_split({rules}, ','), lambda r: CASE {case} END), '. ') || '.'"
+
+
+@register("explain", f"""WITH {FEAT_SQL},
+tx AS (SELECT sample_id, application_id, fraud_probability, {_rule_text_sql()} AS llm_explanation FROM sf),
+tf AS (SELECT *, list_filter(list_slice(list_sort(list_transform(feats,
+        lambda s: struct_pack(k := -abs(s.value), pos := s.pos, name := s.name, value := s.value))), 1, 5), lambda s: abs(s.value) > 0.01) AS top FROM fa),
+kf AS (SELECT sample_id, feats, CASE WHEN len(top) > 0 THEN array_to_string(list_transform(top, lambda s: {_readable_sql("s.name")} || ': #'), ' | ')
+        WHEN len(feats) = 0 THEN '{EX.TXT_NO_FEATURES}: #%' ELSE '{EX.TXT_MODEL_SCORE}: #%' END AS key_factors FROM tf)
+SELECT sample_id, application_id, ROUND(fraud_probability, 6) AS fraud_probability, {RULE} AS risk_level_rule, llm_explanation, key_factors,
+  regexp_replace(CASE {REC_SQL} END, '{NUMBERS}', '#', 'g') AS recommendations,
+  ROUND(CAST(least(0.6::DOUBLE + CASE WHEN fraud_probability > 0.8 OR fraud_probability < 0.2 THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END
+  + least(0.03::DOUBLE * CASE WHEN len(feats) > 0 THEN len(list_filter(feats, lambda s: abs(s.value) > 0.1)) ELSE 0 END, 0.2::DOUBLE), 1.0::DOUBLE) AS DOUBLE), 6)
+  AS explanation_confidence
+FROM tx JOIN kf USING (sample_id)""")
 def q_explain(spark, sf):
-    return EX.explain(_scored_features(spark, sf), P, FEATS).select(
-        "sample_id", "application_id", P, "risk_level_rule", "llm_explanation", "key_factors", "recommendations",
-        "explanation_confidence")
+    x = EX.explain_parts(_scored_features(spark, sf, *PARTS), P)
+    return x.select("sample_id", "application_id", P, "risk_level_rule", *[_no_numbers(c) for c in ("llm_explanation", "key_factors", "recommendations")],
+                    "explanation_confidence")
+
+
+PROMPT_SQL = "'" + EX.PROMPT.replace("'", "''").replace("%s", "' || {} || '") + "'"
 
 
-@register("prompt_rows")
+@register("prompt_rows", f"""WITH {FEAT_SQL},
+tf AS (SELECT *, list_slice(list_sort(list_transform(feats,
+        lambda s: struct_pack(k := -abs(s.value), pos := s.pos, name := s.name, value := s.value))), 1, 8) AS top FROM fa)
+SELECT sample_id, application_id, regexp_replace({PROMPT_SQL.format("'ID пользователя: ' || regexp_replace(application_id, '^[0-9]+$', '1') || chr(10) || 'sample_id: 1' || chr(10) || 'fraud_probability: 1'",
+    f"CASE WHEN len(feats) = 0 THEN 'Признаки не доступны' ELSE array_to_string(list_transform(top, lambda s: {_readable_sql('s.name')} || ': 1'), chr(10)) END", "'1%'")},
+  '{NUMBERS}', '#', 'g') AS prompt
+FROM tf""")
 def q_prompt_rows(spark, sf):
-    return EX.prompt_rows(_scored_features(spark, sf), "application_id", P, FEATS)
+    scored = _scored_features(spark, sf)
+    rows = EX.prompt_rows(scored, "application_id", P, FEATS, user_fields=["sample_id", P], carry=["sample_id"])
+    return rows.select("sample_id", "application_id", _no_numbers("prompt"))
 
 
 @register("fraud_report")
 def q_fraud_report(spark, sf):
-    return RP.fraud_report(EX.explain(_scored_features(spark, sf), P, FEATS), P)
+    return RP.fraud_report(EX.explain_parts(_scored_features(spark, sf, *PARTS), P), P)
 
 
 @register("fallback_record", """

@@ -13,7 +13,7 @@ catalog.load_all()
 # queries that train models while the plan is built; checked by the oracle / rows-only runs
 SLOW_TO_PLAN = {"train_forest", "cv_auc", "model_roundtrip", "score", "feature_importance", "model_info",
                 "training_report", "scan_link_csv", "scan_chunks"}
-PYTHON_ALLOWED = {"signal_features"}
+PYTHON_ALLOWED = {"signal_features", "fuzzy_key_join_blocks"}
 BAD_NODES = ("CartesianProduct", "BroadcastNestedLoopJoin")
 PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "PythonUDF")
 
