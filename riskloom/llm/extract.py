@@ -5,8 +5,11 @@ Method: a tolerant reader builds the tree of a page and drops what cannot be par
 parts). A part that only its class or id speaks against stays if another class names it content, if the name tells
 of the layout (has-sidebar, share-enabled), or if the page's article, main element or heading stands in it. Every block of text passes points for its length and commas to itself, if it is a container, and
 to its ancestors, less the further away they are. Scores are discounted by link density. The
-best container, or the article element around it, is kept with those of its siblings that score
-like it or read like paragraphs. Text is given block by block in page order.
+best container is kept with those of its siblings that score like it or read like paragraphs; if it stands in an article
+element, that article is kept with the other text parts of the main element around it, if there is one. Headings, and
+paragraphs and the like unless a class of theirs says nothing else, are not judged by name inside an article; an id that repeats
+the first words of its element is an anchor. An article named a comment or an advert is one, unless it is all there is.
+Text is given block by block in page order; of equal scores the container reached first in page order is the best.
 
 Null and empty html, and pages without text of their own, give an empty text. Rows are independent, so
 repeated rows give repeated results and an empty table an empty one. Unclosed and
@@ -45,12 +48,16 @@ CONTAINER = frozenset("article main section div td html body blockquote form".sp
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
           "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"tbody", "thead", "tfoot"}, {"table"}),
           "tfoot": ({"tbody", "thead", "tfoot"}, {"table"}), "option": ({"option"}, {"select"})}
+# Words of class and id names, chosen for this module.
 UNLIKELY = frozenset("""ad ads adsense advert adverts advertisement advertising advertorial sponsor sponsored sponsors promo promos promotion
     banner cookie cookies consent gdpr notice notices alert popup popover modal overlay lightbox paywall sidebar sidebars aside rail widget widgets
     menu menus nav navbar navigation breadcrumb breadcrumbs toolbar topbar masthead footer foot header comment comments commentlist disqus
     discussion respond reply replies share sharing shares social related recommended recommendations newsletter subscribe
     subscription signup login register search searchbox pagination pager skip hidden copyright disclaimer""".split())
 LIKELY = frozenset("article content entry story post text body main".split())
+PARTS = frozenset("p ul ol dl blockquote pre table figure".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+TEXTUAL = frozenset("p li dt dd blockquote pre td th figure figcaption span em strong b i code".split())
 # Words after which, and before which, a name tells what a layout has or lacks.
 MODIFIERS = frozenset("has no with without".split())
 STATES = frozenset("enabled disabled open closed".split())
@@ -59,10 +66,11 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "likely", "named", "chars", "linked", "score", "size", "longest", "holds")
+    __slots__ = ("tag", "parent", "items", "likely", "named", "slug", "chars", "linked", "score", "size", "longest", "holds")
 
     def __init__(self, tag: str, parent: Node | None, likely: bool = False, named: str = ""):
         self.tag, self.parent, self.likely, self.named = tag, parent, likely, named
+        self.slug: list[str] = []  # words of an id that alone speaks against the element
         self.items: list[Node | str] = []
         self.chars = self.linked = 0
         self.score = 0.0
@@ -91,23 +99,29 @@ def unwanted(tag: str, attributes: dict[str, str], within: bool) -> bool:
     return False
 
 
-def judged(tag: str, attributes: dict[str, str]) -> str:
-    """What the names say: "" nothing, "named" not of the article, "doubtful" both in one name."""
-    if tag in ("html", "body", "article", "main") or not names(attributes) & UNLIKELY:
+def judged(tag: str, attributes: dict[str, str], within: bool) -> str:
+    """What the names say: "" nothing, "named" not of the article, "doubtful" both in one name, "id" not of the article by
+    the id alone.  ``within``: inside an article or main element."""
+    if tag in ("html", "body", "main") or tag in HEADINGS and within or not names(attributes) & UNLIKELY:
         return ""
-    bad, likely, apart = set(), False, False
-    for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
-        words = [w.lower() for w in NAME.findall(name)]
-        words = words[:next((i for i, w in enumerate(words) if w in MODIFIERS), len(words))]
-        if words and words[-1] in STATES:
-            continue
-        bad |= UNLIKELY.intersection(words)
-        if LIKELY.intersection(words):
-            likely = True
-            apart = apart or not UNLIKELY.intersection(words)
+    if within and tag in TEXTUAL:  # part of a text unless a class says nothing else
+        said = [[w.lower() for w in NAME.findall(c)] for c in attributes.get("class", "").split()]
+        return "named" if any(words and UNLIKELY.issuperset(words) for words in said) else ""
+    bad, likely, apart, by_class = set(), False, False, False
+    for key in ("class", "id"):
+        for name in attributes.get(key, "").split():
+            words = [w.lower() for w in NAME.findall(name)]
+            words = words[:next((i for i, w in enumerate(words) if w in MODIFIERS), len(words))]
+            if words and words[-1] in STATES:
+                continue
+            bad |= UNLIKELY.intersection(words)
+            by_class = by_class or key == "class" and bool(UNLIKELY.intersection(words))
+            if LIKELY.intersection(words):
+                likely = True
+                apart = apart or not UNLIKELY.intersection(words)
     if not bad or apart or bad <= {"header", "alert"} and likely:
         return ""
-    return "doubtful" if likely else "named"
+    return "doubtful" if likely else "named" if by_class else "id"
 
 
 def tree(page: str) -> Node:
@@ -182,11 +196,14 @@ def tree(page: str) -> Node:
         if tag in CLOSES and (old := holder(*CLOSES[tag])):
             here = leave(old)
         attributes = attributes_of(m[3])
-        drop = unwanted(tag, attributes, bool(open_tags.get("article") or open_tags.get("main")))
+        within = bool(open_tags.get("article") or open_tags.get("main"))
+        drop = unwanted(tag, attributes, within)
         if tag == "form" and not drop:  # some sites put the whole page into one
             stop = FORM_END.search(page, pos)
             drop = not re.search(r"<(?:article|main|h1)[\s>]", page[pos:stop.start() if stop else end], re.I)
-        node = Node(tag, here, bool(attributes) and bool(names(attributes) & LIKELY), judged(tag, attributes) if attributes else "")
+        node = Node(tag, here, bool(attributes) and bool(names(attributes) & LIKELY), judged(tag, attributes, within) if attributes else "")
+        if node.named == "id":
+            node.slug = [w.lower() for w in NAME.findall(attributes["id"])]
         if not drop:
             here.items.append(node)
             named = named or bool(node.named)
@@ -202,16 +219,24 @@ def tree(page: str) -> Node:
 def settle(root: Node) -> None:
     """Empties the elements that their names speak against, unless the article must be in them. Outer ones are
     settled first; what of the page stands in none that is left unsettled, is free."""
-    links = 0
+    links, waiting = 0, []
     for node, begins, text in in_order(root):
         if text is not None:
             node.size += 0 if links else len(text.strip())
+            if waiting and text.strip():  # an id that repeats the first words of its element is an anchor
+                words = [w.lower() for w in NAME.findall(text)]
+                for x in waiting:
+                    if words[:len(x.slug)] == x.slug:
+                        x.named = ""
+                waiting.clear()
             continue
         links += (1 if begins else -1) * (node.tag == "a")
+        if begins and node.slug:
+            waiting.append(node)
         if not begins and node.parent is not None:
             up = node.parent
             up.size += node.size
-            up.longest = max(up.longest, node.longest, node.size if node.tag == "article" else 0)
+            up.longest = max(up.longest, node.longest, node.size if node.tag == "article" and not node.named else 0)
             up.holds |= node.holds
     longest, headed, level = 0, False, [root]
     while level:
@@ -229,7 +254,7 @@ def settle(root: Node) -> None:
         level = []
         for x in outer:
             most = 2 * x.size > root.size
-            if "main" in x.holds or x.longest > longest or "h1" in x.holds and (most or not headed) or x.named == "doubtful" and most:
+            if "main" in x.holds or x.longest > longest or x.tag == "article" and not longest and most or "h1" in x.holds and (most or not headed) or x.named == "doubtful" and most:
                 level.append(x)
             else:
                 x.items, x.tag = [], "hr" if x.tag in BLOCK else x.tag
@@ -314,6 +339,21 @@ def score(root: Node) -> Node | None:
     return max(reached, key=lambda x: x.score * (1 - x.linked / max(x.chars, 1)))
 
 
+def widened(article: Node) -> list[Node]:
+    """The article with the other text parts of the main element around it, if there is one, in page order."""
+    above = [x for x in lineage(article) if x.tag == "main"]
+    parts, node = [article], article
+    while above and node is not above[-1]:
+        level = []
+        for x in node.parent.items:
+            if x is node:
+                level += parts
+            elif isinstance(x, Node) and x.tag != "article" and (x.tag in CONTAINER or x.tag in HEADINGS or x.tag in PARTS) and x.linked < 0.25 * x.chars:
+                level.append(x)
+        parts, node = level, node.parent
+    return parts
+
+
 def main_text(page: str | None) -> str:
     if not page:
         return ""
@@ -321,10 +361,11 @@ def main_text(page: str | None) -> str:
     best = score(root)
     if best is None:
         return ""
-    around = [x for x in lineage(best) if x.tag == "article"] or [x for x in lineage(best) if x.tag == "main"]
-    best = around[-1] if around else best
-    if around or best.parent is None:
-        return "\n".join(t for _, t in blocks(best))
+    articles, mains = ([x for x in lineage(best) if x.tag == tag] for tag in ("article", "main"))
+    if articles:
+        return "\n".join(t for x in widened(articles[-1]) for _, t in blocks(x))
+    if mains or best.parent is None:
+        return "\n".join(t for _, t in blocks(mains[-1] if mains else best))
     least = max(5.0, 0.2 * best.score)
     keep = []
     for x in best.parent.items:

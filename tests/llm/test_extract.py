@@ -59,6 +59,31 @@ def test_names_of_layouts(page):
     assert extract.main_text(page) == TEXT
 
 
+@pytest.mark.parametrize("part, text", [
+    ("<h2 id='related-work'>Related work</h2>", "Related work"), ("<h2 id=discussion class=comments>Discussion</h2>", "Discussion"),
+    ("<p id='search-results-2019'>We searched in 2019.</p>", "We searched in 2019."), ("<p class='social-science'>Of social science.</p>", "Of social science."),
+    ("<p class='note notice-board'>On the board.</p>", "On the board."), ("<section id=discussion><h2>Discussion</h2><p>It was so.</p></section>", "Discussion\nIt was so."),
+    ("<div id='related-work'><h2>Related <i>work</i></h2></div>", ""), ("<div id='related-work'>Related work is this.</div>", "Related work is this."),
+    ("<ul><li class='social-science'>one</ul>", "one"), ("<p class=share>Share this</p>", ""), ("<p class='social-share'>Share this</p>", ""),
+    ("<div id=comments><p>nice, very, nice</p></div>", ""), ("<article class=comment><p>nice, very, nice</p></article>", ""),
+    ("<section class=comments><h2>Comments</h2><article class=comment>nice</article></section>", ""),
+])
+def test_names_inside_an_article(part, text):
+    for outer in ("article", "main"):
+        assert extract.main_text(f"<body><{outer}>{ARTICLE}{part}</{outer}></body>") == TEXT + ("\n" + text) * bool(text)
+
+
+@pytest.mark.parametrize("page, text", [
+    (f"<article class=advert>{ARTICLE}</article><article>{ARTICLE}</article>", TEXT), (f"<article class=advert>{ARTICLE * 3}</article><article><p>Short, but real.</p></article>", "Short, but real."),
+    (f"<article class='advert promo'>{ARTICLE}</article>", TEXT), (f"<main><article>{ARTICLE}</article><div><p>More of it.</p></div><div>The end.</div></main>", TEXT + "\nMore of it.\nThe end."),
+    (f"<main><h1>Title</h1><article>{ARTICLE}</article><div><a href=1>one</a> <a href=2>two</a></div></main>", "Title\n" + TEXT),
+    (f"<main><section><h2>Head</h2><article>{ARTICLE}</article></section><article><p>Another article.</p></article></main>", "Head\n" + TEXT),
+    (f"<main><section>{ARTICLE}</section><section><p>Part two.</p></section></main>", TEXT + "\nPart two."),
+])
+def test_articles_and_parts_of_main(page, text):
+    assert extract.main_text(f"<body>{page}</body>") == text
+
+
 def test_heading_in_a_banner():
     assert extract.main_text(f"<article><div class=banner><h1>Title</h1></div>{ARTICLE}</article>") == "Title\n" + TEXT
 
