@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -59,3 +59,36 @@ def ascii_lower(c: Column) -> Column:
 def fold(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 5; 0 marks a held-out row (a null id counts as empty text)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5
+
+
+def free(name: str, taken) -> str:
+    """``name``, made longer until no taken name is equal to it, in any case of letters."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
+def aside(df: DataFrame, *names: str) -> tuple[DataFrame, list[Column]]:
+    """The columns under names none of which is in ``names``, and what selects them under their own again."""
+    low = {n.lower() for n in names}
+    moved = [free(c + "_", [*df.columns, *names]) if c.lower() in low else c for c in df.columns]
+    return df.toDF(*moved), [F.col(f"`{m}`").alias(c) for m, c in zip(moved, df.columns, strict=True)]
+
+
+def running(df: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
+    """Adds ``out`` = sum of column ``c`` up to and including the row, per {out: c}, without all rows in one task.
+
+    The rows are range-sorted and written, so that a repeated task sees the same ranges; a row per range gives what stands before
+    it, and the sum goes on inside each range.  Pass rows that differ in ``order``: equal ones share a range."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = written(df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    totals = rows.groupBy("_range").agg(*[F.sum(c).alias(out) for out, c in sums.items()]).orderBy("_range").collect()
+    before, offsets = dict.fromkeys(sums, 0), []
+    for r in totals:
+        offsets.append((r["_range"], *before.values()))
+        before = {out: before[out] + (r[out] or 0) for out in sums}
+    table = df.sparkSession.createDataFrame(offsets, "_range int, " + ", ".join(f"`_o_{out}` long" for out in sums))
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    # as many rows as ranges
+    return rows.join(F.broadcast(table), "_range").select(*df.columns, *[(F.col(f"_o_{out}") + F.sum(c).over(inside)).alias(out) for out, c in sums.items()])

@@ -54,11 +54,23 @@ def test_directory_doubles():
 def test_index_is_on_shared_files(spark):
     df = spark.createDataFrame([(i, f"t{i}", "", "", "") for i in range(200)], SCHEMA)
     index = exact.build_index(df, capacity=20)
-    per = index.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.lpad(F.hex("h"), 16, "0")).alias("lo"), F.max(F.lpad(F.hex("h"), 16, "0")).alias("hi")).orderBy("lo").collect()
+    per = index.entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.lpad(F.hex("h"), 16, "0")).alias("lo"), F.max(F.lpad(F.hex("h"), 16, "0")).alias("hi")).orderBy("lo").collect()
     assert max(r.n for r in per) <= 20 and sum(r.n for r in per) == 200
     assert all(a.hi < b.lo for a, b in zip(per, per[1:], strict=False))  # a bucket is a range of keys
 
 
+def test_documents_go_where_the_directory_says(spark):
+    df = spark.createDataFrame([(i, f"t{i % 150}", "", "", "") for i in range(200)], SCHEMA)
+    index = exact.build_index(df, capacity=20)
+    rows = exact.keyed(df.select("doc_id", "text"), "h", "sha")
+    names = {c: c for c in exact.NAMES}
+    assert index.depth > 1 and index.lookup(rows, names).count() == 200
+    index.slots = index.slots[1:] + index.slots[:1]  # another bucket for every slot: few find an entry
+    assert index.lookup(rows, names).count() < 150
+    index.slots = [max(index.slots) + 1] * len(index.slots)
+    assert index.lookup(rows, names).count() == 0
+
+
 def test_sql(spark):
     con = duckdb.connect()
     con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
