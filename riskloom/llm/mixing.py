@@ -6,7 +6,8 @@ exceeds its size goes round a second time in the same order. All passes are orde
 over all sources and taken while their words fit the total budget, the sum of the targets.
 
 A running sum never has a whole source in one task: hash ranges of a source are summed first, and the
-finish times, of which each unit holds the same number of words, are cut into equal ranges.
+finish times, of which each unit holds the same number of words, are cut into equal ranges.  The sums of the ranges are themselves
+range-sorted, and run on from what stands before their partition.
 
 Null texts and texts without words have size 0 and nothing is taken of them. The null source is a source
 of its own, the last one. Equal finish times go by source, hash, id and size; rows that repeat an id
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import WORD, written
+from riskloom.llm.common import WORD, running, written
 
 WEIGHTS, BUDGET, REPEATS = (5, 2, 1), 1.5, 2
 #: Documents of a range, on average.
@@ -27,24 +28,24 @@ RANGE = 1024
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, budget=BUDGET, repeats=REPEATS) -> DataFrame:
-    """rn, source, source_size, weight, target; one row per source passes through the two windows.
+    """rn, source, source_size, weight, target; one row per source, and one row of sums on the driver.
 
     Raising one water level until the budget is shared out is where resharing the excess ends: sources in
     the order in which they fill up, and the level once those before are full.
     """
-    s = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    s = s.withColumn("rn", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
-    s = s.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), ((F.col("rn") - 1) % len(weights) + 1).cast("int")))
-    most = F.col("source_size") * repeats
-    before = Window.orderBy(most / F.col("weight"), "rn").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    s = s.withColumns({"_t": F.sum("source_size").over(everything) * F.lit(float(budget)), "_w": F.sum("weight").over(everything),
-                       "_full": F.coalesce(F.sum(most).over(before), F.lit(0)), "_fw": F.coalesce(F.sum("weight").over(before), F.lit(0))})
-    s = s.withColumn("_level", (F.col("_t") - F.col("_full")) / (F.col("_w") - F.col("_fw")))
+    s = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("one", F.lit(1).cast("long"))
+    s = running(s, [F.col("source").asc_nulls_last()], {"rn": "one"}).drop("one").withColumn("rn", F.col("rn").cast("int"))
+    s = s.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), ((F.col("rn") - 1) % len(weights) + 1).cast("int")).cast("long"))
+    s = written(s.withColumn("_most", F.col("source_size") * repeats), "sources")
+    all_ = s.agg(F.sum("source_size").alias("t"), F.sum("weight").alias("w")).first()
+    most = F.col("_most")
+    s = running(s, [most / F.col("weight"), F.col("rn")], {"_full": "_most", "_fw": "weight"})
+    s = s.withColumns({"_full": F.col("_full") - most, "_fw": F.col("_fw") - F.col("weight")})
+    s = s.withColumn("_level", (F.lit((all_["t"] or 0) * float(budget)) - F.col("_full")) / (F.lit(all_["w"]) - F.col("_fw")))
     # the level at the first source that it does not fill; counting more sources as full only lowers it, and
     # beyond all of them every source is full
-    level = F.max(F.when(F.col("_level") <= most / F.col("weight"), F.col("_level"))).over(everything)
-    target = F.coalesce(F.least(most.cast("double"), level * F.col("weight")), most.cast("double"))
+    level = s.agg(F.max(F.when(F.col("_level") <= most / F.col("weight"), F.col("_level")))).first()[0]
+    target = most.cast("double") if level is None else F.least(most.cast("double"), F.lit(level) * F.col("weight"))
     return s.select("rn", "source", "source_size", "weight", target.alias("target"))
 
 
@@ -60,8 +61,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget=BUDGET, repeats=REPEATS, seed:
     rows = sizes.withColumn("_k", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).join(
         plan.select(F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("_k"), "rn", "source_size", "target"), "_k").drop("_k")
     rows = rows.withColumn("b", F.floor(F.conv(F.substring("r", 1, 8), 16, 10).cast("long") * ranges / 2**32))
-    offsets = rows.groupBy("rn", "b").agg(F.sum("size").alias("words"))
-    offsets = offsets.select("rn", "b", (F.sum("words").over(Window.partitionBy("rn").orderBy("b")) - F.col("words")).alias("offset"))
+    words = running(rows.groupBy("rn", "b").agg(F.sum("size").alias("words")), [F.col("rn"), F.col("b")], {"upto": "words"})
+    words = written(words.withColumn("offset", F.col("upto") - F.col("words")).select("rn", "b", "offset"), "offsets")
+    start = written(words.groupBy("rn").agg(F.min("offset").alias("start")), "starts")  # a row per source
+    offsets = words.join(start, "rn").select("rn", "b", (F.col("offset") - F.col("start")).alias("offset"))
     within = Window.partitionBy("rn", "b").orderBy("r", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("end", F.sum("size").over(within)).join(offsets, ["rn", "b"])
     rows = written(rows.withColumn("end", F.col("end") + F.col("offset")).drop("offset", "b"), "ends")
@@ -71,7 +74,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget=BUDGET, repeats=REPEATS, seed:
     items = rows.where("size > 0 and target > 0").select("*", passes.alias("pass")).withColumn(
         "finish", (F.col("end") + F.col("pass") * F.col("source_size")) / F.col("target"))
     items = items.select(*order, F.floor(F.col("finish") * ranges).alias("b"))
-    sums = items.groupBy("b").agg(F.sum("size").alias("words")).withColumn("upto", F.sum("words").over(Window.orderBy("b")))
+    sums = running(items.groupBy("b").agg(F.sum("size").alias("words")), [F.col("b")], {"upto": "words"})
     edge = sums.where(F.col("upto") > total).orderBy("b").limit(1).first()
     if edge is None:
         copies = F.when((F.col("size") > 0) & (F.col("target") > 0), repeats).otherwise(0)
