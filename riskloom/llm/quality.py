@@ -1,23 +1,26 @@
 """Quality classifier: nearest-neighbour voting among labelled documents in a latent-semantic space.
 
-Features of a text: 1- to 3-grams of its character shapes (lower case, upper case and digits become
+Features of a text, in two blocks.  Forms: 1- to 3-grams of its character shapes (lower case, upper case and digits become
 one symbol each, other characters stay) in hashed buckets, and how many of its words repeat, in rate
-classes. Counts are log-scaled, weighted by inverse document frequency over all documents and
-normalised; a truncated SVD of the labelled sample gives the latent space. The labelled vectors, of
+classes.  Words: its lower-cased words and their 3-grams of letters in hashed buckets. Counts are log-scaled, weighted by inverse
+document frequency over all documents and normalised; a truncated SVD of the labelled sample gives each block its latent space, and
+a document's vector joins its normalised places in both, the words at ``WORDS`` of the forms' length. The labelled vectors, of
 which there are ``sample`` at most, are broadcast. Every document's cosine with every one of them is
 computed in blocks, and the labels of its ``neighbours`` nearest vote with their cosine as weight.
 
 Null texts count as empty. A text without features, or any text if there are no labels, gets the
 share of good labels in the sample (0.5 without labels). Null labels are skipped; of several labels
-of one id the mean counts, of several texts the largest; equal cosines at the last place of the
-neighbourhood go to either. Repeated rows get repeated results, an empty table an empty one.
-Other columns are not read, so none can clash.
+of one id the mean counts, of several texts the largest; of equal cosines at the last place of the
+neighbourhood the smaller id votes. A very long text is counted whole, in one slice of its task. Repeated rows get repeated results,
+an empty table an empty one. Input columns named ``score`` or ``predicted`` are replaced by ``score``; no others are touched.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +32,10 @@ from riskloom.llm.grams import document_frequencies, hashed, idf, points, slices
 
 BITS = 10
 RATES = np.array([0, 0.02, 0.1, 0.3, 0.6])
-WIDTH = (1 << BITS) + 32
+FORMS = (1 << BITS) + 32
+LEXICAL = 9  # bits of the buckets of words, and of those of letters
+WIDTH = FORMS + (2 << LEXICAL)
+WORDS = 0.5
 
 SHAPE = np.arange(128, dtype=np.uint32)
 SHAPE[[ord(c) for c in "abcdefghijklmnopqrstuvwxyz"]] = ord("a")
@@ -45,18 +51,36 @@ def counts(text: str) -> np.ndarray:
     words = text.split()
     if n := len(words):
         lines = text.split("\n")
-        own = out[1 << BITS:]
+        own = out[1 << BITS:FORMS]
         same = sum(map(str.__eq__, words, words[1:]))
         own[np.searchsorted(RATES, same / n)] = n
         own[8 + np.searchsorted(RATES, 1 - len(set(lines)) / len(lines))] = n
         own[16 + int(7 * (1 - len(set(words)) / n))] = n
         own[24] = same
+        lower = text.lower()
+        kinds = Counter(lower.split())
+        at = np.fromiter((crc32(w.encode("utf-8", "surrogatepass")) for w in kinds), np.int64, len(kinds)) & (1 << LEXICAL) - 1
+        out[FORMS:FORMS + (1 << LEXICAL)] = np.bincount(at, np.fromiter(kinds.values(), np.float64, len(kinds)), 1 << LEXICAL)
+        out[FORMS + (1 << LEXICAL):] = np.bincount(hashed(points(lower), (3,), LEXICAL), minlength=1 << LEXICAL)
     return out
 
 
 def weighed(matrix: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Each block of unit length."""
     out = np.log1p(matrix) * idf
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+    for block in (out[:, :FORMS], out[:, FORMS:]):
+        block /= np.maximum(np.linalg.norm(block, axis=1, keepdims=True), 1e-9)
+    return out
+
+
+def nearest(cosines: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the ``k`` largest of each row; of equal ones the first."""
+    at = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
+    least = np.take_along_axis(cosines, at, axis=1).min(axis=1, keepdims=True)
+    tied = np.flatnonzero(np.count_nonzero(cosines >= least, axis=1) > k)
+    if len(tied):
+        at[tied] = np.argsort(-cosines[tied], axis=1, kind="stable")[:, :k]
+    return np.sort(at, axis=1)
 
 
 @dataclass
@@ -66,9 +90,13 @@ class Model:
     vectors: np.ndarray  # labelled documents x dimensions, unit length
     labels: np.ndarray
     neighbours: int
+    forms: int = 0  # dimensions of the forms; the others are of the words
 
     def place(self, matrix: np.ndarray) -> np.ndarray:
         z = weighed(matrix, self.idf) @ self.space
+        if self.forms:
+            for block, length in ((z[:, :self.forms], 1.0), (z[:, self.forms:], WORDS)):
+                block *= length / np.maximum(np.linalg.norm(block, axis=1, keepdims=True), 1e-9)
         return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
 
     def score(self, matrix: np.ndarray, block: int = 2048) -> np.ndarray:
@@ -81,7 +109,7 @@ class Model:
             best = np.concatenate([best, near], axis=1)
             own = np.concatenate([own, np.broadcast_to(self.labels[lo:lo + block], near.shape)], axis=1)
             if best.shape[1] > self.neighbours:
-                at = np.argpartition(-best, self.neighbours - 1, axis=1)[:, :self.neighbours]
+                at = nearest(best, self.neighbours)
                 best, own = np.take_along_axis(best, at, axis=1), np.take_along_axis(own, at, axis=1)
         w = np.maximum(best.astype(np.float64), 0)
         total = w.sum(axis=1)
@@ -110,10 +138,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 6000, dimensions: int
     if not len(got):
         return Model(weights, np.zeros((WIDTH, 1), np.float32), np.zeros((0, 1), np.float32), good, neighbours)
     x = weighed(matrix, weights)
-    # the leading right singular vectors, from the Gram matrix of the features
-    _, vec = np.linalg.eigh((x.T @ x).astype(np.float64))
-    space = np.ascontiguousarray(vec[:, ::-1][:, :dimensions]).astype(np.float32)
-    model = Model(weights, space, np.zeros((0, 0), np.float32), good, neighbours)
+    spaces = []
+    for block in (x[:, :FORMS], x[:, FORMS:]):
+        # the leading right singular vectors, from the Gram matrix of the features
+        _, vec = np.linalg.eigh((block.T @ block).astype(np.float64))
+        spaces.append(vec[:, ::-1][:, :dimensions])
+    space = np.zeros((WIDTH, 2 * dimensions), np.float32)
+    space[:FORMS, :dimensions], space[FORMS:, dimensions:] = spaces
+    model = Model(weights, space, np.zeros((0, 0), np.float32), good, neighbours, dimensions)
     model.vectors = model.place(matrix).astype(np.float32)
     return model
 

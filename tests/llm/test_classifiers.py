@@ -30,6 +30,32 @@ def test_quality_edges(spark):
     assert dict(scored.dtypes)["score"] == "double" and scored.columns.count("score") == 1
 
 
+def test_words_count():
+    assert (quality.counts("spam ham jam") != quality.counts("good old day")).any()
+
+
+def test_labels_that_depend_on_words_only(spark):
+    """Two vocabularies of the same shapes: every word has five letters, one line, no marks."""
+    rng = np.random.default_rng(5)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    good, bad = (["".join(rng.choice(letters, 5)) for _ in range(60)] for _ in range(2))
+    rows = []
+    for i in range(1200):
+        own, other = (good, bad) if i % 2 else (bad, good)
+        rows.append((i, " ".join(str(rng.choice(own if rng.random() < 0.75 else other)) for _ in range(60)), None, "x"))
+    docs = spark.createDataFrame(rows, DOCS)
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) quality")
+    got = quality.classify(docs, labels).join(labels, "doc_id").where("held_out").toPandas()
+    rank, y = got["score"].rank().to_numpy(), got["quality"].to_numpy()
+    n = y.sum()
+    assert (rank[y == 1].sum() - n * (n + 1) / 2) / (n * (len(y) - n)) >= 0.9
+
+
+def test_ties_go_to_the_first():
+    cosines = np.array([[0.5, 0.9, 0.5, 0.5], [0.1, 0.2, 0.3, 0.3], [1, 1, 1, 1]], np.float32)
+    assert quality.nearest(cosines, 2).tolist() == [[0, 1], [2, 3], [0, 1]]
+
+
 def test_blocked_vote_equals_whole():
     rng = np.random.default_rng(0)
     model = quality.Model(np.ones(quality.WIDTH, np.float32), rng.normal(size=(quality.WIDTH, 8)).astype(np.float32), np.zeros((0, 0), np.float32), rng.integers(0, 2, 300).astype(np.float32), 9)
