@@ -1,6 +1,7 @@
 """The pipeline's stages on the small tables, each against what its operator decides."""
 
 import duckdb
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from riskloom.llm.common import table, written
@@ -46,6 +47,22 @@ def test_last_stage_decodes(spark):
     assert all(r.decoded == r.text and r.n_tokens == len(r.ids) for r in got)
 
 
+def test_clashing_columns_pass_through(spark):
+    names = ["score", "predicted", "_id", "_copies", "_copy", "_h", "_norm", "_gone", "h", "sha", "slot", "bucket", "norm", "gone", "copies", "taken_id", "copy"]
+    docs = table(spark, SF, "documents")
+    columns = docs.columns
+    docs = docs.select("*", *[F.concat(F.lit(f"{n}:"), F.col("doc_id").cast("string")).alias(n) for n in names], *[F.lit("old").alias(n) for n in ("ids", "decoded", "n_tokens")])
+    for _, stage in corpus_pipeline.STAGES:
+        docs = written(stage(spark, docs, SF), "stage")
+    got = docs.collect()
+    assert got and all(r[n] == f"{n}:{r.doc_id}" for r in got for n in names)
+    assert all(r.decoded == r.text and r.n_tokens == len(r.ids) for r in got)
+    plain = table(spark, SF, "documents")
+    for _, stage in corpus_pipeline.STAGES:
+        plain = written(stage(spark, plain, SF), "stage")
+    assert sorted(r.doc_id for r in plain.collect()) == sorted(r.doc_id for r in got) and set(docs.columns) == {*columns, *names, "ids", "decoded", "n_tokens"}
+
+
 def test_empty(spark):
     docs = table(spark, SF, "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES:
