@@ -1,7 +1,10 @@
 """A training-data pipeline over ``documents``: five stages, each one operator of ``riskloom.llm``.
 
 Stages that decide by id (near duplicates, mix) give all rows of one id the same decision, null ids
-among them; extra columns pass through. Empty tables pass through as such.
+among them. Ties are the operators': of equal texts the largest id stays, of near duplicates the smallest, equal finish times of
+the mix go by source, hash, id and size. Null and empty texts are texts like any other; very long ones are worked on whole, one or one slice in
+a task. Extra columns pass through unchanged, whatever their names, but for the last stage's own:
+``ids``, ``decoded`` and ``n_tokens`` of the input are replaced. Empty tables pass through as such.
 """
 
 from __future__ import annotations
@@ -11,13 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm import bpe, exact, mixing, quality, simhash
-from riskloom.llm.common import table, written
+from riskloom.llm.common import aside, free, table, written
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what the classifier, fitted on this input and the labels, predicts to be bad."""
     model = quality.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).where("predicted = 1").select(*docs.columns)
+    rows, back = aside(docs, "score", "predicted")
+    return quality.score(rows, model).where("predicted = 1").select(*back)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,16 +33,18 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """Of every SimHash component, the document of the smallest id stays."""
     found = simhash.near_duplicates(docs)
     stays = found.groupBy("doc_id").agg(F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"))
-    gone = written(stays.where(~F.col("stays")).select(F.col("doc_id").alias("_gone")), "near-copies")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    own = free("gone", docs.columns)
+    gone = written(stays.where(~F.col("stays")).select(F.col("doc_id").alias(own)), "near-copies")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone[own]), "left_anti")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: a row for every time it takes a document."""
-    found = mixing.mix(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
-    taken = written(found.where("_copies > 0"), "taken")
-    rows = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_id"]))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    own, copies, copy = (free(c, docs.columns) for c in ("taken_id", "copies", "copy"))
+    found = mixing.mix(docs).groupBy(F.col("doc_id").alias(own)).agg(F.max("copies").alias(copies))
+    taken = written(found.where(F.col(copies) > 0), "taken")
+    rows = docs.join(taken, docs["doc_id"].eqNullSafe(taken[own]))
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
