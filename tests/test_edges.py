@@ -157,7 +157,7 @@ def test_call_files_and_summary_of_a_folder(spark):
     spark.range(5).write.parquet(f"{d}/train_amplitude_chunk_2.parquet")
     summary = {r["kind"]: r for r in FS.source_summary(spark, d).collect()}
     assert (summary["amplitude_chunks"]["n_sources"], summary["amplitude_chunks"]["n_rows"]) == (2, 15)
-    assert summary["labels"]["present"] == 0 and summary["audio"]["n_files"] == 3 and summary["audio"]["n_rows"] is None
+    assert summary["labels"]["present"] == 0 and summary["audio"]["n_files"] == 4 and summary["audio"]["n_rows"] is None
     status = {r["kind"]: r["status"] for r in FS.source_presence(FS.source_summary(spark, d)).collect()}
     assert status["labels"] == "error" and status["link_table"] == "warning" and status["audio"] == "ok"
 
