@@ -7,7 +7,8 @@ of rare grams at zero. A part of the sample stays out of the training and sets t
 that the scores are calibrated with.
 
 Null texts and texts without a letter are ``und`` with score 0, as is everything if there is nothing to
-learn from. Rows of null lang are not learned from. Equal scores go to the first language by
+learn from. Rows of null lang are not learned from; of rows that repeat an id and a language the largest text
+is learned. Ids may be numbers or strings. A very long text is counted whole, in one slice of its task. Equal scores go to the first language by
 code point. Repeated rows get repeated results, an empty table an empty one. Other columns are not
 read, so none can clash.
 """
@@ -101,7 +102,10 @@ def calibrated(logits: np.ndarray, truth: np.ndarray) -> float:
 
 def fit(docs: DataFrame, sample: int = 6000, calibrate: float = 0.15) -> Model:
     """Fits on about ``sample`` documents, shared out evenly over the languages and chosen by a hash
-    of their id, of the folds that are not held out; ``calibrate`` of them only set the temperature."""
+    of their id, of the folds that are not held out; ``calibrate`` of them only set the temperature.
+
+    A language gets 20 of them at least.  Rows that repeat an id and a language count as one, with the
+    largest text, so that an id with any number of rows brings one row to the driver."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0)).select("doc_id", "lang", "text")
     sizes = written(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
     n, df = document_frequencies(known, counts, WIDTH)
@@ -111,14 +115,15 @@ def fit(docs: DataFrame, sample: int = 6000, calibrate: float = 0.15) -> Model:
         return Model([], weights, np.zeros((WIDTH + 1, 0), np.float32), 1.0)
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     # `sizes` has a row per language; the sample has about `sample` rows whatever the input
-    chosen = known.join(sizes, "lang").where(share * F.col("n") < F.lit(max(20.0, sample / kinds))).select("doc_id", "lang", "text")
+    chosen = known.join(sizes, "lang").where(share * F.col("n") < F.lit(max(20.0, sample / kinds))).groupBy("doc_id", "lang").agg(F.max("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [features(t.as_py(), weights) for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([a.tobytes() for a, _ in got], pa.binary()), pa.array([x.tobytes() for _, x in got], pa.binary())], names=["doc_id", "lang", "at", "x"])
 
-    rows = sorted(chosen.mapInArrow(run, "doc_id long, lang string, at binary, x binary").collect())
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = sorted(chosen.mapInArrow(run, f"doc_id {kind}, lang string, at binary, x binary").collect())
     languages = sorted({r["lang"] for r in rows})
     coded = [(np.frombuffer(r["at"], np.int32), np.frombuffer(r["x"], np.float32), languages.index(r["lang"])) for r in rows]
     held = np.random.default_rng(1).random(len(coded)) < calibrate

@@ -12,7 +12,7 @@ Null texts count as empty. A text without features, or any text if there are no
 share of good labels in the sample (0.5 without labels). Null labels are skipped; of several labels
 of one id the mean counts, of several texts the largest; of equal cosines at the last place of the
 neighbourhood the smaller id votes. A very long text is counted whole, in one slice of its task. Repeated rows get repeated results,
-an empty table an empty one. Input columns named ``score`` or ``predicted`` are replaced by ``score``; no others are touched.
+an empty table an empty one. Ids may be numbers or strings. Input columns named ``score`` or ``predicted`` are replaced by ``score``; no others are touched.
 """
 
 from __future__ import annotations
@@ -132,7 +132,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 6000, dimensions: int
             rows = [counts(t.as_py() or "").tobytes() for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(rows, pa.binary())], names=["doc_id", "quality", "counts"])
 
-    got = sorted(texts.mapInArrow(run, "doc_id long, quality double, counts binary").collect())
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    got = sorted(texts.mapInArrow(run, f"doc_id {kind}, quality double, counts binary").collect())
     matrix = np.frombuffer(b"".join(r["counts"] for r in got), np.float32).reshape(len(got), WIDTH)
     good = np.array([r["quality"] for r in got], np.float32)
     if not len(got):

@@ -93,3 +93,63 @@ def test_temperature_lowers_loss():
     logits = 8 * (np.eye(3)[truth] + rng.normal(0, 0.8, (500, 3)))
     loss = lambda t: -np.log(langid.softmax(logits / t)[np.arange(500), truth]).mean()
     assert loss(langid.calibrated(logits, truth)) < loss(1.0)
+
+
+def test_ids_may_be_strings(spark):
+    rows = [(f"d{i}", f"the cat {i}" if i % 2 else f"le chat é {i}", "en" if i % 2 else "fr") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, lang string")
+    assert {r.doc_id: r.lang_pred for r in langid.identify(docs).collect()} == {i: lang for i, _, lang in rows}
+    labels = docs.selectExpr("doc_id", "cast(lang = 'en' as int) quality")
+    got = quality.classify(docs, labels).collect()
+    assert {r.doc_id for r in got} == {i for i, *_ in rows} and all(0 <= r.score <= 1 for r in got)
+
+
+def test_an_id_of_many_rows_is_learned_once(spark, monkeypatch):
+    rows = [(7, f"le chat {i}", "fr") for i in range(3000)] + [(100 + i, f"the cat {i}", "en") for i in range(80)]
+    seen, train = [], langid.train
+    monkeypatch.setattr(langid, "train", lambda rows, *how: seen.append(len(rows)) or train(rows, *how))
+    for sample in (40, 10 ** 6):
+        model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=sample)
+        assert set(model.languages) <= {"en", "fr"}
+    assert max(seen) <= 81
+
+
+def plain_ftrl(rows, width, classes, epochs, alpha, beta, l1, l2):
+    """One weight after the other, in Python's floats."""
+    z = [[0.0] * classes for _ in range(width + 1)]
+    n = [[0.0] * classes for _ in range(width + 1)]
+
+    def weight(i, c):
+        one, two = (0.0, 0.0) if i == width else (l1, l2)
+        if abs(z[i][c]) <= one:
+            return 0.0
+        return -(z[i][c] - (one if z[i][c] > 0 else -one)) / ((beta + n[i][c] ** 0.5) / alpha + two)
+
+    order = np.random.default_rng(0)
+    for _ in range(epochs):
+        for r in order.permutation(len(rows)):
+            at, x, truth = rows[r]
+            active = [*zip(at.tolist(), x.tolist(), strict=True), (width, 1.0)]
+            w = {(i, c): weight(i, c) for i, _ in active for c in range(classes)}
+            score = [sum(v * w[i, c] for i, v in active) for c in range(classes)]
+            e = [np.exp(s - max(score)) for s in score]
+            for i, v in active:
+                for c in range(classes):
+                    g = v * (e[c] / sum(e) - (c == truth))
+                    z[i][c] += g - ((n[i][c] + g * g) ** 0.5 - n[i][c] ** 0.5) / alpha * w[i, c]
+                    n[i][c] += g * g
+    return np.array([[weight(i, c) for c in range(classes)] for i in range(width + 1)])
+
+
+def test_training_equals_plain_ftrl():
+    rng = np.random.default_rng(3)
+    width, rows = 40, []
+    for i in range(150):
+        k = int(rng.integers(0, 3))
+        at = np.sort(rng.choice(width, 6, replace=False, p=np.where(np.arange(width) % 3 == k, 4.0, 1.0) / np.where(np.arange(width) % 3 == k, 4.0, 1.0).sum()))
+        x = rng.random(6)
+        rows.append((at.astype(np.int32), (x / np.linalg.norm(x)).astype(np.float32), k))
+    how = dict(epochs=2, alpha=0.5, beta=1.0, l1=0.3, l2=0.05)
+    got, want = langid.train(rows, width, 3, **how), plain_ftrl(rows, width, 3, **how)
+    assert np.allclose(got, want, atol=1e-5)
+    assert (want[:-1] == 0).any() and (want[:-1] != 0).any()  # the first penalty keeps some at zero
