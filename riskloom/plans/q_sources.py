@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from riskloom.operators.ml import shared_dir
 from riskloom.plans import fixtures as X
-from riskloom.plans.catalog import register, table
+from riskloom.plans import q_quality, q_scores  # noqa: F401  their SQL is that of the sinks
+from riskloom.plans.catalog import ORACLE, QUERIES, register, table
 from riskloom.sources import files as FS
+from riskloom.sources import sinks
 from riskloom.sources.tables import audit_chunks
 
 @register("scan_link_csv", r"""
@@ -76,3 +78,23 @@ def q_audit_chunks(spark, sf):
     audit = audit_chunks(spark, f"{_data_folder(spark, sf)}/train_amplitude_chunk_*")
     part = F.regexp_extract("path", r"train_amplitude_chunk_(\d)", 1).cast("int").alias("part")
     return audit.groupBy(part).agg(F.sum("expected").alias("expected"), F.sum("read").alias("read"))
+
+
+@register("predictions_sink", ORACLE["risk_bands"])
+def q_predictions_sink(spark, sf):
+    """Every scored row written by the predictions sink; half of the rows read back from its CSV, half from its Parquet."""
+    base = shared_dir(spark, f"predictions/{uuid.uuid4().hex}")
+    rows = QUERIES["risk_bands"](spark, sf)
+    sinks.write_predictions(rows, base)
+    even = F.col("sample_id") % 2 == 0
+    csv = spark.read.schema(rows.schema).option("header", True).csv(f"{base}/csv")
+    return csv.where(even).unionByName(spark.read.parquet(f"{base}/parquet").where(~even))
+
+
+@register("describe_sink", ORACLE["feature_describe"])
+def q_describe_sink(spark, sf):
+    """The describe table, written as CSV and read back."""
+    path = shared_dir(spark, f"describe/{uuid.uuid4().hex}")
+    rows = QUERIES["feature_describe"](spark, sf)
+    sinks.write_table_csv(rows, path)
+    return spark.read.schema(rows.schema).option("header", True).csv(path)
