@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 from difflib import SequenceMatcher
+from itertools import combinations
 
 import pytest
 
@@ -124,3 +125,33 @@ def test_join_by_blocks(spark):
     assert rows == [(1, "x", 0.8), (2, "x", 0.8)]
     with pytest.raises(ValueError):
         K.block_key_map(left.select("k"), right.select("r"), 0)
+
+
+def test_each_shorter_form_once(spark):
+    rnd = random.Random(3)
+    cores = {"", "a", "aaaa", "abab"} | {"".join(rnd.choice("ab0") for _ in range(rnd.randint(1, 8))) for _ in range(40)}
+    df = spark.createDataFrame([(c, c) for c in cores], "key string, core string")
+    for n in range(5):
+        got = sorted(tuple(r) for r in K._shorter(df, n).collect())
+        assert got == sorted((c, v) for c in cores if len(c) >= n for v in {"".join(w) for w in combinations(c, len(c) - n)})
+
+
+def test_only_pairs_with_a_long_key_meet(spark):
+    long = "x" * (K.SHORT_KEY + 1)
+    left = spark.createDataFrame([("short", 1), (long, 1)], "key string, on int")
+    right = spark.createDataFrame([("other", 1), (long, 1)], "match_key string, on int")
+    got = {(r["key"], r["match_key"]) for r in K._with_long(left, right, "on").collect()}
+    assert got == {("short", long), (long, "other"), (long, long)}
+
+
+@pytest.mark.parametrize("measure", ["blocks"])
+def test_cut_down_keys_are_never_broadcast(spark, monkeypatch, measure):
+    """They are many times the keys, which Spark's estimate does not see."""
+    plans = []
+    kept = K.cut_lineage
+    monkeypatch.setattr(K, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df))
+    left = spark.createDataFrame([(f"Д\\286\\{k:09d}",) for k in range(0, 60, 3)], "k string")
+    right = spark.createDataFrame([(f"Д286-{k:09d}",) for k in range(0, 60, 2)], "r string")
+    best = {"edits": K.fuzzy_key_map, "blocks": K.block_key_map}[measure]
+    assert best(left, right, 0.8).count() == 20
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
