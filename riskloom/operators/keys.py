@@ -39,22 +39,6 @@ def _ratio(threshold: float) -> tuple[int, int]:
     return f.numerator, f.denominator
 
 
-def _variants(keys: DataFrame, budget: Column, levels: int) -> DataFrame:
-    """Distinct (key, v, k): v = key minus k characters (k = fewest deletions giving v), up to
-    each key's budget.  Each level deletes one more character from the previous level's new
-    variants (explode over positions, then distinct); the result is checkpointed."""
-    cur = keys.select("key", F.col("key").alias("v"), budget.alias("_budget"))
-    parts = [cur.select("key", "v", F.lit(0).alias("k"))]
-    for d in range(1, levels + 1):
-        cur = cut_lineage(
-            cur.where((F.col("_budget") >= d) & (F.length("v") > 0))
-            .select("key", "v", "_budget", F.explode(F.sequence(F.lit(1), F.length("v"))).alias("_i"))
-            .select("key", F.expr("concat(substring(v, 1, _i - 1), substring(v, _i + 1))").alias("v"), "_budget")
-            .distinct())
-        parts.append(cur.select("key", "v", F.lit(d).alias("k")))
-    return cut_lineage(reduce(DataFrame.unionByName, parts).groupBy("key", "v").agg(F.min("k").alias("k")))
-
-
 # At most so many characters that one side alone holds are left out of the cores (a bound for the driver; the rest are tried like any other).
 ONE_SIDED = 256
 
@@ -163,12 +147,11 @@ def _long_pairs(lk: DataFrame, rk: DataFrame, budget: Callable[[str], Column], p
 
     def rare(g: DataFrame, name: str) -> DataFrame:
         rank = F.rank().over(Window.partitionBy(name).orderBy("_often", "gram"))  # one rank for all places of a gram
-        return g.join(often, "gram").withColumn("_r", rank).where(F.col("_r") <= GRAM * F.col("_budget") + 1)
+        return g.join(often, "gram").withColumn("_r", rank).where(F.col("_r") <= GRAM * F.col("_budget") + 1).select(name, "_budget", "gram", "place")
 
     left, right = rare(lg, "key"), rare(rg, "match_key").withColumnsRenamed({"place": "_rplace", "_budget": "_rbudget"})
     near = F.abs(F.col("place") - F.col("_rplace")) <= F.least("_budget", "_rbudget")
-    long = F.greatest(F.length("key"), F.length("match_key")) > SHORT_KEY
-    return left.join(right, "gram").where(near & long).select("key", "match_key").distinct()
+    return _with_long(left, right, "gram").where(near).select("key", "match_key").distinct()
 
 
 def fuzzy_key_map(left_keys: DataFrame, right_keys: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -178,37 +161,33 @@ def fuzzy_key_map(left_keys: DataFrame, right_keys: DataFrame, threshold: float
     ``threshold`` (tested in integers).  Best = smallest distance, then highest
     similarity, then smallest right key.
 
-    Exact without comparing all pairs: a qualifying pair has distance
-    <= (1-t)·max(len) <= (1-t)·len/t for either key.  Keys up to ``SHORT_KEY`` characters meet by
-    symmetric deletion: two keys within distance d share a variant obtained by deleting at
-    most d characters from each.  Distances are searched level by level (0, 1, ..., the largest
-    budget of a short key); a left key leaves the search at the first level where it has a qualifying
-    pair.  Pairs with a longer key meet by the rarest of their grams, the work for which grows with the
-    length, not with its binomials; below t = 2/3 the grams cannot vouch for all pairs, and
-    long keys meet by deletion too.  The best of both ways is kept; variant tables and each level's
-    result are checkpointed."""
+    Exact without comparing all pairs: two keys within distance d have a common subsequence of the longer one's length
+    less d.  Keys up to ``SHORT_KEY`` characters meet by symmetric deletion: each is cut down to its subsequences of that
+    length, level by level (0, 1, ..., the largest distance that qualifies); a left key leaves the search at the first level where it has
+    a qualifying pair, and a level looks at nothing that a shorter or longer partner would need but does not exist.  Pairs with a longer
+    key meet by the rarest of their grams, the work for which grows with the length, not with its binomials; below t = 2/3
+    the grams cannot vouch for all pairs, and long keys meet by deletion too.  The best of both ways is kept; the keys are
+    written once, each level's result is checkpointed."""
     p, q = _ratio(threshold)
-    lk = left_keys.select(F.col(left_keys.columns[0]).cast("string").alias("key")).where(F.col("key").isNotNull()).distinct()
-    rk = right_keys.select(F.col(right_keys.columns[0]).cast("string").alias("key")).where(F.col("key").isNotNull()).distinct()
+    lk, rk = _distinct_keys(left_keys, "left"), _distinct_keys(right_keys, "right")
 
     def budget(name: str) -> Column:
         return F.floor(F.length(name) * F.lit(q - p) / F.lit(p)).cast("int") if p > 0 else F.length(name)
 
     by_grams = 3 * p >= 2 * q
     short = F.length("key") <= SHORT_KEY if by_grams else F.lit(True)
-    ls, rs = lk.where(short), rk.where(short)
-    top = ls.unionByName(rs).agg(F.max(F.length("key"))).first()[0] or 0  # one row on the driver
-    levels = int(top * (q - p) // p) if p > 0 else int(top)
-    lv, rv = _variants(ls, budget("key"), levels), _variants(rs, budget("key"), levels).withColumnRenamed("key", "match_key")
-    found, open_keys = [], cut_lineage(ls)
-    for d in range(levels + 1):
-        cand = lv.where(F.col("k") <= d).join(open_keys, "key", "left_semi") \
-            .join(rv.where(F.col("k") <= d).drop("k"), "v").select("key", "match_key").distinct()
-        best = cut_lineage(_best(cand, p, q, d))
-        found.append(best)
-        if d < levels:
-            open_keys = cut_lineage(open_keys.join(best.select("key"), "key", "left_anti"))
-    if by_grams:
+    rest, right = _cores(lk.where(short), rk.where(short))
+    lc, rc = _classes(rest), _classes(right)
+    found = [_best(lk.select("key", F.col("key").alias("match_key")).limit(0), p, q)]
+    for d in range(max((max(x[0], y[0]) * (q - p) // q for x in lc for y in rc), default=-1) + 1):
+        pairs = _meet(rest, right, lc, rc, lambda a, _c, b, _e, d=d: max(a, b) - d if d * q <= (q - p) * max(a, b) else None)
+        if pairs is None:
+            continue
+        longest = F.greatest(F.length("key"), F.length("match_key"))
+        found.append(cut_lineage(_best(pairs.where(F.length("v") == longest - d), p, q, d)))
+        rest = _without(rest, found[-1])
+        lc = _classes(rest)
+    if by_grams and _has_long(lk, rk):
         found.append(cut_lineage(_best(_long_pairs(lk, rk, budget, p, q), p, q)))
     b = F.min("b").alias("b")
     return reduce(DataFrame.unionByName, found).groupBy("key").agg(b).select(

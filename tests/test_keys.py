@@ -136,6 +136,17 @@ def test_each_shorter_form_once(spark):
         assert got == sorted((c, v) for c in cores if len(c) >= n for v in {"".join(w) for w in combinations(c, len(c) - n)})
 
 
+def test_short_keys_never_meet_by_grams(spark, monkeypatch):
+    """Keys of 13 to 16 characters with common grams would meet in pairs without number, only to be dropped again."""
+    def refuse(*_):
+        raise AssertionError("grams of short keys alone")
+    monkeypatch.setattr(K, "_grams", refuse)
+    left = spark.createDataFrame([(f"Д\\286\\{k:09d}",) for k in range(0, 60, 3)], "k string")
+    right = spark.createDataFrame([(f"Д286-{k:09d}",) for k in range(0, 60, 2)], "r string")
+    got = {r["key"]: (r["match_key"], r["distance"]) for r in K.fuzzy_key_map(left, right, 0.8).collect()}
+    assert got == _brute([r["k"] for r in left.collect()], [r["r"] for r in right.collect()]) and len(got) == 20
+
+
 def test_only_pairs_with_a_long_key_meet(spark):
     long = "x" * (K.SHORT_KEY + 1)
     left = spark.createDataFrame([("short", 1), (long, 1)], "key string, on int")
@@ -144,7 +155,7 @@ def test_only_pairs_with_a_long_key_meet(spark):
     assert got == {("short", long), (long, "other"), (long, long)}
 
 
-@pytest.mark.parametrize("measure", ["blocks"])
+@pytest.mark.parametrize("measure", ["edits", "blocks"])
 def test_cut_down_keys_are_never_broadcast(spark, monkeypatch, measure):
     """They are many times the keys, which Spark's estimate does not see."""
     plans = []
